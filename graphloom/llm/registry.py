@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import decontaminate, language_id, packing, simhash_dedup, token_counts
+from graphloom.llm import decontaminate, language_id, packing, secrets, simhash_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
     "op3_best_fit_packing": packing.query,
     "op5_language_id": language_id.query,
+    "op7_secret_scan": secrets.query,
     "op8_token_counts": token_counts.query,
     "op9_simhash_dedup": simhash_dedup.query,
 }
