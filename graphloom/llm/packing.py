@@ -138,10 +138,10 @@ def _local_batches(path: str, ranks: str, capacity: int, end_id: int):
 
 def _merge_batches(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), _BIN)
-        if not t.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
-        t = t.combine_chunks().sort_by("bin")  # the same bins in the same order after a lost executor
+        t = pa.Table.from_batches(got).combine_chunks().sort_by("bin")  # the same bins in the same order after a lost executor
         fill, ids, items = t["fill"].to_numpy(), t["bin"].to_numpy(), t["items"].combine_chunks()
         chosen = [np.array(b) for b in best_fit(fill, capacity)]
         order = np.concatenate(chosen)
