@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import decontaminate, fingerprints, language_id, packing, secrets, simhash_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, fingerprints, language_id, packing, secrets, simhash_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
+    "op2_chat_format": chat_format.query,
     "op3_best_fit_packing": packing.query,
     "op4_document_fingerprints": fingerprints.query,
     "op5_language_id": language_id.query,
