@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import chat_format, decontaminate, fingerprints, language_id, packing, secrets, simhash_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, fingerprints, language_id, packing, secrets, simhash_dedup, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable] = {
     "op7_secret_scan": secrets.query,
     "op8_token_counts": token_counts.query,
     "op9_simhash_dedup": simhash_dedup.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
