@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import chat_format, decontaminate, fingerprints, language_id, packing, secrets, simhash_dedup, substring_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, fingerprints, katz, language_id, packing, secrets, simhash_dedup, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable] = {
     "op3_best_fit_packing": packing.query,
     "op4_document_fingerprints": fingerprints.query,
     "op5_language_id": language_id.query,
+    "op6_katz_scores": katz.query,
     "op7_secret_scan": secrets.query,
     "op8_token_counts": token_counts.query,
     "op9_simhash_dedup": simhash_dedup.query,
