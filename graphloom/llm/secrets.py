@@ -151,7 +151,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, kee
     """
     view = docs.select(F.col("doc_id"), *[c for c in keep if c != "doc_id"], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     maybe = candidates(view.select("doc_id", F.col("_text").alias("text")), rules).withColumnRenamed("doc_id", "_id")
-    joined = view.join(maybe, view["doc_id"] == maybe["_id"], "left")
+    joined = view.join(maybe, view["doc_id"].eqNullSafe(maybe["_id"]), "left")
     spans = []
     for k, r in enumerate(rules):
         own = F.transform(rule_spans(F.col("_text"), r), _ranked(k))

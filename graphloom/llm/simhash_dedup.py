@@ -212,9 +212,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their class: one of each group of near-duplicates, all columns kept."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """The documents whose doc_id names their class: one of each group of near-duplicates, all columns kept.
+
+    A doc_id names one document: of rows that share it one stays, and rows without one go.
+    """
+    found = near_duplicates(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    return kept if found.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
