@@ -66,10 +66,11 @@ def strong_components(calls: DataFrame) -> DataFrame:
     ids = cut(symbols_of(calls), "ids")
     rest, n, found = cut(calls.where("caller != callee").select("caller", "callee").distinct(), "calls"), -1, None
     while True:
+        # peel what nothing calls and what calls nothing
         while (now := rest.count()) != n:
             n = now
             for _ in range(HOPS):
-                called, calling = rest.select(F.col("callee").alias("caller")).distinct(), rest.select(F.col("caller").alias("callee")).distinct()
+                called, calling = rest.select(F.col("callee").alias("caller")), rest.select(F.col("caller").alias("callee"))
                 rest = rest.join(called, "caller", "left_semi").join(calling, "callee", "left_semi").select("caller", "callee")
             rest = cut(rest, "calls")
         if not n:

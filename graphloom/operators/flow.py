@@ -265,6 +265,24 @@ def summaries(paths: DataFrame) -> DataFrame:
     return paths.selectExpr(KEY, "path_id", f"{short} as summary", "size(blocks) as length")
 
 
+def describe_blocks(blocks: DataFrame) -> DataFrame:
+    """function_id, block_id, description: what each block does when it ends."""
+    text = (
+        F.when(F.col("tag") == "Goto", F.concat(F.lit("continues"), F.when(F.size("targets") > 0, F.concat(F.lit(" at "), F.col("targets")[0].cast("string"))).otherwise(F.lit(""))))
+        .when(F.col("tag") == "SwitchInt", F.concat(F.lit("chooses among "), (F.size("targets") + 1).cast("string")))
+        .when(F.col("tag") == "Call", F.lit("calls"))
+        .when(F.col("tag") == "Return", F.lit("returns"))
+        .when(F.col("tag") == "Abort", F.concat(F.lit("aborts: "), F.coalesce("terminator", F.lit("?"))))
+        .otherwise(F.lit("is never left"))
+    )
+    return blocks.select(KEY, "block_id", F.concat(F.lower("kind"), F.lit(" block "), text).alias("description"))
+
+
+def describe_functions(flow: DataFrame) -> DataFrame:
+    """function_id, description: a line per function."""
+    return flow.selectExpr(KEY, "concat('function ', function_id, ': ', n, ' blocks, ', size(exits), ' exits, ', aggregate(succ, 0, (a, x) -> a + size(x)), ' edges, ', n - size(reach), ' unreachable') as description")
+
+
 def export_dot(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """function_id, dot: a Graphviz graph per function."""
     nodes = blocks.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("block_id", "kind", "tag"))).alias("b"))

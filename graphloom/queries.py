@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import ARROWS
+from graphloom.functions.source import column_of, display, line_of, touched
 from graphloom.operators import calls as C
 from graphloom.operators import compare as D
 from graphloom.operators import flow as O
@@ -185,6 +186,22 @@ def resolve_names(spark, d):
     return s.where(F.get_json_object("data", "$.kind") == "Function").groupBy("name").agg(F.min("id").alias("id"))
 
 
+@query("SELECT p_partkey AS id FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT p_brand AS path FROM part WHERE p_size = 1) WHERE contains(p_brand, path) OR contains(path, p_brand))")
+def touched_symbols(spark, d):
+    """Symbols in files that a change names: here the brands that have a part of size 1."""
+    changed = S.read(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("path"))
+    return touched(S.symbols(spark, d), changed)
+
+
+@query("SELECT event_id, 2::BIGINT AS line, (length(event_type))::BIGINT AS col, event_type || ':2:' || length(event_type) AS shown FROM events")
+def source_positions(spark, d):
+    """Line and column of each two-line text's last byte."""
+    ev = S.read(spark, d, "events").select("event_id", "event_type", F.concat("props", F.lit("\n"), "event_type").alias("t"))
+    at = F.octet_length("t") - 1
+    rows = ev.select("event_id", "event_type", line_of(F.col("t"), at).alias("line"), column_of(F.col("t"), at).alias("col"))
+    return rows.select("event_id", "line", "col", display(F.col("event_type"), F.col("line"), F.col("col")).alias("shown"))
+
+
 # --- reachability and impact ------------------------------------------------------------------------------------
 
 
@@ -436,6 +453,16 @@ def path_summaries(spark, d):
     return _longs(O.summaries(_paths1(spark, d)))
 
 
+@query(f"WITH {G2}, t AS (SELECT function_id, src, min(dst) AS dst FROM e2 GROUP BY ALL) SELECT b2.function_id, b2.block_id::BIGINT AS block_id, CASE WHEN b2.block_id = 0 THEN 'entry' WHEN tag = 'Return' THEN 'exit' ELSE 'normal' END || ' block ' || CASE tag WHEN 'Goto' THEN 'continues' || coalesce(' at ' || t.dst, '') WHEN 'SwitchInt' THEN 'chooses among ' || o ELSE 'returns' END AS description FROM b2 LEFT JOIN t ON t.function_id = b2.function_id AND t.src = b2.block_id")
+def block_descriptions(spark, d):
+    return _longs(O.describe_blocks(S.journey_flows(spark, d)[0]))
+
+
+@query(f"WITH RECURSIVE {G1}, {R1} SELECT function_id, 'function ' || function_id || ': ' || n || ' blocks, ' || x || ' exits, ' || coalesce(k, 0) || ' edges, ' || (n - r) || ' unreachable' AS description FROM (SELECT function_id, count(*) AS n, count(*) FILTER (tag IN ('Return', 'Abort')) AS x FROM b1 GROUP BY 1) JOIN (SELECT function_id, count(*) AS r FROM r1 GROUP BY 1) USING (function_id) LEFT JOIN (SELECT function_id, count(*) AS k FROM e1 GROUP BY 1) USING (function_id)")
+def function_summaries(spark, d):
+    return O.describe_functions(_g1_fold(spark, d))
+
+
 @query(f"""WITH {G1} SELECT b.function_id, 'digraph {{' || b.t || coalesce(e.t, '') || ' }}' AS dot FROM (SELECT function_id, string_agg(' n' || block_id || ' [label="' || kind || ' ' || tag || '"];', '' ORDER BY block_id) AS t FROM b1 GROUP BY 1) b
     LEFT JOIN (SELECT function_id, string_agg(' n' || src || ' -> n' || dst || ' [label="' || edge_type || '"' || CASE WHEN edge_type = 'Fallthrough' THEN ' style=dashed' ELSE '' END || '];', '' ORDER BY src, dst) AS t FROM e1 GROUP BY 1) e USING (function_id)""")
 def export_dot(spark, d):
