@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +119,15 @@ class PrefixCounter:
         return np.array(out, np.int32)
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> PrefixCounter:
+    """One per worker: what one task has solved serves the next."""
+    return PrefixCounter(path)
+
+
 def _count_batches(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = _counter(path)
         known = counter.known
         for b in batches:
             n, blobs = [], []
