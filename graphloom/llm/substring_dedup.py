@@ -7,6 +7,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,19 @@ def _sent(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, keys
     return pa.RecordBatch.from_arrays([hashes, pa.array(np.concatenate([keys[doc[rep]], keys[d]])), pa.array(np.concatenate([at, ((s - base[d]) << 32) | (e - base[d])]))], schema=_OUT)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are dealt once and read twice."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        blobs = pa.array([None if t is None else pack(t) for t in utf8(b)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), blobs], ["key", "doc_id", "text"])
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [b"" if t is None else unpack(t) for t in batch.column(1).to_pylist()]
+
+
 def _anchor_batches(size: int):
     """Hashes of the ``size - PERIOD + 1`` words from each cover position on."""
     width = size - PERIOD + 1
@@ -118,7 +132,7 @@ def _window_batches(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = utf8(batch), []
+            texts, found = _texts(batch), []
             keys, limits = batch.column(0).to_numpy(zero_copy_only=False), np.zeros(len(texts), np.int64)
             lists = batch.column(2)
             flat, off = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -181,8 +195,8 @@ def _removed_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, removed, kept = [], [], []
-            for t, own in zip(utf8(b), b.column(2), strict=True):
-                words = (t or b"").split()
+            for t, own in zip(_texts(b), b.column(2), strict=True):
+                words = t.split()
                 n = 0
                 if own.is_valid:
                     s, e = (own.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -213,7 +227,10 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     view = doc_view(docs)
     ids = view.groupBy("doc_id").count()
     plain = ids.where("doc_id is null or count > 1").isEmpty()
-    keyed = view.select((F.col("doc_id") if plain else F.xxhash64("doc_id", "text")).alias("key"), "text", *([] if plain else ["doc_id"]))
+    keyed = view.select((F.col("doc_id") if plain else F.xxhash64("doc_id", "text")).alias("key"), "doc_id", "text")
+    packed = keyed.mapInArrow(_packed, "key long, doc_id long, text binary").where("key is not null")
+    # no key is null, but with this both joins deal the texts by one and the same exchange
+    packed = packed.select("key", "text", *([] if plain else ["doc_id"]))
 
     def shared(sent: DataFrame, before: int) -> DataFrame:
         dealt = sent.repartition(F.coalesce("h", "key")).sortWithinPartitions("h", "at")
@@ -222,8 +239,8 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
 
     rows = "h long, key long, at long"
     near = shared(keyed.select("key", "text").mapInArrow(_anchor_batches(size), rows), PERIOD - 1)
-    again = shared(keyed.join(near, "key").select("key", "text", "spans").mapInArrow(_window_batches(size), rows), 0)
-    return keyed.join(again, "key", "left").select(F.col("key").alias("doc_id") if plain else "doc_id", "text", "spans").mapInArrow(_removed_batches(size), "doc_id long, n_words long, n_removed long, text string")
+    again = shared(packed.join(near, "key").select("key", "text", "spans").mapInArrow(_window_batches(size), rows), 0)
+    return packed.join(again, "key", "left").select(F.col("key").alias("doc_id") if plain else "doc_id", "text", "spans").mapInArrow(_removed_batches(size), "doc_id long, n_words long, n_removed long, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
