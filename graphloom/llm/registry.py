@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import chat_format, decontaminate, fingerprints, katz, language_id, packing, secrets, simhash_dedup, substring_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, fingerprints, katz, language_id, oracles, packing, secrets, simhash_dedup, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
@@ -19,4 +19,8 @@ QUERIES: dict[str, Callable] = {
     "op10_substring_dedup": substring_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.DECONTAMINATE,
+    "op7_secret_scan": oracles.SECRETS,
+    "op10_substring_dedup": oracles.SUBSTRINGS,
+}
