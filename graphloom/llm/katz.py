@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from graphloom.llm.common import WHITE, cut, doc_view, mix, utf8, word_hashes, w
 
 #: Smoothing of single words; pair counts up to K follow Good-Turing, others (and where it fails) lose a fixed part.
 PRIOR, K, LARGE_LOSS, SMALL_LOSS = 0.1, 5, 0.05, 0.5
-#: Words so frequent that their pairs are dealt by both words; text bytes that one bucket gathers.
-SPLIT_WORDS, BUCKET_BYTES = 4096, 40 << 20
+#: Words so frequent that their pairs are dealt by both words; text bytes that one bucket gathers;
+#: text bytes whose events are sorted at once.
+SPLIT_WORDS, BUCKET_BYTES, UNIT_BYTES = 4096, 16 << 20, 10 << 20
 #: Word numbers: 56 bits of a hash; the end of a text and its start have fixed ones.
 MASK, END, START = (1 << 56) - 1, 1, 2
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -72,11 +74,25 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _units(batches):
         held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
         w, own = tokens(utf8(b))
         u, n = np.unique(w[~held[own]], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["word", "n"])
+        pa.default_memory_pool().release_unused()
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of UNIT_BYTES of text (a longer text alone)."""
+    for b in batches:
+        lo = n = 0
+        for i, size in enumerate(pc.binary_length(b.column(1)).fill_null(0).to_pylist()):
+            if n and n + size > UNIT_BYTES:
+                yield b.slice(lo, i - lo)
+                lo, n = i, 0
+            n += size
+        if lo < b.num_rows:
+            yield b.slice(lo)
 
 
 def _event_batches(buckets: int, split):
@@ -84,7 +100,7 @@ def _event_batches(buckets: int, split):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.sort(split.value[0])
-        for serial, b in enumerate(batches):
+        for serial, b in enumerate(_units(batches)):
             batch = (TaskContext.get().partitionId() << 24) + serial
             held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             word, own = tokens(utf8(b))
@@ -107,6 +123,7 @@ def _event_batches(buckets: int, split):
                 out.append((int(k), pack(word[s][first], np.diff(np.append(first, s.stop - s.start)).astype(np.uint32), c[rank], place[at], own[s].astype(np.uint32), held)))
             out.append((-1 - (batch % 2**30), pack(b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(b.column(0).is_null()), held)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([batch] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], ["bucket", "batch", "data"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -132,29 +149,30 @@ def _bucket(split):
         if table["bucket"][0].as_py() < 0:
             return _rows([(NAMES, {"batch": batch, "data": blobs})])
         frequent, totals = split.value
-        pairs, counts, words, uses, firsts = [], [], [], [], []
+        counts, words, uses, firsts = [], [], [], []
         for blob in blobs:  # counts first, blob by blob
             w, n, c, place, own, held = unpack(blob)
             train = ~held.astype(bool)[own]
             word = np.repeat(w, n)
-            key, at, times = np.unique(_pair(c[place[train]], word[train]), return_index=True, return_counts=True)
-            pairs.append(key)
+            _, at, times = np.unique(_pair(c[place[train]], word[train]), return_index=True, return_counts=True)
             counts.append(times)
             firsts.append(np.stack([c[place[train]][at], word[train][at]], axis=1))
             words.append(w)
             uses.append(np.add.reduceat(train.astype(np.int64), np.concatenate([[0], np.cumsum(n.astype(np.int64))[:-1]])))
-        pair, count = _merged(pairs, counts)
+        both, counts = np.concatenate(firsts), np.concatenate(counts)
+        firsts.clear()
+        pair, at, inverse = np.unique(_pair(both[:, 0], both[:, 1]), return_index=True, return_inverse=True)
+        both, count = both[at], np.bincount(inverse, counts, len(pair)).astype(np.int64)
+        del inverse, counts, at
         word_u, word_n = _merged(words, uses)
         at = _among(word_u, frequent)
         word_n[at >= 0] = totals[at[at >= 0]]  # pairs of a frequent word lie in many buckets; its count is known
-        both = np.empty((len(pair), 2), np.int64)
-        for key, f in zip(pairs, firsts, strict=True):
-            both[np.searchsorted(pair, key)] = f
         out = [(COUNTS, {"total": [int((count == K + 1).sum())], **{f"n{r}": [int((count == r).sum())] for r in range(1, K + 1)}})]
         if len(pair):
             c_u, c_at = np.unique(both[:, 0], return_inverse=True)
             per = {"word": c_u, "total": np.bincount(c_at, count).astype(np.int64), "seen": np.bincount(c_at), "mass": np.bincount(c_at, word_n[_among(both[:, 1], word_u)]).astype(np.int64)}
             out.append((CONTEXT, per | {f"n{r}": np.bincount(c_at, count == r).astype(np.int64) for r in range(1, K + 1)}))
+            del c_at, both
         for blob, b in zip(blobs, batch, strict=True):  # then scores, blob by blob
             w, n, c, place, own, held = unpack(blob)
             word, ctx = np.repeat(w, n), c[place]
@@ -172,6 +190,7 @@ def _bucket(split):
             if new.any():
                 u, times = np.unique(np.stack([docs[own[new]], ctx[new]], axis=1), axis=0, return_counts=True)
                 out.append((UNSEEN, {"batch": np.full(len(u), b), "idx": u[:, 0], "word": u[:, 1], "total": times}))
+        pa.default_memory_pool().release_unused()
         return _rows(out)
 
     return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,12 @@ class Encoder:
         return b"" if first[-1].isspace() else self.whole(first)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, ranks: str) -> Encoder:
+    """One per worker: what one task has encoded serves the next."""
+    return Encoder(path, ranks)
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Best-fit decreasing: bins as lists of positions in ``sizes``. Bins are kept by what they can still take."""
     bins: list[list[int]] = []
@@ -118,7 +125,7 @@ def _local_batches(path: str, ranks: str, capacity: int, end_id: int):
         return bins(r, chosen, serial)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, serial = Encoder(path, ranks), [], 0
+        encoder, rows, serial = _encoder(path, ranks), [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end

@@ -136,7 +136,8 @@ def _window_batches(size: int):
             keys, limits = batch.column(0).to_numpy(zero_copy_only=False), np.zeros(len(texts), np.int64)
             lists = batch.column(2)
             flat, off = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            s_all, e_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            flat = flat.to_numpy(zero_copy_only=False)
+            s_all, e_all = flat >> 32, flat & 0xFFFFFFFF
             for lo, hi in _slices(texts):
                 (h1, h2), bounds = _words(texts[lo:hi], (1, 2))
                 n = np.diff(bounds)
@@ -156,13 +157,16 @@ def _window_batches(size: int):
 
 
 def _shared_batches(before: int):
-    """Rows sorted by hash -> intervals ``key, start, end`` of those whose hash another row has, or that repeat."""
+    """Rows sorted by hash -> intervals ``key, span`` of those whose hash another row has, or that repeat.
+
+    A span is its start in the upper, its end in the lower half of one long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None  # the group that the last batch ended in; its only row, while it has just one
 
         def out(key, start, end):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["key", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array((start << 32) | end)], ["key", "span"])
 
         for batch in batches:
             null = np.asarray(batch.column(0).is_null())
@@ -199,8 +203,8 @@ def _removed_batches(size: int):
                 words = t.split()
                 n = 0
                 if own.is_valid:
-                    s, e = (own.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                    hit = _cover(len(words), s, np.minimum(e + size - 1, len(words)))
+                    v = own.values.to_numpy(zero_copy_only=False)
+                    hit = _cover(len(words), v >> 32, np.minimum((v & 0xFFFFFFFF) + size - 1, len(words)))
                     n = int(hit.sum())
                 n_words.append(len(words))
                 removed.append(n)
@@ -234,8 +238,8 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
 
     def shared(sent: DataFrame, before: int) -> DataFrame:
         dealt = sent.repartition(F.coalesce("h", "key")).sortWithinPartitions("h", "at")
-        found = dealt.mapInArrow(_shared_batches(before), "key long, start int, end int")
-        return found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        found = dealt.mapInArrow(_shared_batches(before), "key long, span long")
+        return found.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
     rows = "h long, key long, at long"
     near = shared(keyed.select("key", "text").mapInArrow(_anchor_batches(size), rows), PERIOD - 1)

@@ -52,6 +52,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     for seed, bucket, split in ((1, 2000, 5), (2, 40 << 20, 4096)):
         monkeypatch.setattr(m, "BUCKET_BYTES", bucket)
         monkeypatch.setattr(m, "SPLIT_WORDS", split)
+        monkeypatch.setattr(m, "UNIT_BYTES", bucket // 2)
         docs = cases(seed)
         d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as batch", "'x' as word").repartition(3)
         got = sorted((tuple(x) for x in m.score(d).collect()), key=str)

@@ -53,7 +53,7 @@ def test_groups_across_batches():
     rows = [(1, 10, (3 << 1)), (2, 11, (4 << 1)), (2, 12, (5 << 1)), (2, 13, (6 << 1)), (3, 14, (7 << 1) | 1), (4, 15, 8 << 1)]
     batches = [pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([k], pa.int64()), pa.array([a], pa.int64())], ["h", "key", "at"]) for h, k, a in rows]
     out = [tuple(x.values()) for b in m._shared_batches(0)(iter(batches)) for x in b.to_pylist()]
-    assert sorted(out) == [(11, 4, 5), (12, 5, 6), (13, 6, 7), (14, 7, 8)]
+    assert sorted((k, s >> 32, s & 0xFFFFFFFF) for k, s in out) == [(11, 4, 5), (12, 5, 6), (13, 6, 7), (14, 7, 8)]
 
 
 def test_empty(spark):
