@@ -45,13 +45,17 @@ def subtract(a: str, b: str) -> str:
 
 
 def peel(cells: str) -> str:
-    """SQL: struct(ok, got) of a difference; got are the digests that one side only has, complete if ok."""
+    """SQL: struct(ok, got) of a difference; got are the digests that one side only has, complete if ok.
+
+    Rounds end with the first that finds none.
+    """
     pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and {_CHECK.format(k='c.key')} = c.chk), c -> named_struct('n', c.n, 'key', c.key)))"
     at = f"(case when i < {WIDTH} then {_row('p.key', 0)} when i < {2 * WIDTH} then {WIDTH} + {_row('p.key', 1)} else {2 * WIDTH} + {_row('p.key', 2)} end)"
     less = f"named_struct('n', c.n - aggregate(o, 0, (a, p) -> a + p.n), 'key', c.key ^ aggregate(o, 0L, (a, p) -> a ^ p.key), 'chk', c.chk ^ aggregate(o, 0L, (a, p) -> a ^ {_CHECK.format(k='p.key')}))"
     taken = f"transform(s.cells, (c, i) -> transform(array(filter(found, p -> {at} = i)), o -> if(size(o) = 0, c, {less}))[0])"
-    step = f"transform(array({pure}), found -> if(size(found) = 0, s, named_struct('cells', {taken}, 'got', concat(s.got, transform(found, f -> f.key)))))[0]"
-    start = f"named_struct('cells', cast({cells} as {_CELLS}), 'got', cast(array() as array<bigint>))"
+    stop = "named_struct('cells', s.cells, 'got', s.got, 'open', false)"
+    step = f"if(s.open, transform(array({pure}), found -> if(size(found) = 0, {stop}, named_struct('cells', {taken}, 'got', concat(s.got, transform(found, f -> f.key)), 'open', true)))[0], s)"
+    start = f"named_struct('cells', cast({cells} as {_CELLS}), 'got', cast(array() as array<bigint>), 'open', true)"
     end = "named_struct('ok', forall(s.cells, c -> c.n = 0 and c.key = 0 and c.chk = 0), 'got', s.got)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> {end})"
 
