@@ -107,8 +107,10 @@ def _event_batches(buckets: int, split):
             ctx = np.concatenate([[START], word[:-1]])
             ctx[np.concatenate([[True], own[1:] != own[:-1]])] = START
             w = word.astype(np.uint64)
-            deal = np.where(_among(word, frequent) >= 0, mix(w, ctx.astype(np.uint64)), mix(w, w))
+            at = _among(word, frequent)
+            deal = np.where(at >= 0, mix(w, ctx.astype(np.uint64)), mix(w, w))
             deal = (deal >> np.uint64(33)).astype(np.int64) % buckets
+            word, ctx = _short(word, at, frequent), _short(ctx, _among(ctx, frequent), frequent)
             order = np.lexsort((own, word, deal))
             deal, word, ctx, own = deal[order], word[order], ctx[order], own[order]
             edges = np.searchsorted(deal, np.arange(buckets + 1))
@@ -136,6 +138,15 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
+def _short(x: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Frequent words as small negative numbers, which compress where many blobs repeat them; others as they are."""
+    return np.where(at >= 0, at - len(frequent), x)
+
+
+def _plain(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return np.where(x < 0, frequent[np.minimum(x, -1)], x) if len(frequent) else x
+
+
 def _merged(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     u, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return u, *(np.bincount(at, np.concatenate(v), len(u)).astype(np.int64) if v else np.zeros(len(u), np.int64) for v in values)
@@ -152,6 +163,7 @@ def _bucket(split):
         counts, words, uses, firsts = [], [], [], []
         for blob in blobs:  # counts first, blob by blob
             w, n, c, place, own, held = unpack(blob)
+            w, c = _plain(w, frequent), _plain(c, frequent)
             train = ~held.astype(bool)[own]
             word = np.repeat(w, n)
             _, at, times = np.unique(_pair(c[place[train]], word[train]), return_index=True, return_counts=True)
@@ -175,6 +187,7 @@ def _bucket(split):
             del c_at, both
         for blob, b in zip(blobs, batch, strict=True):  # then scores, blob by blob
             w, n, c, place, own, held = unpack(blob)
+            w, c = _plain(w, frequent), _plain(c, frequent)
             word, ctx = np.repeat(w, n), c[place]
             docs, own = np.unique(own, return_inverse=True)
             uni = np.repeat(word_n[_among(w, word_u)], n)
