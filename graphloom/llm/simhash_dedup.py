@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: word-shingle fingerprints, and a Gray-order hierarchical index over them."""
+"""SimHash near-duplicates by a Gray-order hierarchical index; near copies of a corpus by exact shingle similarity."""
 
 from __future__ import annotations
 
@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, doc_view, utf8
+from graphloom.llm.common import cut, doc_view, mix, utf8
 from graphloom.llm.components import components
 
 #: Fan-out of the index; fingerprints a group may hold before it is split; rows that share one tree.
 FANOUT, GROUP_LIMIT, CHUNK = 8, 4096, 8192
 #: After so many splits a group has at most 14 free bits, so at most 2**14 distinct fingerprints.
 LEVELS = 4
+#: Near copies of a corpus: words of a shingle; least similarity, as a fraction; bands and minima of each.
+NEAR_WIDTH, NEAR_NUM, NEAR_DEN, BANDS, ROWS = 5, 4, 5, 32, 5
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -211,12 +213,148 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near copies of a corpus ------------------------------------------------------------------------------------
+
+
+def shingle_set(text: bytes | None, width: int = NEAR_WIDTH) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles; fewer words than ``width``: one of all; no words: none."""
+    words = (text or b"").lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if n < width:
+        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate([[0], ends[: n - width]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sets' common share (Jaccard) is at least NEAR_NUM / NEAR_DEN; both empty: yes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * NEAR_DEN >= NEAR_NUM * (len(a) + len(b) - both)
+
+
+_SALTS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """For each band a key of its ROWS minima over the shingles; two sets share it with chance similarity ** ROWS."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        part = (shingles[at : at + 1024, None] ^ _SALTS[0]) * (_SALTS[1] | np.uint64(1))
+        np.minimum(low, part.min(axis=0), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix(key, low[k::ROWS])
+    return key.view(np.int64).tolist()
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t) for t in utf8(b)]
+        keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "node", "n", "keys"])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t) for t in utf8(b)]
+        at = [i for i, (s, node) in enumerate(zip(sets, b.column(2).to_pylist(), strict=True)) if _set_id(s) == node]
+        yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(at, pa.int64())), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "shingles"])
+
+
+def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+        at = pa.array([i for i, (x, y) in enumerate(both) if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+
+
+def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """node, n and label of each two or more neighbouring rows with the same key."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+        edges = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1])
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            yield [r[edges[k] : edges[k + 1]] for r in rows[1:]]
+        held = [r[edges[-1] :] for r in rows]
+    if held and len(held[0]) > 1:
+        yield held[1:]
+
+
+def _pair_batches(first: bool):
+    """Pairs to compare. First round: each with the least of its group whose size can fit; then all of unlike labels."""
+
+    def pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        most, at = np.searchsorted(n, n * NEAR_DEN // NEAR_NUM, "right"), 0
+        while at < len(node) - 1:
+            other = node[at + 1 : most[at]]
+            other = other if first else other[label[at + 1 : most[at]] != label[at]]
+            if len(other):
+                yield np.full(len(other), node[at]), other
+            at = max(at + 1, int(most[at])) if first else at + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
+        for group in _key_groups(batches):
+            for x, y in pairs(*group):
+                a.append(np.minimum(x, y)), b.append(np.maximum(x, y))
+                held += len(x)
+                if held >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` (smallest doc_id linked to it), one row per input row with a doc_id.
+
+    Two texts are linked if their sets of NEAR_WIDTH-word shingles are alike (``alike``, on the sets themselves). Pairs
+    to compare share one of BANDS keys of ROWS minima: a pair at 0.8 shares none with a chance of 3 in a million, more
+    alike ones more seldom still. Equal sets, as those of null and blank texts, collapse to one node. The first round
+    compares each node with one of its group, the second only nodes that are still apart, so a large group of near
+    copies is not squared.
+    """
+    view = doc_view(docs).where("doc_id is not null")
+    rows = cut(view.mapInArrow(_near_batches, "doc_id long, node long, n long, keys array<long>"), "near")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = cut(nodes, "nodes")
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    found, label = None, None
+    for first in (True, False):
+        own = dealt.withColumn("label", F.col("node")) if first else dealt.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "n", "label")
+        pairs = own.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pair_batches(first), "a long, b long").distinct()
+        pairs = cut(pairs, "pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = view.join(nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
+        sets = cut(texts.mapInArrow(_set_batches, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        edges = cut(both.mapInArrow(_alike_batches, "a long, b long"), "alike")
+        found = edges if found is None else found.union(edges)
+        label = components(found)
+    labelled = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.select("doc_id", "node").join(labelled.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their class: one of each group of near-duplicates, all columns kept.
+    """The documents whose doc_id names their class: one of each group of near copies, all columns kept.
 
     A doc_id names one document: of rows that share it one stays, and rows without one go.
     """
-    found = near_duplicates(docs)
+    found = cut(near_copies(docs), "copies")
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
     return kept if found.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
