@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import doc_view, utf8
+from graphloom.llm.common import doc_view
 
 #: Words of a window; words of one shard; distance of sampled suffix positions; bytes of benchmark text in one block.
 WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 1_000_000, 16, 8 << 20
@@ -179,97 +179,114 @@ SPANS = "array<struct<start:long,end:long>>"
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
 
-def _hit_batches(phrases):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Phrases = phrases.value
-        number = p.vocab.get
+def _both(a: tuple[list, list], b: tuple[list, list]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Hits of two blocks of the benchmark in one document."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(a[0] + b[0]):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out, sorted({*a[1], *b[1]})
+
+
+def _searched(batches: Iterator[pa.RecordBatch], at: int, phrases: list) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], list[int], list]]:
+    """Shards of rows: the rows, their texts (column ``at``), numbers of words, and hits over all blocks, row by row."""
+
+    def numbers(block, text):
+        return np.array([block.get(w, 0) for w in words_of(text)], np.int64)
 
-        def done(docs, ids):
-            hits = shard_hits(ids, p)
+    def done(parts, texts, ids):
+        hits = shard_hits(ids, phrases[0].value)
+        for held in phrases[1:]:
+            _only(phrases, held)
+            block = held.value
+            more = shard_hits([numbers(block.vocab, t) for t in texts], block)
+            hits = [_both(x, y) for x, y in zip(hits, more, strict=True)]
+        _only(phrases, phrases[0])
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0], texts, [len(x) for x in ids], hits
+
+    parts, texts, ids, n = [], [], [], 0
+    for b in batches:
+        start = 0
+        for i, text in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
+            texts.append(text)
+            ids.append(numbers(phrases[0].value.vocab, text))
+            n += len(ids[-1])
+            if n >= SHARD_WORDS:
+                yield done([*parts, b.slice(start, i + 1 - start)], texts, ids)
+                parts, texts, ids, n, start = [], [], [], 0, i + 1
+        if start < b.num_rows:
+            parts.append(b.slice(start))
+    if texts:
+        yield done(parts, texts, ids)
+
+
+def _only(phrases: list, held) -> None:
+    """A worker keeps one block in memory; the others are read again from its copy of the broadcast."""
+    for other in phrases:
+        if other is not held and hasattr(other, "_value"):
+            del other._value
+
+
+def _hit_batches(phrases: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, n_words, hits in _searched(batches, 1, phrases):
             spans = [[{"start": s, "end": e} for s, e in h[0]] for h in hits]
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(spans, _HITS.field("spans").type), pa.array([h[1] for h in hits], _HITS.field("items").type)], schema=_HITS)
-
-        docs, ids, n = [], [], 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), utf8(b), strict=True):
-                words = words_of(text)
-                docs.append(doc)
-                ids.append(np.array([number(w, 0) for w in words], np.int64))
-                n += len(words)
-                if n >= SHARD_WORDS:
-                    yield done(docs, ids)
-                    docs, ids, n = [], [], 0
-        if docs:
-            yield done(docs, ids)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _HITS.field("spans").type), pa.array([h[1] for h in hits], _HITS.field("items").type)], schema=_HITS)
 
     return run
 
 
-def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        spans = []
-        for own in b.column(2).to_pylist():
-            out: list[dict] = []
-            for s in sorted(own, key=lambda x: (x["start"], x["end"])):
-                if out and s["start"] <= out[-1]["end"]:
-                    out[-1]["end"] = max(out[-1]["end"], s["end"])
-                else:
-                    out.append(dict(s))
-            spans.append(out)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, _HITS.field("spans").type), b.column(3)], schema=_HITS)
+def _blocks(benchmark: DataFrame, size: int, item_col: str = "item_id") -> list:
+    """Broadcasts of the benchmark's blocks of about BLOCK_BYTES; only one block at a time is on the driver."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and length(text) > 0")
+    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks, out = max(1, -(-total // BLOCK_BYTES)), []
+    for k in range(blocks):
+        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()
+        out.append(spark.sparkContext.broadcast(Phrases([(r.item, bytes(r.text)) for r in rows], size)))
+        if blocks > 1:
+            _only(out, None)
+    return out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id") -> DataFrame:
     """``doc_id, n_words, spans`` (merged, in words, end exclusive), ``items`` (sorted), one row per input row.
 
     Null and empty texts have no words and no hits; benchmark rows without words or with a null item are left out; an
-    empty table of documents gives none. The benchmark is cut into blocks of about BLOCK_BYTES and only one block at a
-    time is on the driver and broadcast; each block is searched in one pass, without a shuffle, and with more than one
-    block their spans are merged per document. Rows of the same doc_id must then have the same text.
+    empty table of documents gives none. The benchmark is cut into blocks of about BLOCK_BYTES; each shard of documents
+    is searched for one block after the other, and a row's hits are merged where it is read: no shuffle, and rows that
+    share a doc_id or have none keep their own.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and length(text) > 0")
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    view, found = doc_view(docs), None
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()
-        phrases = spark.sparkContext.broadcast(Phrases([(r.item, bytes(r.text)) for r in rows], size))
-        part = view.mapInArrow(_hit_batches(phrases), f"doc_id long, n_words long, spans {SPANS}, items array<long>")
-        found = part if found is None else found.unionByName(part)
-    if blocks == 1:
-        return found
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.mapInArrow(_merge_batches, merged.schema)
+    return doc_view(docs).mapInArrow(_hit_batches(_blocks(benchmark, size, item_col)), f"doc_id long, n_words long, spans {SPANS}, items array<long>")
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents, all columns kept, without the hit words; ones with no word left go, untouched ones stay as they are.
 
-    ``n_chars``, if there is one, follows the new text.
+    Each row is searched and cut in one place, whatever its doc_id. ``n_chars``, if there is one, follows the new text.
     """
-    found = hits(docs, benchmark, size).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_hit_id"), F.col("n_words").alias("_n"), F.col("spans").alias("_spans"))
-    at = docs.columns.index("text")
-    width = len(docs.columns)
+    phrases, at, width = _blocks(benchmark, size), docs.columns.index("text"), len(docs.columns)
 
     def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for raw, own in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(width).to_pylist(), strict=True):
+        for b, raws, n_words, hits in _searched(batches, at, phrases):
+            texts, left = [], []
+            for raw, n, (own, _) in zip(raws, n_words, hits, strict=True):
                 if own:
                     where = [m.span() for m in WORD.finditer(raw.translate(FOLD))]
                     out, last = [], 0
-                    for s in own:
-                        out.append(raw[last : where[s["start"]][0]])
-                        last = where[s["end"] - 1][1]
+                    for s, e in own:
+                        out.append(raw[last : where[s][0]])
+                        last = where[e - 1][1]
                     raw = b"".join(out) + raw[last:]
+                left.append(not own or sum(e - s for s, e in own) < n)
                 texts.append(raw)
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else b.column(k) for k in range(width)]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:width])
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(left, pa.bool_()))
 
-    kept = docs.join(found, docs["doc_id"] == found["_hit_id"], "left")
-    kept = kept.where("_spans is null or aggregate(_spans, 0L, (a, s) -> a + s.end - s.start) < _n").select(*[docs[c] for c in docs.columns], "_spans")
-    out = kept.mapInArrow(cut_spans, docs.schema)
+    out = docs.mapInArrow(cut_spans, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

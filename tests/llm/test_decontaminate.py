@@ -53,3 +53,17 @@ def test_empty_tables(spark):
     assert m.hits(d, b).count() == 0
     one = spark.createDataFrame([(1, "x", "en", 1)], SCHEMA)
     assert m.hits(one, b).first().n_words == 1
+
+
+def test_rows_with_null_and_repeated_ids_keep_their_own_hits(spark, monkeypatch):
+    texts = ["one two three four x", "two three", "x y two three four", "clean words", "clean words", None, "a b c d e f g eight nine"]
+    rows = [(i, t, "en", k) for k, (i, t) in enumerate([*((None, t) for t in texts), *((7, t) for t in texts), (7, texts[0])])]
+    d = spark.createDataFrame(rows, SCHEMA)
+    b = spark.createDataFrame([(9, "two three"), (8, "three four"), (7, "eight nine")], "item_id long, text string")
+    want = {"one two three four x": ("one  x", 3), "two three": (None, 2), "x y two three four": ("x y ", 3), "clean words": ("clean words", 0), None: (None, 0), texts[-1]: ("a b c d e f g ", 2)}
+    for block in (8 << 20, 12):  # one block, several blocks
+        monkeypatch.setattr(m, "BLOCK_BYTES", block)
+        got = sorted((x.doc_id or 0, x.n_words, sum(s.end - s.start for s in x.spans)) for x in m.hits(d, b).collect())
+        assert got == sorted((i or 0, len((t or "").split()), want[t][1]) for i, t, _, _ in rows)
+        left = {x.item: (x.doc_id, x.text) for x in m.remove_hits(d, b).collect()}
+        assert left == {k: (i, want[t][0]) for i, t, _, k in rows if t != "two three"}
