@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import doc_view, utf8
 
-#: Hashed byte trigrams; training documents per language and at most in all; languages at most (the most frequent).
-DIMS, PER_LANGUAGE, MAX_DOCS, MAX_LANGUAGES = 8192, 400, 3000, 64
+#: Hashed byte trigrams; training documents per language and at most in all.
+DIMS, PER_LANGUAGE, MAX_DOCS = 8192, 400, 3000
 UNDETERMINED = "und"
 #: Language families by ISO 639-1 code. A language of no listed family is a family of its own.
 FAMILIES = {
@@ -117,15 +117,18 @@ def learn(docs: DataFrame) -> Model | None:
     """Fit on a bounded sample of labelled rows: whole texts of those whose crc32(doc_id) mod 4 is not 2.
 
     About PER_LANGUAGE documents per language, MAX_DOCS in all, chosen by a hash of doc_id at the rate that each
-    language's count gives. No labelled text at all: no model.
+    language's count gives. Every language is learned: the more there are, the fewer documents of each, one at least.
+    No labelled text at all: no model.
     """
-    labelled = doc_view(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    labelled = doc_view(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2").where(F.col("text").rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("first")).collect()
     if not counts:
         return None
     each = max(1, min(PER_LANGUAGE, MAX_DOCS // len(counts)))
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(2**30 * min(1.0, each / r["count"])))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < rate[F.col("lang")])
+    below = [(r["lang"], max(int(2**30 * min(1.0, each / r["count"])), r["first"] + 1)) for r in counts]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long"))
+    sample = labelled.join(rates, "lang").where(place < F.col("below")).select("doc_id", "text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,8 +180,19 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, all columns kept."""
-    return identify(docs, learn(docs)).where(F.col("_lang_pred") != UNDETERMINED).select(docs.columns)
+    """The documents whose language can be told, all columns kept; without a model all whose text has a letter."""
+    model = learn(docs)
+    if model is None:
+        return docs.mapInArrow(_lettered(docs.columns.index("text")), docs.schema)
+    return identify(docs, model).where(F.col("_lang_pred") != UNDETERMINED).select(docs.columns)
+
+
+def _lettered(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([has_letter(t) for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+
+    return run
 
 
 def query(spark, sf_dir: str) -> DataFrame:

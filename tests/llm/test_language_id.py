@@ -39,3 +39,18 @@ def test_nothing_to_learn_from(spark):
 
 def test_letters():
     assert m.has_letter("é".encode()) and not m.has_letter("½ ² 5_".encode()) and not m.has_letter(None)
+
+
+def test_without_a_model_the_stage_keeps_texts_with_a_letter(spark):
+    d = spark.createDataFrame([(1, "abc", None), (2, None, None), (3, "12 !", None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in m.keep_identified(d).collect()) == [1, 4]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(m, "MAX_DOCS", 150)
+    langs = [f"l{a}{b}" for a in "abcdefgh" for b in "abcdefghij"]
+    d = spark.createDataFrame([(k, f"{langs[k % 80][1:] * 4} " * 20, langs[k % 80]) for k in range(800)], "doc_id long, text string, lang string")
+    model = m.learn(d)
+    assert model.langs == langs
+    got = m.identify(d, model, ["doc_id"]).collect()
+    assert sum(x._lang_pred == langs[x.doc_id % 80] for x in got) >= 780
