@@ -30,7 +30,14 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 #: What the scan adds to them.
-MORE_RULES = (Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),)
+#: A private key from its header to the END line (nothing between them has five hyphens), or else, where that is missing,
+#: to the end of the lines of base64; line ends may be written as escapes.
+_PEM_LINE = r"(?:[\x20\t\r\n>]|\\[rn])+"
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_PEM_LINE}(?:Proc-Type|DEK-Info):[^\r\n]*)*(?:{_PEM_LINE}[A-Za-z0-9+/]{{20,}}={{0,2}})*(?:{_PEM_LINE}[A-Za-z0-9+/]+={{1,2}})?)"
+)
+MORE_RULES = (Rule("pem", _PEM, 0, 1),)
 #: Alternatives kept while a regex is unfolded; beyond that its part counts as without mandatory text.
 MOST_TEXTS = 64
 
