@@ -8,7 +8,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(docs):
+def classes(docs):
     sets = [shingles(t) for _, t in docs]
     near = lambda a, b: len(a & b) * 5 >= len(a | b) * 4
     group = [i for i, _ in docs]
@@ -20,7 +20,11 @@ def brute(docs):
                 if group[i] != group[j] and near(sets[i], sets[j]):
                     group[i] = group[j] = min(group[i], group[j])
                     changed = True
-    return {d for (d, _), g in zip(docs, group) if d == g}
+    return group
+
+
+def brute(docs):
+    return {d for (d, _), g in zip(docs, classes(docs)) if d == g}
 
 
 def test_keep_one_equals_brute_force_similarity(spark):

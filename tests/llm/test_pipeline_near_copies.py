@@ -1,0 +1,13 @@
+import pyarrow.parquet as pq
+import test_near_copies as near
+import test_pipeline as whole
+import xxhash
+
+
+def test_run_equals_brute_force_by_similarity(spark, monkeypatch):
+    """As test_run_equals_brute_force, where texts have equal fingerprints if, and only if, similarity links them."""
+    rows = pq.read_table(f"{whole.DIR}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    docs = sorted((r["doc_id"], r["text"]) for r in rows if r["text"] and any(c.isalpha() for c in r["text"]))
+    of = {t.encode(): g for (_, t), g in zip(docs, near.classes(docs), strict=True)}
+    monkeypatch.setattr(whole.simhash_dedup, "simhash", lambda t: xxhash.xxh64_intdigest(str(of[t])))
+    whole.test_run_equals_brute_force(spark)
