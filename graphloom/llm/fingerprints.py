@@ -13,10 +13,15 @@ from pyspark.sql import Window as W
 
 from graphloom.llm.common import cut, doc_view
 
-#: Cells of one row of a sketch; characters of a paragraph piece; peeling rounds; parts of a sketch at each retry.
-WIDTH, PIECE, ROUNDS, RETRIES = 12, 160, 16, (4, 16, 64, 256, 1024)
+#: Cells of one row of a sketch; peeling rounds; retries, each with sketches four times larger where the last one failed.
+WIDTH, ROUNDS, RETRIES = 12, 16, 12
+#: A long line is cut after words whose hash is 0 modulo CUT; a run without white space every RUN characters.
+CUT, RUN = 32, 32
+#: Digests that a sketch of 3 * WIDTH cells gives back almost always.
+EASY = 16
 _CELLS = "array<struct<n:int,key:bigint,chk:bigint>>"
 _CHECK = "(xxhash64({k}, 7) & 4294967295L)"
+_MARK = "\x01"
 
 
 def _row(k: str, j: int) -> str:
@@ -25,9 +30,15 @@ def _row(k: str, j: int) -> str:
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of a text's paragraphs, long ones in pieces of PIECE characters; empty and null: none."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{PIECE}}}\\n*|\\n+"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    """Distinct digests of a text's paragraphs; empty and null: none.
+
+    A paragraph ends with its line, and a long line is cut where its own words say, so that an insertion changes the
+    piece it is in and no other.
+    """
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{RUN}}}\s*|\s+"), F.lit(0))
+    last = lambda w: F.contains(w, F.lit("\n")) | (F.pmod(F.xxhash64(w), F.lit(CUT)) == 0)
+    pieces = F.split(F.array_join(F.transform(words, lambda w: F.when(last(w), F.concat(w, F.lit(_MARK))).otherwise(w)), ""), _MARK)
+    return F.array_distinct(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def sketch(keys: str) -> str:
@@ -60,25 +71,39 @@ def peel(cells: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> {end})"
 
 
-def _parted(a: str, b: str, parts: int) -> str:
-    """SQL: as ``peel`` of the difference, by sketches of ``parts`` parts, dealt by the digests' top bits."""
-    mine = "filter({0}, m -> pmod(shiftrightunsigned(m, 48), {1}) = g)"
-    one = f"transform(array(named_struct('a', {mine.format(a, parts)}, 'b', {mine.format(b, parts)})), t -> {peel(subtract(sketch('t.a'), sketch('t.b')))})[0]"
-    return f"transform(array(transform(sequence(0, {parts - 1}), g -> {one})), all -> named_struct('ok', forall(all, y -> y.ok), 'got', flatten(transform(all, y -> y.got))))[0]"
+def _halves(a: str, b: str, depth: str) -> str:
+    """SQL: two arrays of digests as four pairs of arrays, by two bits from the top at a depth."""
+    own = "filter({0}, k -> (shiftrightunsigned(k, 62 - 2 * ({1})) & 3) = g)"
+    return f"transform(sequence(0, 3), g -> named_struct('a', {own.format(a, depth)}, 'b', {own.format(b, depth)}))"
 
 
-def compare(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
-    """Adds ``out``: share of common digests, 0 to 1, from the digests recovered by peeling the sketches' difference.
+def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
+    """SQL: how many digests one of two arrays has alone, from peeling the difference of their sketches.
 
-    Where peeling stops early, larger sketches are tried, split in RETRIES parts; past the last, the arrays themselves
-    are compared. Two texts without any paragraph are alike (1).
+    Where peeling stops early, the digests are dealt into four parts of a sketch each, and parts that stop again into
+    four more. The counts of the first difference tell how many retries can't succeed: their squares add up to about the
+    number of differing digests; those sizes are passed over. Parts that stop after RETRIES are compared as they are.
     """
-    df = df.withColumn("_d", F.expr(peel(subtract(sketch_a, sketch_b))))
-    for parts in RETRIES:
-        df = df.withColumn("_d", F.expr(f"case when _d.ok then _d else {_parted(a, b, parts)} end"))
-    d = f"(case when _d.ok then size(_d.got) else size(array_except({a}, {b})) + size(array_except({b}, {a})) end)"
+    none = "cast(array() as array<struct<a:array<bigint>,b:array<bigint>>>)"
+    spread = f"greatest(0D, (aggregate(cells, 0D, (x, c) -> x + c.n * c.n) / 3 - pow(size({a}) - size({b}), 2) / {WIDTH}) * {WIDTH / (WIDTH - 1)})"
+    skip = f"cast(greatest(0, least({RETRIES - 1}, floor(log(4D, greatest(1D, ({spread}) / {EASY}))))) as int)"
+    start = (
+        f"transform(array({subtract(sketch_a, sketch_b)}), cells -> transform(array({peel('cells')}), f -> if(f.ok, named_struct('todo', {none}, 'd', size(f.got), 'skip', 0), "
+        f"named_struct('todo', {_halves(a, b, '0')}, 'd', 0, 'skip', {skip})))[0])[0]"
+    )
+    tried = f"transform(s.todo, t -> named_struct('t', t, 'p', {peel(subtract(sketch('t.a'), sketch('t.b')))}))"
+    left = f"flatten(transform(filter(tried, x -> not x.p.ok), x -> {_halves('x.t.a', 'x.t.b', 'r')}))"
+    retry = f"transform(array({tried}), tried -> named_struct('todo', {left}, 'd', s.d + aggregate(filter(tried, x -> x.p.ok), 0, (n, x) -> n + size(x.p.got)), 'skip', 0))[0]"
+    deal = f"named_struct('todo', flatten(transform(s.todo, t -> {_halves('t.a', 't.b', 'r')})), 'd', s.d, 'skip', s.skip)"
+    rest = "s.d + aggregate(s.todo, 0, (n, t) -> n + size(array_except(t.a, t.b)) + size(array_except(t.b, t.a)))"
+    return f"aggregate(sequence(1, {RETRIES}), {start}, (s, r) -> if(size(s.todo) = 0, s, if(r <= s.skip, {deal}, {retry})), s -> {rest})"
+
+
+def compare(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
+    """Adds ``out``: share of common digests, 0 to 1 (``differing``). Two texts without any paragraph are alike (1)."""
     total = f"(size({a}) + size({b}))"
-    return df.withColumn(out, F.expr(f"case when {total} = 0 then 1.0D else cast({total} - {d} as double) / ({total} + {d}) end")).drop("_d")
+    df = df.withColumn("_d", F.expr(differing(a, b, sketch_a, sketch_b)))
+    return df.withColumn(out, F.expr(f"case when {total} = 0 then 1.0D else cast({total} - _d as double) / ({total} + _d) end")).drop("_d")
 
 
 def shown(cells: str) -> Column:
@@ -101,7 +126,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def edits(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, text, edited, next_keys``: every text, its edited version, the next document's digests.
+    """``doc_id, n_chars, keys, edited, next_keys``: every text's digests, its edited version, the next document's digests.
 
     The last floor(n/4) characters give way to the first as many (or all) of the next document's, by ascending doc_id.
     Rows with a null doc_id are dropped; rows that share a doc_id see the same next document, the least text of its id.
@@ -109,16 +134,17 @@ def edits(docs: DataFrame) -> DataFrame:
     view = doc_view(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
     sizes = view.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     wanted = successors(view).join(sizes, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), F.expr("cast(floor(n / 4) as int)").alias("k"))
-    heads = view.join(wanted, "doc_id").select(F.col("for_id").alias("doc_id"), F.struct(F.expr("left(text, k)").alias("head"), digests(F.col("text")).alias("next_keys")).alias("h"))
+    keyed = view.withColumn("keys", digests(F.col("text")))  # once for each text, before it is dealt
+    heads = keyed.join(wanted, "doc_id").select(F.col("for_id").alias("doc_id"), F.struct(F.expr("left(text, k)").alias("head"), F.col("keys").alias("next_keys")).alias("h"))
     heads = heads.groupBy("doc_id").agg(F.min("h").alias("h"))
-    both = view.join(heads, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    both = keyed.join(heads, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), left(h.head, cast(floor(n_chars / 4) as int)))")
-    return both.select("doc_id", "n_chars", "text", edited.alias("edited"), F.col("h.next_keys").alias("next_keys"))
+    return both.select("doc_id", "n_chars", "keys", edited.alias("edited"), F.col("h.next_keys").alias("next_keys"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     df = edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", digests(F.col("edited")).alias("edited_keys"), "next_keys")
     for name in ("", "edited_", "next_"):
         df = df.withColumn(f"{name}cells", F.expr(sketch(f"{name}keys")))
     df = compare(df, "keys", "edited_keys", "cells", "edited_cells", "near_edited")

@@ -1,13 +1,20 @@
 import hashlib
 import re
+import time
 
 import numpy as np
+import xxhash
 
 from graphloom.llm import fingerprints as m
 
 
 def units(t):
-    return set(re.findall(rf"[^\n]{{1,{m.PIECE}}}\n*|\n+", t or ""))
+    out = [""]
+    for w in re.findall(rf"\S{{1,{m.RUN}}}\s*|\s+", t or "", re.A):
+        out[-1] += w
+        if "\n" in w or xxhash.xxh64_intdigest(w.encode(), 42) % m.CUT == 0:
+            out.append("")
+    return set(out) - {""}
 
 
 def like(a, b):
@@ -60,3 +67,36 @@ def test_one_and_no_document(spark, tmp_path):
     assert x.near_next == 1.0 and x.n_chars == 7
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert m.query(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "gone"), (1, "b b b b"), (1, "a a a a"), (2, "c c c c c c c c"), (2, None)]
+    got = sorted((x.doc_id, x.n_chars, x.edited) for x in m.edits(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # rows of one id see the least head of the next id; the last id's next is the first one
+    assert got == [(1, 7, "a a a "), (1, 7, "b b b "), (2, 0, ""), (2, 15, "c c c c c c a a")]
+
+
+def likeness(spark, pairs):
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, ta string, tb string")
+    df = df.select("k", m.digests(df.ta).alias("a"), m.digests(df.tb).alias("b"))
+    df = df.selectExpr("*", f"{m.sketch('a')} as ca", f"{m.sketch('b')} as cb")
+    return [x.out for x in m.compare(df, "a", "b", "ca", "cb", "out").orderBy("k").collect()]
+
+
+def test_an_insertion_costs_one_piece(spark):
+    r = np.random.default_rng(5)
+    line = " ".join("".join(r.choice(list("abcdefgh"), int(r.integers(2, 9)))) for _ in range(2000))
+    got = likeness(spark, [(line, "X" + line), (line, "one more " + line), (line, line.replace(" ", "  ", 1))])
+    assert min(got) > 0.9
+
+
+def test_large_texts_are_compared_exactly_and_soon(spark):
+    lines = lambda seed, n: [f"line {seed} {k}" for k in range(n)]
+    a, b = lines(1, 20000), lines(2, 20000)
+    pairs = [(a, b), (a, a[:-1]), (a, a[:10000] + b[:10000]), (a, []), (a[:3], b)]
+    pairs = [("\n".join(x), "\n".join(y)) for x, y in pairs]
+    likeness(spark, [("a", "b")])
+    began = time.time()
+    got = likeness(spark, pairs)
+    assert time.time() - began < 30
+    assert np.allclose(got, [like(x, y) for x, y in pairs])
