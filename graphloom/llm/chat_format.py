@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
-#: Tokens of a window; of its new turns and of its history at most; turns of history; tokens that a turn's frame takes.
-BUDGET, HISTORY_TURNS, FRAME_TOKENS = 512, 2, 4
-STRIDE, HISTORY_TOKENS = BUDGET // 2, BUDGET // 4
+#: Tokens of a window; turns and tokens of its history at most; tokens that a turn's frame takes.
+BUDGET, HISTORY_TURNS, HISTORY_TOKENS, FRAME_TOKENS = 512, 2, 128, 4
 
 
 def escape(c: Column) -> Column:
@@ -29,30 +28,41 @@ def turn_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + FRAME_TOKENS
 
 
-def windows(conversations: DataFrame, stride: int = STRIDE, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """``conv_id, window, formatted, n_repeated, loss_spans, n_tokens``; one row per window.
 
-    A turn opens a new window where the tokens before it pass a multiple of ``stride``; so new turns take ``stride`` tokens
-    and what is left of the last one, and a turn over the budget stays whole. Before them stand the conversation's system
-    turn (a first turn of that role) and up to ``history_turns`` turns that fit ``history_tokens``. ``loss_spans`` are
-    [start, end) in code points of ``formatted``: the escaped texts of new assistant turns only, each in one window.
+    Every window has the conversation's system turn (a first turn of that role), history and new turns, together at most
+    ``budget`` tokens. Half of what the system turn leaves is the stride: turns that start between two multiples of it, by
+    the prefix sums of their tokens, are new in one window. Only the last of them can reach past the next multiple; where it
+    makes them too large, it is a window of its own. History is up to ``history_turns`` turns before the new ones, as far
+    as they fit ``history_tokens`` and what the budget leaves. So only a turn that is too large alone, or with the system
+    turn, passes the budget; it stays whole, without history. ``loss_spans`` are [start, end) in code points of
+    ``formatted``: the escaped texts of new assistant turns only, each in one window.
 
     Null role and text are empty; turns sort by turn (null first), role, text; repeated rows are turns of their own; rows
     with a null conv_id are one conversation; an empty table gives none.
     """
     base = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    system = F.col("seq") == 1
+    system = (F.col("seq") == 1) & (F.col("role") == "system")
+    has_system = F.col("role1") == "system"
     rows = base.withColumn("tok", turn_tokens(F.col("text"))).select(
-        "conv_id", "role", "text", "tok", F.row_number().over(w).alias("seq"), F.coalesce(F.sum("tok").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("pre"), F.first("role").over(w).alias("role1"), F.first("text").over(w).alias("text1"), F.first("tok").over(w).alias("tok1")
+        "conv_id", "role", "text", "tok", F.row_number().over(w).alias("seq"), F.coalesce(F.sum("tok").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.first("role").over(w).alias("role1"), F.first("text").over(w).alias("text1"), F.first("tok").over(w).alias("tok1")
     )
-    rows = rows.withColumn("win", F.floor(F.col("pre") / stride))
+    # the system turn takes its tokens in every window, and so none in the sums that place the others
+    rows = rows.withColumn("room", F.lit(budget) - F.when(has_system, F.col("tok1")).otherwise(0)).withColumn("own", F.when(system, 0).otherwise(F.col("tok")))
+    rows = rows.withColumn("pre", F.col("before") - F.when(has_system & (F.col("seq") > 1), F.col("tok1")).otherwise(0)).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("room") / 2)))
+    rows = rows.withColumn("cell", F.floor(F.col("pre") / F.col("stride")))
+    too_large = F.sum("own").over(W.partitionBy("conv_id", "cell")) > F.col("room")
+    past = F.col("pre") + F.col("own") > (F.col("cell") + 1) * F.col("stride")
+    rows = rows.withColumn("win", 2 * F.col("cell") + F.when(too_large & past, 1).otherwise(0))
+    rows = rows.withColumn("spare", F.least(F.lit(history_tokens), F.col("room") - F.sum("own").over(W.partitionBy("conv_id", "win"))))
     at = W.partitionBy("conv_id").orderBy("seq")
     later = []
     for j in range(1, history_turns + 1):
         opens = F.lead("win", j).over(at) != (F.lead("win", j - 1).over(at) if j > 1 else F.col("win"))
-        near = F.lead("pre", j).over(at) - F.col("pre") <= history_tokens
-        later.append(F.when(opens & near & ~(system & (F.col("role") == "system")), F.struct(F.lead("win", j).over(at).alias("win"), F.lit(False).alias("new"))))
+        fits = F.lead("pre", j).over(at) - F.col("pre") <= F.lead("spare", j).over(at)
+        later.append(F.when(opens & fits & ~system, F.struct(F.lead("win", j).over(at).alias("win"), F.lit(False).alias("new"))))
     own = F.struct(F.col("win").alias("win"), F.lit(True).alias("new"))
     placed = rows.withColumn("places", F.filter(F.array(own, *later), lambda x: x.isNotNull())).select("conv_id", "seq", "role", "text", "tok", "role1", "text1", "tok1", F.inline("places").alias("window", "new"))
     turn = F.struct("seq", "new", "role", "text", "tok")

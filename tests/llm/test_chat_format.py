@@ -51,5 +51,32 @@ def test_windows_keep_to_the_budget(spark):
         assert all(t.startswith("w") for t in texts)
 
 
+def test_only_turns_too_large_alone_pass_the_budget(spark):
+    r = np.random.default_rng(4)
+    data = []
+    for c in range(60):
+        system = int(r.choice([0, 3, 120, 300, 500, 700]))
+        if system:
+            data.append((c, 0, "system", "s " * system))
+        data += [(c, t, ("user", "assistant")[t % 2], f"w{t} " * int(r.choice([0, 1, 20, 90, 200, 300, 480, 600]))) for t in range(1, int(r.integers(2, 40)))]
+    got = m.windows(spark.createDataFrame(data, SCHEMA)).collect()
+    large = 0
+    for w in got:
+        turns = w.formatted.count(m.OPEN)
+        with_system = w.formatted.startswith("<turn>system\n")
+        if w.n_tokens > m.BUDGET:
+            assert turns - with_system <= 1
+            large += 1
+    assert large > 20 and len(got) - large > 100
+    said = sum(w.formatted.count(m.OPEN) - w.n_repeated for w in got)
+    assert said == len(data)
+
+
+def test_two_turns_that_fit_alone_get_two_windows(spark):
+    data = [(1, 0, "user", "a " * 246), (1, 1, "assistant", "b " * 496), (1, 2, "user", "c " * 120), (1, 3, "assistant", "d " * 300)]
+    got = m.windows(spark.createDataFrame(data, SCHEMA)).orderBy("window").collect()
+    assert [w.n_tokens for w in got] == [250, 500, 124, 124 + 304]
+
+
 def test_empty(spark):
     assert m.windows(spark.createDataFrame([], SCHEMA)).count() == 0
