@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import doc_view
+from graphloom.llm.common import cut, doc_view
 
 SPACE = "▁"
 #: Segments and token pairs that a worker keeps.
@@ -36,6 +36,7 @@ class PrefixCounter:
             raise ValueError("a piece has a word mark after another character: texts can't be cut at word marks")
         #: Neighbours inside some piece: between any others every encoding has a token end.
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        #: Steps of the counts of each segment solved so far, a signed byte a character.
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -80,12 +81,12 @@ class PrefixCounter:
                 last.append("")
         return counts[1:]
 
-    def segment(self, segment: str) -> bytes | list[int]:
+    def segment(self, segment: str) -> bytes:
+        """By how much the count changes at each character of a segment: what a token gains or a merge loses."""
         got = self.known.get(segment)
         if got is None:
-            got = self.solve(segment)
-            if len(segment) <= 60:  # at most four bytes a character: each count fits a byte
-                got = bytes(got)
+            got = np.diff(np.array([0, *self.solve(segment)])).astype(np.int8).tobytes()
+            if len(segment) <= 60:
                 if len(self.known) > KEPT_SEGMENTS:
                     self.known.clear()
                 self.known[segment] = got
@@ -106,17 +107,17 @@ class PrefixCounter:
                 marks = ""
         return out + [marks] * bool(marks)
 
-    def total(self, text: str) -> int:
-        return sum(self.segment(s)[-1] for s in self.segments(text))
-
-    def prefixes(self, text: str) -> np.ndarray:
-        """Entry k: tokens of the first k characters (0 for none)."""
-        out, base = [0], 0
-        for k, s in enumerate(self.segments(text)):
-            c = self.segment(s)
-            out.extend(base + x for x in (c[1:] if k == 0 else c))
-            base += c[-1]
-        return np.array(out, np.int32)
+    def prefixes(self, text: str) -> bytes:
+        """Steps of the token counts of a text's prefixes, a signed byte a character."""
+        parts = self.segments(text)
+        if not parts:
+            return b""
+        try:
+            steps = b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            steps = b"".join(map(self.segment, parts))
+        # the mark that the model puts before a text is no character of it
+        return bytes([(steps[0] + steps[1]) & 255]) + steps[2:]
 
 
 @lru_cache(maxsize=1)
@@ -125,53 +126,57 @@ def _counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def _count_batches(path: str, keep: bool):
+def _prefix_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
-        known = counter.known
         for b in batches:
-            n, blobs = [], []
-            for x in b.column(1).to_pylist():
-                text = x or ""
-                if keep:
-                    counts = counter.prefixes(text)
-                    blobs.append(counts.astype("<i4").tobytes())
-                    n.append(int(counts[-1]))
-                    continue
-                parts = counter.segments(text)
-                try:
-                    n.append(sum([known[s][-1] for s in parts]))
-                except KeyError:
-                    n.append(sum(counter.segment(s)[-1] for s in parts))
-            cols, names = [b.column(0), b.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
-            if keep:
-                cols, names = [*cols, pa.array(blobs, pa.binary())], [*names, "prefix_tokens"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            steps = pa.array([counter.prefixes(x or "") for x in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), steps], ["doc_id", "n_bytes", "steps"])
 
     return run
 
 
-def prefix_token_counts(docs: DataFrame, model: str, keep_prefixes: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` and, if asked for, ``prefix_tokens``: little-endian int32 counts, entry k for the
-    first k characters.
+def prefix_table(docs: DataFrame, model: str) -> DataFrame:
+    """``doc_id, n_bytes, steps``: the token count of every prefix of every text, stored as its steps from character to
+    character in signed bytes (a token gains one, a merge loses some), which compress well.
 
-    Null and empty texts have no tokens (one entry, 0); repeated rows stay repeated; an empty table gives none. Counts
-    come from tables of whole segments, so a worker solves each frequent segment once, in linear time.
+    Null and empty texts have no prefixes; repeated rows stay repeated; an empty table gives none. Counts come from
+    segments, so a worker solves each frequent segment once, in linear time. The table is Parquet in the shared folder.
     """
     view = doc_view(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    schema = "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens binary" * keep_prefixes
-    return view.mapInArrow(_count_batches(model, keep_prefixes), schema)
+    return cut(view.mapInArrow(_prefix_batches(model), "doc_id long, n_bytes long, steps binary"), "prefixes")
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """Entry k: tokens of the first k characters (0 for none)."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
 
 
-def characters_within(prefix_tokens: bytes, budget: int) -> int:
+def characters_within(steps: bytes, budget: int) -> int:
     """Most characters from the start whose tokens fit the budget, read from a stored table."""
-    counts = np.frombuffer(prefix_tokens, "<i4")
-    return int(np.flatnonzero(counts <= budget)[-1])
+    return int(np.flatnonzero(counts_of(steps) <= budget)[-1])
+
+
+def _answer_batches(budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, fits = [], []
+            for x in b.column(2).to_pylist():
+                total = int(np.frombuffer(x, np.int8).sum(dtype=np.int64))
+                n.append(total)
+                fits.append(len(x) if total <= budget else characters_within(x, budget))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([t > budget for t in n]), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+
+    return run
+
+
+def within(table: DataFrame, budget: int) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit, fit_chars`` (most characters within the budget) from a prefix table alone."""
+    return table.mapInArrow(_answer_batches(budget), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = prefix_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_prefixes=False)
-    return got.withColumn("over_limit", F.col("n_tokens") > 4096)
+    return within(prefix_table(docs, public_tokenizers.path("piece_bpe_32k.model")), 4096)

@@ -13,20 +13,31 @@ def test_every_prefix_equals_library():
     sp, c = sentencepiece.SentencePieceProcessor(model_file=MODEL), m.PrefixCounter(MODEL)
     more = [t[:250] for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:40]]
     for t in TEXTS + more:
-        assert list(c.prefixes(t)) == [len(sp.encode(t[:k])) for k in range(len(t) + 1)], t
+        assert m.counts_of(c.prefixes(t)).tolist() == [len(sp.encode(t[:k])) for k in range(len(t) + 1)], t
 
 
-def test_counts_and_stored_prefixes(spark):
+def test_counts_from_stored_prefixes(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    docs = [*enumerate(TEXTS), (50, None), (3, "again"), (3, "again"), (60, "long text " * 5000)]
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_tokens")
-    want = sorted((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in docs)
-    for keep in (False, True):
-        rows = m.prefix_token_counts(d, MODEL, keep).collect()
-        assert sorted((x.doc_id, x.n_bytes, x.n_tokens) for x in rows) == want
-    x = next(x for x in rows if x.doc_id == 60)
-    k = m.characters_within(x.prefix_tokens, 100)
-    text = "long text " * 5000
-    assert len(sp.encode(text[:k])) <= 100 < len(sp.encode(text[: k + 1]))
-    assert np.frombuffer(x.prefix_tokens, "<i4")[-1] == x.n_tokens
-    assert m.prefix_token_counts(d.limit(0), MODEL).count() == 0
+    long = "long text " * 5000
+    docs = [*enumerate(TEXTS), (50, None), (3, "again"), (3, "again"), (60, long), (None, "no id")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as steps")
+    table = m.prefix_table(d, MODEL)
+    got = sorted((tuple(x) for x in m.within(table, 100).collect()), key=str)
+    want = []
+    for i, t in docs:
+        t = t or ""
+        n = len(sp.encode(t))
+        k = len(t) if n <= 100 else max(k for k in range(600) if len(sp.encode(t[:k])) <= 100)
+        want.append((i, len(t.encode()), n, n > 100, k))
+    assert got == sorted(want, key=str)
+    steps = next(x.steps for x in table.collect() if x.doc_id == 60)
+    assert m.counts_of(steps)[5000] == len(sp.encode(long[:5000]))
+    assert m.within(m.prefix_table(d.limit(0), MODEL), 100).count() == 0
+
+
+def test_query_equals_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["doc_id", "text"]).to_pylist()
+    got = {x.doc_id: (x.n_bytes, x.n_tokens, x.over_limit) for x in m.query(spark, "/root/testdata/sf0.001").collect()}
+    n = {d["doc_id"]: (len((d["text"] or "").encode()), len(sp.encode(d["text"] or ""))) for d in docs}
+    assert got == {i: (b, t, t > 4096) for i, (b, t) in n.items()}
