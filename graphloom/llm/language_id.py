@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.llm.common import doc_view, utf8
 
@@ -152,50 +151,44 @@ def learn(docs: DataFrame) -> Model | None:
     return Model(x, [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns named (default: all) and ``_lang_pred, _lang_score``; text null or without a letter: ``und``, 0.
+def predicted(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; null or without a letter, or no model at all: ``und``, 0."""
+    pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    rows = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    for at in range(0, len(rows), 128):
+        part = rows[at : at + 128]
+        langs, score[part] = model.predict(unit(np.stack([trigram_counts(texts[i]) for i in part])))
+        for i, a in zip(part, langs, strict=True):
+            pred[i] = a
+    return pred, score
 
-    Every whole text is read; the prediction sees nothing but the text. Without a model all is ``und``.
-    """
-    spark, keep = docs.sparkSession, keep or docs.columns
-    docs = docs.select(*keep, F.col("text").alias("_lang_text"))
-    shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row, from the whole text and nothing else."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
-            pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
-            for at in range(0, len(rows), 128):
-                part = rows[at : at + 128]
-                langs, s = m.predict(unit(np.stack([trigram_counts(texts[i]) for i in part])))
-                score[part] = s
-                for i, a in zip(part, langs, strict=True):
-                    pred[i] = a
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), pa.array(pred, pa.string()), pa.array(score)], schema.names)
+            pred, score = predicted(shared.value, utf8(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return doc_view(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, all columns kept; without a model all whose text has a letter."""
     model = learn(docs)
-    if model is None:
-        return docs.mapInArrow(_lettered(docs.columns.index("text")), docs.schema)
-    return identify(docs, model).where(F.col("_lang_pred") != UNDETERMINED).select(docs.columns)
-
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
-def _lettered(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([has_letter(t) for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            keep = [has_letter(t) for t in texts] if shared.value is None else [p != UNDETERMINED for p in predicted(shared.value, texts)[0]]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = identify(doc_view(docs), learn(docs), ["doc_id"])
-    return got.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 4 = 2").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return identify(docs, learn(docs)).select("doc_id", F.expr("crc32(cast(doc_id as string)) % 4 = 2").alias("held_out"), "lang_pred", "score")
