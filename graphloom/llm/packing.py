@@ -112,7 +112,7 @@ def _local_batches(path: str, ranks: str, capacity: int, end_id: int):
         order = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int32)
         r = rows[order]
-        items = pa.StructArray.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int32)), pa.array(r[:, 2]), pa.array(r[:, 3].astype(np.int32)), pa.array(r[:, 4])], ["doc_id", "piece", "start", "length", "crc"])
+        items = pa.StructArray.from_arrays([pa.array(r[:, 0], mask=r[:, 5] == 1), pa.array(r[:, 1].astype(np.int32)), pa.array(r[:, 2]), pa.array(r[:, 3].astype(np.int32)), pa.array(r[:, 4])], ["doc_id", "piece", "start", "length", "crc"])
         fill = np.add.reduceat(r[:, 3], offsets[:-1]).astype(np.int32) if len(chosen) else np.zeros(0, np.int32)
         ids = (TaskContext.get().partitionId() << 33) + serial + np.arange(len(chosen))
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fill), pa.ListArray.from_arrays(pa.array(offsets), items)], schema=_BIN)
@@ -132,7 +132,7 @@ def _local_batches(path: str, ranks: str, capacity: int, end_id: int):
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start) % capacity or capacity
-                    rows.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    rows.append((doc or 0, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), doc is None))
                     start, piece = start + length, piece + 1
             if len(rows) >= LOCAL_ITEMS:
                 yield (out := pack(rows, serial))
@@ -172,18 +172,19 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = 1024, end_
 
     Round 0 packs where the text is read, without a shuffle: best-fit over each partition's own pieces. Bins that lack
     over SLACK tokens become the items of the next round, FAN_IN partitions to one, until one task packs the rest. A
-    round's tasks never hold over about BINS_PER_TASK bins: where bins that can't be combined stay more than that, the
-    rounds end as soon as one gains less than a hundredth.
+    round's tasks never hold over about BINS_PER_TASK bins: where that keeps tasks from becoming fewer, other bins meet in
+    each round, until one saves less than a bin a task.
     """
     bins = cut(doc_view(docs).mapInArrow(_local_batches(tokenizer, ranks, capacity, end_id), f"bin long, fill int, items {ITEM}"), "bins")
     done, rest = [bins.where(F.col("fill") >= capacity - SLACK)], bins.where(F.col("fill") < capacity - SLACK)
-    parts, n = bins.rdd.getNumPartitions(), rest.count()
+    parts, n, turn = bins.rdd.getNumPartitions(), rest.count(), 0
     while n:
+        was, before, turn = n, parts, turn + 1
         parts = max(1, -(-parts // FAN_IN), -(-n // BINS_PER_TASK))
-        merged = cut(rest.repartition(parts, F.xxhash64(F.col("bin"), F.lit(parts))).mapInArrow(_merge_batches(capacity), rest.schema), "bins")
+        merged = cut(rest.repartition(parts, F.xxhash64(F.col("bin"), F.lit(turn))).mapInArrow(_merge_batches(capacity), rest.schema), "bins")
         left = merged.where(F.col("fill") < capacity - SLACK)
-        was, n = n, left.count()
-        if parts == 1 or n > BINS_PER_TASK and n > 0.99 * was:
+        n = left.count()
+        if parts == 1 or parts >= before and was - n < parts:
             done.append(merged)
             break
         done.append(merged.where(F.col("fill") >= capacity - SLACK))
