@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from graphloom.llm import secrets as m
 
@@ -72,3 +76,73 @@ def test_private_keys_are_masked_whole(spark):
     assert got == {k: t for k, (_, t) in enumerate(texts)}
     spans = sorted((r.doc_id, [(s.start, s.rank, s.end) for s in r.spans]) for r in m.scan(d).collect())
     assert spans == sorted((k, brute(t)) for k, (t, _) in enumerate(texts))
+
+
+FOUND = {
+    "aws_id": "ASIA" + "A1" * 8, "github": "ghs_" + "aB3" * 12, "github_pat": "github_pat_" + "aB3_" * 10, "gitlab": "glpat-" + "aB3-" * 6, "slack": "xoxp-123456-abcdef", "slack_hook": "https://hooks.slack.com/services/T0000/B0000/abcdefgh",
+    "discord_hook": "discordapp.com/api/webhooks/123456789012345678/" + "aB3_" * 16, "google_key": "AIza" + "aB3_x" * 7, "google_oauth": "ya29." + "aB3_" * 6, "stripe": "sk_live_0123456789ab", "sendgrid": "SG." + "a" * 22 + "." + "b" * 43,
+    "npm": "npm_" + "aB3" * 12, "pypi": "pypi-AgEIcHlwaS5vcmc" + "aB3_x" * 10, "hugging_face": "hf_" + "abCdE" * 7, "sk_key": "sk-proj-" + "aB3_x" * 9, "digital_ocean": "doo_v1_" + "a1" * 32, "shopify": "shpss_" + "a1F0" * 8, "square": "sq0atp-" + "aB3-" * 6,
+    "jwt": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc_DEF-12", "telegram": "123456789:AA" + "aB3" * 11, "databricks": "dapi" + "a1" * 16, "azure_key": "AccountKey=" + "aB3/" * 11 + "==", "vault": "hvs." + "aB3_" * 7, "age": "AGE-SECRET-KEY-1" + "AB" * 29,
+    "postman": "PMAK-" + "a1" * 12 + "-" + "a1" * 17, "mailchimp": "a1" * 16 + "-us12", "url_password": "postgres://user:pa55word@db.example", "auth_header": "Authorization: Bearer abcdefgh12345678",
+}
+
+
+def test_every_rule_finds_its_kind_through_the_index(spark):
+    rules = m.BASE_RULES + m.MORE_RULES
+    assert len(rules) >= 30 and set(FOUND) == {r.kind for r in m.MORE_RULES} - {"pem"}
+    assert [r.kind for r in rules if not m.trigram_query(r)] == ["hex"]
+    rows = [(k, f"a text with {t} in it") for k, t in enumerate(FOUND.values())] + [(100, "sk_ gh AKI eyJ nothing of the kind: //"), (101, None)]
+    got = {r.doc_id: [(s.start, s.rank, s.end) for s in r.spans] for r in m.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+    for k, kind in enumerate(FOUND):
+        assert kind in {rules[r].kind for _, r, _ in got[k]}
+
+
+def test_queries_never_miss_a_match():
+    """Regexes of forks, classes and repeats against all short texts that they match."""
+    for regex in ("(ab|cd){2}xyz", "a[bc]d{3}e", "(abc)?def", "[ab]cd(e|fg)", "(?:xy){3}", "(abc|de)f?gh"):
+        r = re.compile(regex)
+        for f in range(20000):
+            rng = random.Random(f)
+            t = "".join(rng.choice("abcdefghxyz"[: 3 + f % 9]) for _ in range(9))
+            for x in r.finditer(t):
+                query = m.trigram_query(m.Rule("t", regex))
+                assert not query or any(all(g in x.group() for g in clause) for clause in query)
+
+
+def test_postings_are_what_the_texts_hold(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_DOCS", 3)
+    rng = random.Random(3)
+    docs = [(k, "".join(rng.choice("aKIA") for _ in range(12))) for k in range(40)] + [(5, "kiakia"), (None, "AKIA")]
+    grams = ["aki", "kia", "zzz"]
+    d = spark.createDataFrame(docs, "doc_id long, text string").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text")
+    keys = {r.doc_id: r.key for r in d.collect()}
+    got = [(grams[r.gram], x) for r in m.postings(d, grams).collect() for x in r.docs]
+    assert len(got) == len(set(got)) and set(got) == {(g, keys[i]) for i, t in docs for g in grams if g in t.lower()}
+    assert m.postings(d, grams).select("block").distinct().count() > 3
+
+
+def test_running_folds(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.randrange(100) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3, 4, 5, 16, 17, 100, 1000])]
+    d = spark.createDataFrame(rows, "k int, x array<int>").select("k", m.running(F.col("x"), lambda a, e: a + e).alias("s"), m.running(F.col("x"), F.greatest).alias("g"))
+    got = {r.k: (r.s, r.g) for r in d.collect()}
+    assert got == {k: ([sum(x[: i + 1]) for i in range(len(x))], [max(x[: i + 1]) for i in range(len(x))]) for k, x in rows}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """5 MB of text with 200,000 matches, 40,000 of them secrets; and texts that make regexes look ahead far."""
+    rng = random.Random(2)
+    text = "".join(f"é {'a' * rng.choice([3, 4, 5, 23, 24])} " + "word " * rng.randrange(4) for _ in range(200_000))
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n"
+    rows = [(1, text), (2, pem + "well-known words - " * 100_000), (3, pem + ("A" * 64 + "\n") * 20_000), (4, pem * 20_000)]
+    m.redact(spark.createDataFrame([(0, "b password=abcdefgh")], "doc_id long, text string")).collect()
+    began = time.time()
+    got = {r.doc_id: r.text for r in m.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert time.time() - began < 60
+    out, at = [], 0
+    for s, _, e in brute(text):
+        out += [text[at:s], "[SECRET]"]
+        at = e
+    assert got[1] == "".join(out) + text[at:]
+    assert got[2] == "[SECRET]\n" + "well-known words - " * 100_000 and got[3].startswith("[SECRET]")
