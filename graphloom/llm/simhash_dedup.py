@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graphloom.llm.common import cut, doc_view, mix, utf8
 from graphloom.llm.components import components
@@ -17,8 +18,9 @@ from graphloom.llm.components import components
 FANOUT, GROUP_LIMIT, CHUNK = 8, 4096, 8192
 #: After so many splits a group has at most 14 free bits, so at most 2**14 distinct fingerprints.
 LEVELS = 4
-#: Near copies of a corpus: words of a shingle; least similarity, as a fraction; bands and minima of each.
-NEAR_WIDTH, NEAR_NUM, NEAR_DEN, BANDS, ROWS = 5, 4, 5, 32, 5
+#: Near copies of a corpus: words of a shingle; least similarity, as a fraction; bands and minima of each; shingles of the
+#: texts that one task compares with as many others.
+NEAR_WIDTH, NEAR_NUM, NEAR_DEN, BANDS, ROWS, BLOCK_VALUES = 5, 4, 5, 32, 5, 1 << 20
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -277,73 +279,113 @@ def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
 
-def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """node, n and label of each two or more neighbouring rows with the same key."""
-    held: list[np.ndarray] | None = None
+class Block:
+    """Sets of one block side by side: how much a set shares with each is counted through all their values in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, owner = np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def alike(self, s: np.ndarray) -> np.ndarray:
+        """Places of the sets that are alike to ``s``."""
+        lo, n = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
+        n -= lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(both * NEAR_DEN >= NEAR_NUM * (len(s) + self.sizes - both))
+
+
+def _block_links(side: np.ndarray, node: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links between the two sides, or within one where there is no other; one for each two classes that they join."""
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    rest = second if len(second) else first
+    block, label = Block([sets[k] for k in rest]), np.unique(label, return_inverse=True)[1]
+    for x in first:
+        for y in rest[block.alike(sets[x])]:
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                yield node[x], node[y]
+
+
+def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``hub, kind, i, j`` -> links of each such group."""
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        side, node, label = (t[c].to_numpy() for c in ("side", "node", "label"))
+        found = list(_block_links(side, node, label, [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    held, last = [], None
     for b in batches:
-        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
-        edges = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1])
-        for k in np.flatnonzero(np.diff(edges) > 1):
-            yield [r[edges[k] : edges[k + 1]] for r in rows[1:]]
-        held = [r[edges[-1] :] for r in rows]
-    if held and len(held[0]) > 1:
-        yield held[1:]
-
-
-def _pair_batches(first: bool):
-    """Pairs to compare. First round: each with the least of its group whose size can fit; then all of unlike labels."""
-
-    def pairs(node: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        most, at = np.searchsorted(n, n * NEAR_DEN // NEAR_NUM, "right"), 0
-        while at < len(node) - 1:
-            other = node[at + 1 : most[at]]
-            other = other if first else other[label[at + 1 : most[at]] != label[at]]
-            if len(other):
-                yield np.full(len(other), node[at]), other
-            at = max(at + 1, int(most[at])) if first else at + 1
+        keys = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if held and last != tuple(keys[lo]):
+                yield links(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = tuple(keys[lo])
+    if held:
+        yield links(held)
+
+
+def _hubs(nodes: DataFrame) -> DataFrame:
+    """``node, hub``: for each key that nodes share the one of them that shares most keys with most nodes.
+
+    Two nodes that share a key have its hub in common.
+    """
+    dealt = nodes.select(F.explode("keys").alias("key"), "node")
+    many = cut(dealt.withColumn("c", F.count("*").over(W.partitionBy("key"))).where("c > 1"), "keys")
+    weight = many.groupBy("node").agg(F.sum("c").alias("weight"))
+    hub = many.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    return cut(many.join(hub, "key").where("node != hub").select("node", "hub").distinct(), "hubs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, held = [], [], 0
-        for group in _key_groups(batches):
-            for x, y in pairs(*group):
-                a.append(np.minimum(x, y)), b.append(np.maximum(x, y))
-                held += len(x)
-                if held >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return run
+def _rest_links(hubs: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """``a, b``: links of nodes that aren't in their hub's class: to its class, and among each other.
+
+    Both are dealt in blocks of BLOCK_VALUES shingles or so, and each two blocks meet in a task that has them alone.
+    """
+    known = nodes.select("node", "n").join(label, "node", "left").select("node", "n", F.coalesce("component", "node").alias("label"))
+    rows = hubs.join(known, "node").join(known.select(F.col("node").alias("hub"), F.col("label").alias("own")), "hub")
+    rows = rows.select("hub", "node", "n", "label", (F.col("label") != F.col("own")).alias("apart"))
+    size = rows.groupBy("hub").agg(*[F.sum(F.when(F.col("apart") == x, v).otherwise(0)).alias(c) for c, x, v in (("na", True, F.lit(1)), ("nm", False, F.lit(1)), ("va", True, F.col("n")), ("vm", False, F.col("n")))])
+    size = size.where("na > 1 or na = 1 and nm > 0").select("hub", *[F.ceil(F.col(v) / BLOCK_VALUES).cast("int").alias(c) for c, v in (("ba", "va"), ("bm", "vm"))])
+    rows = rows.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("ba")).otherwise(F.col("bm"))).cast("int"))
+    places = "transform(sequence(0, {0} - 1), o -> named_struct('kind', {1}, 'i', {2}, 'j', {3}, 'side', {4}))"
+    none = "array()"
+    among = places.format("ba", 1, "least(own, o)", "greatest(own, o)", "if(own > o, 1, 0)")
+    across = f"if(bm > 0, {places.format('bm', 0, 'own', 'o', 0)}, {none})"
+    rows = rows.withColumn("places", F.expr(f"if(apart, concat({across}, {among}), {places.format('ba', 0, 'o', 'own', 1)})"))
+    met = rows.select("hub", "node", "label", F.inline("places")).join(sets, "node")
+    key = ["hub", "kind", "i", "j"]
+    return met.select(*key, "side", "node", "label", "shingles").repartition(*key).sortWithinPartitions(*key, "side", "node").mapInArrow(_rest_batches, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` (smallest doc_id linked to it), one row per input row with a doc_id.
 
-    Two texts are linked if their sets of NEAR_WIDTH-word shingles are alike (``alike``, on the sets themselves). Pairs
+    Two texts are linked if their sets of NEAR_WIDTH-word shingles are alike (``alike``, on the sets themselves). Texts
     to compare share one of BANDS keys of ROWS minima: a pair at 0.8 shares none with a chance of 3 in a million, more
-    alike ones more seldom still. Equal sets, as those of null and blank texts, collapse to one node. The first round
-    compares each node with one of its group, the second only nodes that are still apart, so a large group of near
-    copies is not squared.
+    alike ones more seldom still. Equal sets, as those of null and blank texts, collapse to one node. Each node is
+    compared with the hubs of its keys; only those that are in another class than a hub then meet all others of that
+    hub, block by block. So no group sends its pairs, and of a large group of near copies few are compared with all.
     """
     view = doc_view(docs).where("doc_id is not null")
     rows = cut(view.mapInArrow(_near_batches, "doc_id long, node long, n long, keys array<long>"), "near")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = cut(nodes, "nodes")
-    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    found, label = None, None
-    for first in (True, False):
-        own = dealt.withColumn("label", F.col("node")) if first else dealt.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "n", "label")
-        pairs = own.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pair_batches(first), "a long, b long").distinct()
-        pairs = cut(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = view.join(nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
-        sets = cut(texts.mapInArrow(_set_batches, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        edges = cut(both.mapInArrow(_alike_batches, "a long, b long"), "alike")
-        found = edges if found is None else found.union(edges)
-        label = components(found)
+    hubs = _hubs(nodes)
+    asked = hubs.select("node").union(hubs.select("hub")).distinct()
+    texts = view.join(nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
+    sets = cut(texts.mapInArrow(_set_batches, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    both = hubs.toDF("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = cut(both.mapInArrow(_alike_batches, "a long, b long"), "alike")
+    label = components(links)
+    label = components(links.union(_rest_links(hubs, nodes, sets, label)))
     labelled = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows.select("doc_id", "node").join(labelled.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -58,3 +58,21 @@ def test_one_changed_word_in_200_is_a_copy_and_a_shared_line_is_not(spark):
     docs += [(100 + k, line * 30 + " ".join(f"y{k}_{j}" for j in range(40))) for k in range(5)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(x.doc_id for x in m.keep_one(d).collect()) == [0, 100, 101, 102, 103, 104]
+
+
+def test_a_large_group_whose_members_are_partly_unlike(spark, monkeypatch):
+    """Each member is a few changes from one text, so two of them may be far apart; blocks hold few of them."""
+    monkeypatch.setattr(m, "BLOCK_VALUES", 3000)
+    r = np.random.default_rng(7)
+    base = [f"w{x}" for x in r.integers(0, 4000, 100)]
+    docs = []
+    for k in range(150):
+        v = list(base)
+        for at in r.integers(0, len(v), int(r.integers(1, 8))):
+            v[at] = f"x{r.integers(10**6)}"
+        docs.append((k, " ".join(v)))
+    docs += [(1000 + k, t) for k, (_, t) in enumerate(docs[:40])] + [(None, docs[0][1])]
+    got = {x.doc_id: x.component_id for x in m.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    docs = [x for x in docs if x[0] is not None]
+    want = dict(zip((i for i, _ in docs), classes(docs), strict=True))
+    assert got == want and 5 < len(set(want.values())) < 120

@@ -4,10 +4,11 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers as P
+import test_near_copies as near
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, secrets, simhash_dedup
+from graphloom.llm import decontaminate, secrets
 
 DIR = "/root/testdata/sf0.001"
 
@@ -15,12 +16,7 @@ DIR = "/root/testdata/sf0.001"
 def brute():
     rows = pq.read_table(f"{DIR}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     rows = sorted(((r["doc_id"], r["text"]) for r in rows if r["text"] and any(c.isalpha() for c in r["text"])))
-    fp = np.array([simhash_dedup.simhash(t.encode()) for _, t in rows], np.uint64)
-    group = list(range(len(rows)))
-    for _ in rows:
-        for i in range(len(rows)):
-            group[i] = min(group[j] for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 2))
-    rows = [r for i, r in enumerate(rows) if group[i] == i]
+    rows = [r for r, g in zip(rows, near.classes(rows), strict=True) if r[0] == g]
     wins = {w for b in pq.read_table(f"{DIR}/benchmark.parquet").to_pylist() for w in decontaminate.windows_of(decontaminate.words_of(b["text"].encode()))}
     sizes = {len(w) for w in wins}
     out = []
@@ -66,3 +62,20 @@ def test_stages_keep_columns(spark):
         docs = stage(spark, docs, DIR)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.where("n_chars != length(text)").count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """Names that the operators use for columns of their own, nulls, repeated rows and ids, empty texts."""
+    odd = ["mask", "spans", "_id", "_n", "_spans", "_lang_pred", "_lang_score", "_lang_text", "_text", "row", "key", "maybe", "masked", "node", "keys", "hub", "N", "Label", "a", "b", "component_id", "lang", "source", "n_chars"]
+    bench = pq.read_table(f"{DIR}/benchmark.parquet").to_pylist()[0]["text"]
+    texts = ["plain words of a text here", "plain words of a text here", None, "", "x " + bench + " y password=abcdefgh1", "1 2 3"]
+    rows = [(k if k < 4 else None, t, *[f"{c}{k}" for c in odd[:-1]], len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in odd[:-1]) + ", n_chars int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}{k}" for k in [int(r["mask"][4:])] for c in odd[:-1]), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
