@@ -130,6 +130,13 @@ def trigram_query(rule: Rule) -> list[set[str]]:
     return query
 
 
+def grams_in(low: Column, grams: list[str]) -> Column:
+    """Which of the trigrams a lower-case text has, in one pass: they are looked for at every place, by their first character."""
+    heads = {g[0]: [re.escape(x[1:]) for x in grams if x[0] == g[0]] for g in grams}
+    ways = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in heads.items())
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({ways}))"), F.lit(1)))
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """``block, gram, docs``: the inverted index over the trigrams that rules ask for, in lower case.
 
@@ -137,11 +144,7 @@ def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     table, whatever the trigram.
     """
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-
-    def present(low: Column) -> Column:
-        return F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]), lambda x: x.isNotNull())
-
-    held = docs.select("key", F.explode(let(F.lower("text"), present)).alias("gram"))
+    held = docs.select("key", F.explode(grams_in(F.lower("text"), grams)).alias("gram"))
     return held.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("docs"))
 
 
@@ -151,15 +154,17 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     grams = sorted({g for q in asked for c in q for g in c})
     if not grams:
         return docs.select("key", F.array().cast("array<int>").alias("maybe")).where("false")
-    none = F.array().cast("array<bigint>")
     index = postings(docs, grams).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("lists"))
+    queries = F.array(*[F.struct(F.lit(k).alias("rule"), F.array(*map(F.lit, sorted(c))).alias("grams")) for k, q in enumerate(asked) for c in q])
 
-    def found(query: list[set[str]]) -> Column:
-        clauses = [reduce(F.array_intersect, [F.coalesce(F.element_at("lists", F.lit(grams.index(g))), none) for g in sorted(c)]) for c in query]
-        return reduce(F.array_union, clauses)
+    def list_of(gram: Column) -> Column:
+        return F.coalesce(F.element_at("lists", gram), F.array().cast("array<bigint>"))
 
-    each = F.array(*[F.struct(F.lit(k).alias("rule"), found(q).alias("docs")) for k, q in enumerate(asked) if q])
-    rows = index.select(F.inline(each)).select("rule", F.explode("docs").alias("key"))
+    def found(clause: Column) -> Column:
+        rest = F.slice(clause["grams"], 2, F.size(clause["grams"]))
+        return F.struct(clause["rule"].alias("rule"), F.aggregate(rest, list_of(clause["grams"][0]), lambda both, g: F.array_intersect(both, list_of(g))).alias("docs"))
+
+    rows = index.select(F.inline(F.transform(queries, found))).select("rule", F.explode("docs").alias("key"))
     return rows.groupBy("key").agg(F.collect_set("rule").alias("maybe"))
 
 
@@ -189,13 +194,16 @@ def _java(rule: Rule) -> str:
     return ("(?i)" if rule.ignore_case else "") + rule.regex
 
 
-def _sizes(text: Column, rule: Rule) -> Column:
-    """Of each leftmost non-overlapping match what stands before it, its length and its group's, in code points."""
-    regex = F.lit(_java(rule))
-    hits = F.regexp_extract_all(text, regex, F.lit(0))
-    groups = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else hits
-    gaps = F.split(text, _java(rule), -1)
-    return F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("size"), F.transform(groups, F.length).alias("part"))
+def _found(text: Column, rank: Column, rule: Column) -> Column:
+    """A rule's place, least length and of each leftmost non-overlapping match what stands before it, its length and its
+    group's, in code points; null without a match."""
+
+    def sizes(hits: Column) -> Column:
+        groups = F.when(rule["group"] == 0, hits).otherwise(F.regexp_extract_all(text, rule["regex"], rule["group"]))
+        gaps = F.split(text, rule["regex"], -1)
+        return F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("size"), F.transform(groups, F.length).alias("part"))
+
+    return let(F.regexp_extract_all(text, rule["regex"], F.lit(0)), lambda hits: F.when(F.size(hits) > 0, F.struct(rank.alias("rank"), rule["least"].alias("least"), sizes(hits).alias("sizes"))))
 
 
 def _placed(found: Column) -> Column:
@@ -214,13 +222,13 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``row`` (a struct of all columns), ``text`` (null: empty) and ``spans`` of every row."""
     view = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = view.join(candidates(view.select("key", "text"), rules), "key", "left")
-    found = []
+    catalogue = [F.struct(F.lit(_java(r)).alias("regex"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least")) for r in rules]
+    text = F.col("text")
+    found = F.transform(F.coalesce("maybe", F.array().cast("array<int>")), lambda k: _found(text, k, F.get(F.array(*catalogue), k)))
     for k, r in enumerate(rules):
-        asked = F.col("text").rlike(_dense(r))  # a cheap test first: the regex once, without positions
-        if trigram_query(r):
-            asked = F.coalesce(F.array_contains("maybe", F.lit(k)), F.lit(False)) & asked
-        found.append(F.when(asked, F.struct(F.lit(k).alias("rank"), F.lit(r.least).alias("least"), _sizes(F.col("text"), r).alias("sizes"))))
-    found = F.filter(F.array(*found), lambda x: x.isNotNull())
+        if not trigram_query(r):  # every text is read; a cheap test first: the regex once, without positions
+            found = F.concat(found, F.array(F.when(text.rlike(_dense(r)), _found(text, F.lit(k), catalogue[k]))))
+    found = F.filter(found, lambda x: x.isNotNull())
     return joined.select("row", "text", F.array_sort(F.flatten(F.transform(found, _placed))).alias("spans"))
 
 

@@ -117,7 +117,7 @@ def test_postings_are_what_the_texts_hold(spark, monkeypatch):
     grams = ["aki", "kia", "zzz"]
     d = spark.createDataFrame(docs, "doc_id long, text string").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text")
     keys = {r.doc_id: r.key for r in d.collect()}
-    got = [(grams[r.gram], x) for r in m.postings(d, grams).collect() for x in r.docs]
+    got = [(r.gram, x) for r in m.postings(d, grams).collect() for x in r.docs]
     assert len(got) == len(set(got)) and set(got) == {(g, keys[i]) for i, t in docs for g in grams if g in t.lower()}
     assert m.postings(d, grams).select("block").distinct().count() > 3
 
