@@ -20,13 +20,13 @@ from graphloom.llm.common import WHITE, cut, doc_view, mix, utf8, word_hashes, w
 PRIOR, K, LARGE_LOSS, SMALL_LOSS = 0.1, 5, 0.05, 0.5
 #: Words so frequent that their pairs are dealt by both words; text bytes that one bucket gathers;
 #: text bytes whose events are sorted at once.
-SPLIT_WORDS, BUCKET_BYTES, UNIT_BYTES = 4096, 16 << 20, 10 << 20
+SPLIT_WORDS, BUCKET_BYTES, UNIT_BYTES = 4096, 12 << 20, 8 << 20
 #: Word numbers: 56 bits of a hash; the end of a text and its start have fixed ones.
 MASK, END, START = (1 << 56) - 1, 1, 2
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _IN = "bucket int, batch long, data binary"
 _MID = "kind int, batch long, idx int, word long, total long, seen long, mass long, n1 long, n2 long, n3 long, n4 long, n5 long, data binary"
-DOC, CONTEXT, UNSEEN, COUNTS, NAMES = range(5)
+DOC, CONTEXT, UNSEEN, COUNTS, NAMES, PAIRS = range(6)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -184,7 +184,11 @@ def _bucket(split):
             c_u, c_at = np.unique(both[:, 0], return_inverse=True)
             per = {"word": c_u, "total": np.bincount(c_at, count).astype(np.int64), "seen": np.bincount(c_at), "mass": np.bincount(c_at, word_n[_among(both[:, 1], word_u)]).astype(np.int64)}
             out.append((CONTEXT, per | {f"n{r}": np.bincount(c_at, count == r).astype(np.int64) for r in range(1, K + 1)}))
-            del c_at, both
+            w_u, w_at, w_n = np.unique(both[:, 1], return_inverse=True, return_counts=True)
+            order = np.lexsort((both[:, 0], w_at))
+            ctx = both[order, 0]
+            out.append((PAIRS, {"batch": [table["bucket"][0].as_py()], "data": [pack(w_u, w_n.astype(np.uint32), _short(ctx, _among(ctx, frequent), frequent), count[order].astype(np.uint32))]}))
+            del c_at, both, w_at, order, ctx
         for blob, b in zip(blobs, batch, strict=True):  # then scores, blob by blob
             w, n, c, place, own, held = unpack(blob)
             w, c = _plain(w, frequent), _plain(c, frequent)
@@ -202,7 +206,8 @@ def _bucket(split):
             new = r == 0
             if new.any():
                 u, times = np.unique(np.stack([docs[own[new]], ctx[new]], axis=1), axis=0, return_counts=True)
-                out.append((UNSEEN, {"batch": np.full(len(u), b), "idx": u[:, 0], "word": u[:, 1], "total": times}))
+                hot = (_among(u[:, 1], frequent) >= 0) | (u[:, 1] == START)
+                out.append((UNSEEN, {"batch": np.full(len(u), b), "idx": u[:, 0], "word": u[:, 1], "total": times, "seen": hot.astype(np.int64)}))
         pa.default_memory_pool().release_unused()
         return _rows(out)
 
@@ -257,11 +262,39 @@ def discounted(n: list[int]) -> list[float]:
     return out
 
 
+def _pair_rows(split):
+    """Stored blobs of pairs -> rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                w, n, ctx, count = unpack(blob)
+                word, ctx = np.repeat(w, n), _plain(ctx, split.value[0])
+                for at in range(0, len(word), 1 << 16):
+                    s = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(ctx[s]), pa.array(word[s]), pa.array(count[s].astype(np.int64))], ["context", "word", "n"])
+
+    return run
+
+
+def _text_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's pairs of neighbours, once each, with how often they occur there."""
+    row = TaskContext.get().partitionId() << 33
+    for b in _units(batches):
+        word, own = tokens(utf8(b))
+        ctx = np.concatenate([[START], word[:-1]])
+        ctx[np.concatenate([[True], own[1:] != own[:-1]])] = START
+        (own, ctx, word), times = np.unique(np.stack([own, ctx, word]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(row + own), b.column(0).take(pa.array(own)), pa.array(ctx), pa.array(word), pa.array(times)], ["row", "doc_id", "context", "word", "times"])
+        row += b.num_rows
+
+
 class Katz:
-    """A fitted model's tables and the scores of the texts that it was given.
+    """A fitted model's tables, and the scores of the texts that it was given.
 
-    ``words``: word, n. ``contexts``: word, total (its count), weight (log10 of the backoff weight). ``scores``: a row per
-    text. The tables are Parquet in the shared folder, dealt by word.
+    ``words``: word, n. ``contexts``: context, total (its count), weight (log10 of its exactly normalised backoff weight).
+    ``pairs``: context, word, n. All are in Parquet files of the shared folder, words and contexts as rows, pairs as
+    blobs of a bucket's words. ``scores``: a row per text. ``of``: the same model's scores of other texts.
     """
 
     def __init__(self, docs: DataFrame, held_out):
@@ -276,6 +309,7 @@ class Katz:
         buckets = max(1, -(-(stats["bytes"] or 0) // BUCKET_BYTES))
         events = view.mapInArrow(_event_batches(buckets, split), _IN)
         mid = cut(events.groupBy("bucket").applyInArrow(_bucket(split), _MID), "katz")
+        self.pairs = mid.where(F.col("kind") == PAIRS).select("data").mapInArrow(_pair_rows(split), "context long, word long, n long")
 
         got = mid.where(F.col("kind") == COUNTS).agg(*[F.sum(f"n{r}") for r in range(1, K + 1)], F.sum("total")).first()
         self.star = discounted([x or 0 for x in got])
@@ -284,12 +318,16 @@ class Katz:
         small = sum((F.col(f"n{r}") * (r - self.star[r - 1]) for r in range(1, K + 1)), F.lit(0.0))
         large = (F.col("seen") - sum((F.col(f"n{r}") for r in range(1, K + 1)), F.lit(0))) * LARGE_LOSS
         lost = (small + large) / F.col("total")
-        self.contexts = sums.select("word", "total", F.log10(lost / (1 - (F.col("mass") + PRIOR * F.col("seen")) / z)).alias("weight"))
+        weight = F.log10(lost / (1 - (F.col("mass") + PRIOR * F.col("seen")) / z))
+        self.contexts = cut(sums.select(F.col("word").alias("context"), "total", weight.alias("weight")), "contexts")
 
         text = mid.where(F.col("kind").isin(DOC, NAMES)).select("kind", "batch", "data").groupBy("batch")
         text = text.applyInArrow(_gathered, "batch long, idx int, doc_id long, held_out boolean, uni double, part double, n_tokens long, n_known long, n_unseen long, " + ", ".join(f"r{k} long" for k in range(1, K + 1)))
-        back = mid.where(F.col("kind") == UNSEEN).select("batch", "idx", "word", F.col("total").alias("times"))
-        back = back.join(self.contexts, "word").groupBy("batch", "idx").agg(F.sum(F.col("times") * (F.col("weight") + F.log10("total"))).alias("back"))
+        frequent = spark.createDataFrame([(START,), *((w,) for w, _ in top)], "context long")  # SPLIT_WORDS + 1 rows at most
+        unseen = mid.where(F.col("kind") == UNSEEN).select("batch", "idx", F.col("word").alias("context"), F.col("total").alias("times"), "seen")
+        hot = unseen.where("seen = 1").join(F.broadcast(self.contexts.join(F.broadcast(frequent), "context", "left_semi")), "context")
+        back = hot.unionByName(unseen.where("seen = 0").join(self.contexts, "context"))
+        back = back.groupBy("batch", "idx").agg(F.sum(F.col("times") * (F.col("weight") + F.log10("total"))).alias("back"))
         seen = sum((F.col(f"r{r}") * math.log10(self.star[r - 1]) for r in range(1, K + 1)), F.lit(0.0))
         start = math.log10(self.texts) if self.texts else 0.0
         log_z = math.log10(z)
@@ -299,6 +337,23 @@ class Katz:
             (F.col("part") + seen - F.col("n_unseen") * log_z - start + F.coalesce("back", F.lit(0.0))).alias("score"),
         )
 
+    def of(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, n_tokens, score`` of texts that the model need not have seen, from its tables alone.
+
+        Each pair of neighbours asks for its own count; where there is none, for its first word's weight and its second
+        word's share; after an unknown word, for that share. Frequent first words are joined by both words, so they don't
+        meet in one task.
+        """
+        asked = doc_view(docs).mapInArrow(_text_pairs, "row long, doc_id long, context long, word long, times long")
+        distinct = asked.select("context", "word").distinct()
+        seen = distinct.join(self.pairs.withColumnRenamed("n", "count"), ["context", "word"], "left")
+        star = F.when(F.col("count") > K, F.col("count") - LARGE_LOSS).otherwise(F.element_at(F.array(*map(F.lit, self.star)), F.col("count").cast("int")))
+        known = seen.join(self.contexts, "context", "left").join(self.words, "word", "left")
+        share = F.log10((F.coalesce("n", F.lit(0)) + PRIOR) / self.scale)
+        value = F.when(F.col("count").isNotNull(), F.log10(star) - F.log10("total")).otherwise(F.coalesce("weight", F.lit(0.0)) + share)
+        valued = known.select("context", "word", value.alias("value"))
+        return asked.join(valued, ["context", "word"]).groupBy("row", "doc_id").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.col("value")).alias("score")).drop("row")
+
 
 def score(docs: DataFrame, held_out=None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10), one row per input row.
