@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -258,22 +259,37 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: sets of shingles are larger than their texts."""
     for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _few(batches):
         sets = [shingle_set(t) for t in utf8(b)]
         keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "node", "n", "keys"])
 
 
+def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, to be dealt."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in _few(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t or b"") for t in utf8(b)], pa.binary())], ["doc_id", "text"])
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(t) for t in utf8(b)]
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in _few(batches):
+        sets = [shingle_set(unpack(t)) for t in b.column(1).to_pylist()]
         at = [i for i, (s, node) in enumerate(zip(sets, b.column(2).to_pylist(), strict=True)) if _set_id(s) == node]
         yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(at, pa.int64())), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "shingles"])
 
 
 def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _few(batches):
         both = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
         at = pa.array([i for i, (x, y) in enumerate(both) if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
@@ -380,7 +396,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = cut(nodes, "nodes")
     hubs = _hubs(nodes)
     asked = hubs.select("node").union(hubs.select("hub")).distinct()
-    texts = view.join(nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
+    packed = view.mapInArrow(_packed_batches, "doc_id long, text binary")
+    texts = packed.join(nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
     sets = cut(texts.mapInArrow(_set_batches, "node long, shingles binary").dropDuplicates(["node"]), "sets")
     both = hubs.toDF("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = cut(both.mapInArrow(_alike_batches, "a long, b long"), "alike")
