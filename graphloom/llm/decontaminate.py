@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import doc_view
 
 #: Words of a window; words of one shard; distance of sampled suffix positions; bytes of benchmark text in one block.
-WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 1_000_000, 16, 8 << 20
+WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 400_000, 16, 8 << 20
 #: A-Z become a-z; 0-9, a-z and all bytes from \x80 on are word bytes; the others separate words.
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -44,7 +44,6 @@ class Phrases:
         self.words = np.zeros((len(by_window), size), np.int64)
         for i, w in enumerate(by_window):
             self.words[i, : len(w)] = w
-        self.shortest = int(self.lengths.min()) if len(by_window) else 1
 
 
 class FMIndex:
@@ -72,25 +71,36 @@ class FMIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
-        """Suffix array by prefix doubling; a run's end is unique, so rounds follow the longest repeat inside runs."""
+        """Suffix array by prefix doubling; each round only sorts what earlier ones left equal.
+
+        A run's end is unique, so suffixes differ at their run's end at the latest.
+        """
         n = len(text)
         ends = text == 0
-        rank = text + np.count_nonzero(ends)
-        rank[ends] = np.arange(np.count_nonzero(ends))
-        step = 1
+        symbol = text + np.count_nonzero(ends)
+        symbol[ends] = np.arange(np.count_nonzero(ends))
+        size = int(symbol.max()) + 1
+        key, step = symbol, 1
+        while size < 2**31:  # two, four, ... symbols at once; past a run's end nothing matters any more
+            key = key * size
+            key[:-step] += key[step:] // size
+            size, step = size * size, step * 2
+        order = np.argsort(key, kind="stable")
+        slots, key = np.arange(n), key[order]
+        rank = np.empty(n, np.int64)
         while True:
-            after = np.zeros(n, np.int64)
-            after[:-step] = rank[step:] + 1
-            after[ends] = 0
-            key = rank * (int(rank.max()) + 2) + after if step < n else rank
-            order = np.argsort(key, kind="stable")
-            new = np.zeros(n, np.int64)
-            new[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            step *= 2
-            if int(rank.max()) == n - 1 or step >= n:
+            head = np.ones(len(slots) + 1, bool)
+            head[1:-1] = key[1:] != key[:-1]
+            items = order[slots]
+            rank[items] = np.maximum.accumulate(np.where(head[:-1], slots, 0))
+            slots = slots[~(head[:-1] & head[1:])]
+            if not len(slots):
                 return order
+            items = order[slots]
+            key = rank[items] * n + rank[items + step]
+            again = np.argsort(key, kind="stable")
+            order[slots], key = items[again], key[again]
+            step *= 2
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (counts, zeros) in enumerate(self.levels):
@@ -130,40 +140,29 @@ class FMIndex:
 
 
 def shard_hits(ids: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
-    """Per document (word numbers, 0 for others): merged hit spans [start, end) in words, and the items that occur."""
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    words = np.concatenate(ids) if len(ids) else np.zeros(0, np.int64)
-    inside = np.zeros(len(words) + 2, np.int8)
-    inside[1:-1] = words != 0
-    edge = np.diff(inside)
-    cuts = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(words))]
-    joined = cuts[(words[cuts] != 0) & (words[cuts - 1] != 0)]
-    joined = np.unique(joined)
-    starts = np.sort(np.concatenate([np.flatnonzero(edge == 1), joined]))
-    ends = np.sort(np.concatenate([np.flatnonzero(edge == -1), joined]))
-    long = ends - starts >= phrases.shortest  # no window fits into a shorter run of benchmark words
-    starts, ends = starts[long], ends[long]
+    """Per document (word numbers, one past the last of the benchmark's for all other words): merged hit spans
+    [start, end) in words, and the items that occur. The index holds every word of the shard; documents end with 0."""
     hits: list[tuple[list[tuple[int, int]], list[int]]] = [([], []) for _ in ids]
-    if not len(starts):
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    if not lengths.sum() or not len(phrases.lengths):
         return hits
-    size = ends - starts + 1
-    place = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    text = np.where(place < np.repeat(ends, size), words[np.minimum(place, len(words) - 1)], 0)
-    index = FMIndex(text, len(phrases.vocab))
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    text = np.insert(np.concatenate(ids), bounds[1:], 0)
+    index = FMIndex(text, len(phrases.vocab) + 1)
     lo, hi = index.search(phrases.words, phrases.lengths)
     found = np.flatnonzero(hi > lo)
     which = np.repeat(found, (hi - lo)[found])
     if not len(which):
         return hits
-    rows = np.concatenate([np.arange(lo[k], hi[k]) for k in found])
-    at = place[index.locate(rows)]
-    cover = np.zeros(len(words) + 1, np.int64)
+    at = index.locate(np.concatenate([np.arange(lo[k], hi[k]) for k in found]))
+    doc = np.searchsorted(bounds + np.arange(len(bounds)), at, "right") - 1
+    at -= doc  # every document before it has an end
+    n = int(bounds[-1])
+    cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + phrases.lengths[which], -1)
-    hit = np.zeros(len(words) + 2, np.int8)
+    hit = np.zeros(n + 2, np.int8)
     hit[1:-1] = np.cumsum(cover[:-1]) > 0
-    doc = np.searchsorted(bounds, at, "right") - 1
     pairs = np.unique(doc * len(phrases.lengths) + which)
     for d, w in zip((pairs // len(phrases.lengths)).tolist(), (pairs % len(phrases.lengths)).tolist(), strict=True):
         hits[d][1].extend(phrases.items[w])
@@ -194,7 +193,8 @@ def _searched(batches: Iterator[pa.RecordBatch], at: int, phrases: list) -> Iter
     """Shards of rows: the rows, their texts (column ``at``), numbers of words, and hits over all blocks, row by row."""
 
     def numbers(block, text):
-        return np.array([block.get(w, 0) for w in words_of(text)], np.int64)
+        other = len(block) + 1
+        return np.array([block.get(w, other) for w in words_of(text)], np.int64)
 
     def done(parts, texts, ids):
         hits = shard_hits(ids, phrases[0].value)
