@@ -14,7 +14,7 @@ from graphloom.llm.common import cut, doc_view
 
 SPACE = "▁"
 #: Segments and token pairs that a worker keeps.
-KEPT_SEGMENTS, KEPT_PAIRS = 500_000, 500_000
+KEPT_SEGMENTS, KEPT_PAIRS = 1_200_000, 500_000
 
 
 class PrefixCounter:
@@ -64,28 +64,47 @@ class PrefixCounter:
                 gains[i] = score(parts[i] + parts[i + 1], none)
         return parts == [a, b]
 
-    def solve(self, segment: str) -> list[int]:
-        """Counts of the prefixes of 1, 2, ... characters of a segment."""
-        counts, last, low, pairs, score = [0], [""], 0, self.pairs, self.score
-        for j in range(1, len(segment) + 1):
-            if j > 1 and segment[j - 2 : j] not in self.inside:
+    def solve(self, segment: str) -> bytes:
+        """By how much the count changes at each character of a segment: what a token gains or a merge loses.
+
+        One token alone can end a prefix; what is most often right is tried first: the last token made longer, then the
+        new character alone, then all others.
+        """
+        steps, ends, last, low, i = bytearray(), [0], [""], 0, 0
+        pairs, score, apart, inside, longest = self.pairs, self.score, self.apart, self.inside, self.longest
+        before = t = ""
+        for j, c in enumerate(segment, 1):
+            if before + c not in inside:
                 low = j - 1
-            for i in range(max(low, j - self.longest), j):
-                t = segment[i:j]
-                if t in score and (not (a := last[i]) or (pairs[a, t] if (a, t) in pairs else self.apart(a, t))):
-                    counts.append(counts[i] + 1)
-                    last.append(t)
-                    break
-            else:  # no piece has this character: its bytes are tokens, and nothing merges with them
-                counts.append(counts[j - 1] + len(segment[j - 1].encode()))
-                last.append("")
-        return counts[1:]
+            before = c
+            if i < low:
+                i = low
+            t = segment[i:j]
+            if t in score and (not (a := last[i]) or (pairs[a, t] if (a, t) in pairs else apart(a, t))):
+                k = i
+            else:
+                for k in (j - 1, *range(j - longest if j - longest > low else low, j - 1)):
+                    t = segment[k:j]
+                    if t in score and (not (a := last[k]) or (pairs[a, t] if (a, t) in pairs else apart(a, t))):
+                        break
+                else:  # no piece has this character: its bytes are tokens, and nothing merges with them
+                    steps.append(len(c.encode()))
+                    ends.append(ends[-1] + len(c.encode()))
+                    last.append("")
+                    i = j
+                    continue
+            n = ends[k] + 1
+            steps.append((n - ends[-1]) & 255)
+            ends.append(n)
+            last.append(t)
+            i = k
+        return bytes(steps)
 
     def segment(self, segment: str) -> bytes:
-        """By how much the count changes at each character of a segment: what a token gains or a merge loses."""
+        """``solve`` of a segment, kept where it is short."""
         got = self.known.get(segment)
         if got is None:
-            got = np.diff(np.array([0, *self.solve(segment)])).astype(np.int8).tobytes()
+            got = self.solve(segment)
             if len(segment) <= 60:
                 if len(self.known) > KEPT_SEGMENTS:
                     self.known.clear()
