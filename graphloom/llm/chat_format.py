@@ -25,7 +25,7 @@ def unescape(c: Column) -> Column:
 
 def turn_tokens(text: Column) -> Column:
     """Words and single signs, a tokenizer-free measure of a turn, plus its frame."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + FRAME_TOKENS
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]")) + FRAME_TOKENS
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:

@@ -1,48 +1,15 @@
-"""Shared helpers of the training-data operators: shared-folder tables, document views, byte tables."""
+"""Shared helpers of the training-data operators: document views, byte tables, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DIRS: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, own temp folder only where unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def _clean() -> None:
-    for spark, path in _DIRS:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch
-            return
-
-
-atexit.register(_clean)
-
+from graphloom.plans.shared import cut
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _DIRS.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WHITE", "cut", "doc_view", "mix", "utf8", "word_hashes", "word_spans"]
 
 
 def doc_view(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": oracles.DECONTAMINATE,
+    "op2_chat_format": oracles.CHAT,
     "op7_secret_scan": oracles.SECRETS,
     "op10_substring_dedup": oracles.SUBSTRINGS,
 }

@@ -63,3 +63,30 @@ def test_near_duplicates(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(300, 300), (None, 4)], "a long, b long")
     assert {x.component for x in components(edges).collect()} == {0}
+
+
+def test_query_equals_brute_force_from_the_contract(spark):
+    """Fingerprints bit by bit and classes pair by pair, with nothing of the module."""
+    import re
+
+    import pyarrow.parquet as pq
+    import xxhash
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    prints = {}
+    for d in docs:
+        text = re.sub("[A-Z]", lambda m: m.group().lower(), d["text"] or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[d["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    group = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in prints.items():
+            least = min(group[j] for j, b in prints.items() if (a ^ b).bit_count() <= 2)
+            changed |= least != group[i]
+            group[i] = least
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in m.query(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: (f"{p:016x}", group[i]) for i, p in prints.items()}
