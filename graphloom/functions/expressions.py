@@ -13,10 +13,11 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def closure(adjacent: str, seen: str, new: str) -> str:
-    """All that ``new`` leads to, and ``seen``, without going on from ``seen`` (sorted)."""
+def closure(adjacent: str, seen: str, new: str, depth: int | None = None) -> str:
+    """All that ``new`` leads to (in ``depth`` steps at most), and ``seen``, without going on from ``seen`` (sorted)."""
     step = let("found", f"array_except(array_distinct(flatten(transform(s.new, x -> {adjacent}[x]))), s.seen)", "named_struct('seen', concat(s.seen, found), 'new', found)")
-    return f"array_sort(aggregate(sequence(1, n), named_struct('seen', {seen}, 'new', {new}), (s, i) -> if(size(s.new) = 0, s, {step}), s -> s.seen))"
+    rounds = "sequence(1, n)" if depth is None else f"slice(sequence(1, n), 1, {depth})"
+    return f"sort_array(aggregate({rounds}, named_struct('seen', {seen}, 'new', {new}), (s, i) -> if(size(s.new) = 0, s, {step}), s -> s.seen))"
 
 
 REACH = closure("succ", "array(0)", "array(0)")
@@ -25,7 +26,7 @@ REACH = closure("succ", "array(0)", "array(0)")
 def dominators(root: str, reach: str, back: str) -> str:
     """Sorted dominators of every block (none of unreached ones), by iterating over sets until nothing changes."""
     start = f"transform(sequence(0, n - 1), b -> if(b = {root}, array({root}), if(array_contains({reach}, b), {reach}, {EMPTY})))"
-    meet = let("ps", f"filter({back}[b], p -> array_contains({reach}, p))", "array_sort(array_union(array(b), aggregate(slice(ps, 2, size(ps)), s.d[ps[0]], (a, p) -> array_intersect(a, s.d[p]))))")
+    meet = let("ps", f"filter({back}[b], p -> array_contains({reach}, p))", "sort_array(array_union(array(b), aggregate(slice(ps, 2, size(ps)), s.d[ps[0]], (a, p) -> array_intersect(a, s.d[p]))))")
     step = f"transform(sequence(0, n - 1), b -> if(b = {root} or not array_contains({reach}, b), s.d[b], {meet}))"
     return f"aggregate(sequence(1, n + 1), named_struct('d', {start}, 'same', false), (s, i) -> if(s.same, s, {let('d2', step, 'named_struct(' + chr(39) + 'd' + chr(39) + ', d2, ' + chr(39) + 'same' + chr(39) + ', d2 = s.d)')}), s -> s.d)"
 
@@ -34,19 +35,33 @@ def dominators(root: str, reach: str, back: str) -> str:
 BACK_EDGES = "flatten(transform(reach, t -> transform(filter(succ[t], h -> array_contains(dom[t], h)), h -> named_struct('tail', t, 'header', h))))"
 
 
+def adjacency(pairs: str, a: str, b: str) -> str:
+    """For each block the sorted ``b`` of the pairs with it as ``a``, from an array of structs: one sort and one pass."""
+    tagged = f"sort_array(concat(transform(filter({pairs}, x -> x.{a} between 0 and n - 1), x -> named_struct('a', x.{a}, 'b', x.{b})), transform(sequence(0, n - 1), i -> named_struct('a', i, 'b', -1))))"
+    own = "transform(starts, (s, i) -> transform(slice(p, s + 2, coalesce(get(starts, i + 1), size(p)) - s - 1), x -> x.b))"
+    return let("p", tagged, let("starts", "filter(sequence(0, size(p) - 1), k -> p[k].b = -1)", own))
+
+
 def walks(limits: Limits, dead_ends: bool = True) -> str:
     """Bounded walks from block 0 that end at the first exit (or where nothing follows), sorted block by block.
 
-    Loop headers occur up to the unroll limit, other blocks once; functions without an exit have none.
+    Loop headers occur up to the unroll limit, other blocks once; functions without an exit have none. All walks grow by a
+    block at a time. Where more than a bound are at hand, only the first in order are kept, so that no function holds more
+    than that and their next blocks. A kept walk may lead nowhere; where that leaves too few, the bound is taken eightfold.
     """
     fits = "size(filter(p, y -> y = x)) < if(array_contains(headers, x), {u}, 1)".format(u=limits.loop_unroll)
     grown = f"flatten(transform(s.live, p -> transform(filter(succ[element_at(p, -1)], x -> {fits}), x -> concat(p, array(x)))))"
     ended = "array_contains(exits, element_at(p, -1))" + (" or size(succ[element_at(p, -1)]) = 0" if dead_ends else "")
-    step = let("g", grown, f"named_struct('done', concat(s.done, filter(g, p -> {ended})), 'live', filter(g, p -> not ({ended})))")
-    first = f"transform(array(array(0)), p -> if({ended}, named_struct('done', array(p), 'live', cast(array() as array<array<int>>)), named_struct('done', cast(array() as array<array<int>>), 'live', array(p))))[0]"
+    kept = let("last", "element_at(slice(sort_array(concat(t.done, t.live)), 1, bound), -1)", "named_struct('done', filter(t.done, p -> p <= last), 'live', filter(t.live, p -> p <= last), 'cut', true)")
+    state = f"named_struct('done', concat(s.done, filter(g, p -> {ended})), 'live', filter(g, p -> not ({ended})), 'cut', s.cut)"
+    step = let("g", grown, let("t", state, f"if(size(t.done) + size(t.live) <= bound, t, {kept})"))
+    none = "cast(array() as array<array<int>>)"
+    first = f"transform(array(array(0)), p -> if({ended}, named_struct('done', array(p), 'live', {none}, 'cut', false), named_struct('done', {none}, 'live', array(p), 'cut', false)))[0]"
     rounds = f"least({limits.max_length - 1}, n + size(headers) * {max(0, limits.loop_unroll - 1)})"
-    all_ = f"aggregate(if({rounds} < 1, cast(array() as array<int>), sequence(1, {rounds})), {first}, (s, i) -> if(size(s.live) = 0, s, {step}), s -> s.done)"
-    return f"if(size(exits) = 0 or {limits.max_length} < 1, cast(array() as array<array<int>>), slice(array_sort({all_}), 1, {limits.max_paths}))"
+    grow = f"aggregate(if({rounds} < 1, cast(array() as array<int>), sequence(1, {rounds})), {first}, (s, i) -> if(size(s.live) = 0, s, {step}), s -> named_struct('paths', s.done, 'more', s.cut and size(s.done) < {limits.max_paths}))"
+    tries = let("bound", f"cast(least(2147483647D, {limits.max_paths} * pow(8D, k)) as int)", grow)
+    found = f"aggregate(sequence(0, 10), named_struct('paths', {none}, 'more', true), (r, k) -> if(r.more, {tries}, r), r -> r.paths)"
+    return f"if(size(exits) = 0 or {limits.max_length} < 1 or {limits.max_paths} < 1, {none}, slice(sort_array({found}), 1, {limits.max_paths}))"
 
 
 #: Kind of a walk by the blocks on it; the last block alone can be an exit.
@@ -54,5 +69,10 @@ WALK_KIND = (
     "case when exists(blocks, b -> tags[b] = 'Call' and unwinds[b]) then 'Error' when tags[element_at(blocks, -1)] = 'Abort' then 'Error' "
     "when tags[element_at(blocks, -1)] = 'Unreachable' then 'Degenerate' when kinds[0] != 'Entry' or tags[element_at(blocks, -1)] in ('Goto', 'SwitchInt') then 'Degenerate' else 'Normal' end"
 )
+#: Whether a walk can be run to its end: from an entry, over reached blocks, to a block that can be left for good.
+FEASIBLE = (
+    "coalesce(get(kinds, get(blocks, 0)) = 'Entry' and forall(blocks, b -> array_contains(reach, b)) and (get(tags, try_element_at(blocks, -1)) in ('Return', 'Abort') "
+    "or get(tags, try_element_at(blocks, -1)) = 'Call' and (not get(unwinds, try_element_at(blocks, -1)) or get(calls, try_element_at(blocks, -1)))), false)"
+)
 PATH_ID = "sha2(concat_ws(',', cast(size(blocks) as string), transform(blocks, b -> cast(b as string))), 256)"
 ARROWS = "array_join(transform(blocks, b -> cast(b as string)), '->')"

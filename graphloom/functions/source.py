@@ -29,9 +29,41 @@ def overlaps(a_file: Column, a_start: Column, a_end: Column, b_file: Column, b_s
     return (a_file == b_file) & (a_start < b_end) & (b_start < a_end)
 
 
+def holding(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """``text, part``: each ``text`` of ``whole`` with each ``text`` of ``parts`` that it has in it, once each.
+
+    An equi-join on the substrings of the lengths that parts have, which are no more than the longest part is long.
+    """
+    lengths = sorted(r[0] for r in parts.select(F.length("text").alias("k")).where("k is not null").distinct().collect())
+    if not lengths:
+        return whole.where("false").select("text", F.col("text").alias("part"))
+    cut = "flatten(transform(array({0}), k -> if(length(text) < k, array(), transform(sequence(1, length(text) - k + 1), i -> substring(text, i, k)))))".format(", ".join(map(str, lengths)))
+    each = whole.select("text", F.explode(F.expr(cut)).alias("part")).distinct()
+    return each.join(parts.select(F.col("text").alias("part")).distinct(), "part", "left_semi").select("text", "part")
+
+
 def touched(symbols: DataFrame, changed_files: DataFrame) -> DataFrame:
     """``id`` of symbols whose file names a changed one or is named by it (``path``), sorted and once each."""
-    files, paths = symbols.select("file").distinct(), changed_files.select("path").distinct()
-    # every distinct file meets every changed path; the symbols themselves only join by file
-    named = files.join(paths, F.contains("file", "path") | F.contains("path", "file"), "left_semi")
-    return symbols.join(named, "file", "left_semi").select("id").distinct()
+    files, paths = symbols.select(F.col("file").alias("text")).distinct(), changed_files.select(F.col("path").alias("text")).distinct()
+    named = holding(files, paths).select("text").union(holding(paths, files).select("part")).distinct()
+    return symbols.join(named.withColumnRenamed("text", "file"), "file", "left_semi").select("id").distinct()
+
+
+def overlapping(ranges: DataFrame) -> DataFrame:
+    """``file, a, b`` (a < b): ranges (``file, id, start, end``, half-open) of one file that share a place."""
+    a = ranges.select("file", F.col("id").alias("a"), F.col("start").alias("s1"), F.col("end").alias("e1"))
+    b = ranges.select("file", F.col("id").alias("b"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    return a.join(b, "file").where("a < b and s1 < e2 and s2 < e1").select("file", "a", "b")
+
+
+def resolve(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``name, id``: a number is an id as it stands; another name its function's, the smallest where names repeat."""
+    functions = symbols.where(F.get_json_object("data", "$.kind") == "Function").groupBy("name").agg(F.min("id").alias("found"))
+    rows = names.select("name").distinct().join(functions, "name", "left")
+    return rows.select("name", F.coalesce(F.when(F.col("name").rlike("^[0-9]{1,18}$"), F.col("name").cast("long")), F.col("found")).alias("id")).where("id is not null")
+
+
+def details(ids: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``id, name, file, known`` of each asked id; name and file null where there is no such symbol."""
+    rows = ids.select("id").distinct().join(symbols.select("id", "name", "file", F.lit(True).alias("known")), "id", "left")
+    return rows.select("id", "name", "file", F.coalesce("known", F.lit(False)).alias("known"))

@@ -56,49 +56,57 @@ def dead_symbols(symbols: DataFrame, calls: DataFrame, entry: DataFrame) -> Data
     return rows.select("id", F.when(F.col("called"), "called by dead symbols only").otherwise("never called").alias("reason"))
 
 
+def _settled(arcs: DataFrame, state: DataFrame) -> DataFrame:
+    """``id, way, label`` once every label has gone as far as it can: along ``arcs`` (``src, dst, way``), the least wins.
+
+    A round sends only what the last one changed, HOPS rounds to a written table.
+    """
+    state = state.withColumn("moved", F.lit(True))
+    while True:
+        for _ in range(HOPS):
+            sent = arcs.join(state.where("moved").select(F.col("id").alias("src"), "way", "label"), ["src", "way"]).select(F.col("dst").alias("id"), "way", "label", F.lit(None).cast("long").alias("own"))
+            both = state.select("id", "way", "label", F.col("label").alias("own")).unionByName(sent)
+            state = both.groupBy("id", "way").agg(F.min("label").alias("label"), F.max("own").alias("own")).select("id", "way", "label", (F.col("label") < F.col("own")).alias("moved"))
+        state = cut(state, "labels")
+        if state.where("moved").isEmpty():
+            return state.select("id", "way", "label")
+
+
 def strong_components(calls: DataFrame) -> DataFrame:
     """``id, component`` (smallest member) for every symbol of a call.
 
-    Symbols that nothing calls or that call nothing are peeled off until only cycles and what lies between them is
-    left. There, the smallest symbol that reaches a symbol is its colour, and what reaches back to its colour's own
-    symbol inside the colour is that symbol's component; it is taken out and the rest starts again.
+    Each round finds for every symbol the least label that reaches it and the least that it reaches (labels are hashes,
+    so that no order of ids makes rounds many). Where both are the same, that symbol's component is found; calls between
+    symbols of unlike pairs of labels lie in no cycle and are left out of the next round, in which every class of equal
+    pairs finds at least the component of its least label.
     """
-    ids = cut(symbols_of(calls), "ids")
-    rest, n, found = cut(calls.where("caller != callee").select("caller", "callee").distinct(), "calls"), -1, None
+    ids = symbols_of(calls)
+    rest = calls.where("caller != callee").select("caller", "callee").distinct()
+    done: list[DataFrame] = []
     while True:
-        # peel what nothing calls and what calls nothing
-        while (now := rest.count()) != n:
-            n = now
-            for _ in range(HOPS):
-                called, calling = rest.select(F.col("callee").alias("caller")), rest.select(F.col("caller").alias("callee"))
-                rest = rest.join(called, "caller", "left_semi").join(calling, "callee", "left_semi").select("caller", "callee")
-            rest = cut(rest, "calls")
-        if not n:
+        ways = F.array(F.struct(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(0).alias("way")), F.struct(F.col("callee").alias("src"), F.col("caller").alias("dst"), F.lit(1).alias("way")))
+        arcs = cut(rest.select(F.inline(ways)), "arcs")
+        if arcs.isEmpty():
             break
-        colour, was = cut(symbols_of(rest).withColumn("colour", F.col("id")), "colour"), None
-        while (now := colour.agg(F.sum("colour")).first()[0]) != was:  # colours only sink
-            was = now
-            for _ in range(HOPS):
-                sent = rest.join(colour.withColumnRenamed("id", "caller"), "caller").select(F.col("callee").alias("id"), "colour")
-                colour = colour.unionByName(sent).groupBy("id").agg(F.min("colour").alias("colour"))
-            colour = cut(colour, "colour")
-        a, b = colour.toDF("caller", "ca"), colour.toDF("callee", "cb")
-        inside = cut(rest.join(a, "caller").join(b, "callee").where("ca = cb").select("caller", "callee"), "inside")
-        roots = colour.where("id = colour").select(F.col("id").alias("start"))
-        part = cut(closure(reversed_calls(inside), roots).select(F.col("node").alias("id"), F.col("start").alias("component")), "part")
-        found = part if found is None else found.unionByName(part)
-        gone = part.select("id")
-        rest = cut(rest.join(gone.withColumnRenamed("id", "caller"), "caller", "left_anti").join(gone.withColumnRenamed("id", "callee"), "callee", "left_anti").select("caller", "callee"), "calls")
-        n = -1
-    if found is None:
+        start = arcs.select(F.col("src").alias("id")).distinct().select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.xxhash64("id").alias("label"))
+        pairs = cut(_settled(arcs, start).groupBy("id").agg(F.min(F.when(F.col("way") == 0, F.col("label"))).alias("to"), F.min(F.when(F.col("way") == 1, F.col("label"))).alias("from")), "pairs")
+        done.append(pairs.where("`to` = `from`").select("id", F.col("to").alias("label")))
+        open_ = pairs.where("`to` != `from`")
+        a, b = open_.toDF("caller", "t1", "f1"), open_.toDF("callee", "t2", "f2")
+        rest = arcs.where("way = 0").select(F.col("src").alias("caller"), F.col("dst").alias("callee")).join(a, "caller").join(b, "callee").where("t1 = t2 and f1 = f2").select("caller", "callee")
+    if not done:
         return ids.select("id", F.col("id").alias("component"))
-    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    found = reduce(DataFrame.unionByName, done)
+    least = found.groupBy("label").agg(F.min("id").alias("component"))
+    named = found.join(least, "label").select("id", "component")
+    return ids.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def call_cycles(calls: DataFrame, components: DataFrame) -> DataFrame:
-    """``component, cycle_type, size, members``: mutual recursion and self-calls."""
-    many = components.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members")).where("size > 1").select("component", F.lit("MutualRecursion").alias("cycle_type"), "size", "members")
-    own = calls.where("caller = callee").select("caller").distinct().select(F.col("caller").alias("component"), F.lit("SelfLoop").alias("cycle_type"), F.lit(1).cast("long").alias("size"), F.col("caller").cast("string").alias("members"))
+    """``component, cycle_type, size, member``: mutual recursion and self-calls, a row for each symbol of a cycle."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    many = components.join(sizes, "component").select("component", F.lit("MutualRecursion").alias("cycle_type"), "size", F.col("id").alias("member"))
+    own = calls.where("caller = callee").select("caller").distinct().select(F.col("caller").alias("component"), F.lit("SelfLoop").alias("cycle_type"), F.lit(1).cast("long").alias("size"), F.col("caller").alias("member"))
     return many.unionByName(own)
 
 
@@ -116,24 +124,62 @@ def component_ancestors(calls: DataFrame, components: DataFrame, symbol: DataFra
     return components.join(found, "component", "left_semi").select("id")
 
 
-def call_paths(calls: DataFrame, entry: DataFrame, max_depth: int = 50, end: DataFrame | None = None) -> DataFrame:
+def condensation_figures(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """``supernodes, edges, largest``: how many components and calls between them there are, and the largest one's size."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("size")).agg(F.count("*").alias("supernodes"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
+    return _one_row(sizes, edges.agg(F.count("*").alias("edges"))).select("supernodes", "edges", "largest")
+
+
+def _one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, side by side."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def call_paths(calls: DataFrame, entry: DataFrame, max_depth: int = 50, end: DataFrame | None = None, max_paths: int | None = None) -> DataFrame:
     """``path`` (array): simple call paths from the entries that end at an ``end`` symbol, or where none is given
-    at a symbol without calls to others on the way, or at ``max_depth`` symbols."""
-    spark = calls.sparkSession
-    calls.where("caller != callee").select("caller", "callee").distinct().createOrReplaceTempView("graphloom_calls")
-    entry.createOrReplaceTempView("graphloom_entry")
-    walks = spark.sql(f"""
-        WITH RECURSIVE walk(node, path) MAX RECURSION LEVEL {max_depth + 1} AS (
-            SELECT start, array(start) FROM graphloom_entry
-            UNION ALL
-            SELECT c.callee, concat(w.path, array(c.callee)) FROM walk w JOIN graphloom_calls c ON c.caller = w.node
-            WHERE size(w.path) < {max_depth} AND NOT array_contains(w.path, c.callee)
-        ) SELECT node, path FROM walk""")
+    at a symbol without calls to others on the way, or at ``max_depth`` symbols; the first ``max_paths`` in order.
+
+    All paths grow by a symbol at a time, HOPS times to a written table. Without an ``end`` every beginning leads to some
+    path, so that no more than the first ``max_paths`` beginnings are kept; with one, symbols that can't lead to it are
+    left out first.
+    """
+    steps = calls.where("caller != callee").select("caller", "callee")
     if end is not None:
-        return walks.join(end.select(F.col("start").alias("node")), "node", "left_semi").select("path")
-    out = calls.where("caller != callee").groupBy("caller").agg(F.collect_set("callee").alias("to")).withColumnRenamed("caller", "node")
-    rows = walks.join(out, "node", "left")
-    return rows.where(f"size(path) = {max_depth} or size(array_except(coalesce(to, array()), path)) = 0").select("path")
+        goal = end.select(F.col("start").alias("node")).distinct().withColumn("goal", F.lit(True))
+        near = closure(reversed_calls(steps), goal.select(F.col("node").alias("start"))).select(F.col("node").alias("callee")).distinct()
+        steps = steps.join(near, "callee", "left_semi")
+    near = cut(steps.groupBy(F.col("caller").alias("node")).agg(F.collect_set("callee").alias("to")), "steps")
+    first = lambda df: df.orderBy("path").limit(max_paths) if max_paths is not None else df
+    live = first(entry.select(F.array("start").alias("path")).distinct())
+    found: list[DataFrame] = []
+    depth, open_ = 1, max_depth > 0
+    while open_:
+        rounds = []
+        for _ in range(HOPS):
+            here = live.withColumn("node", F.element_at("path", -1)).join(near, "node", "left").select("path", F.expr("array_except(coalesce(to, cast(array() as array<bigint>)), path)" if depth < max_depth else "cast(array() as array<bigint>)").alias("next"))
+            ended = here.join(goal, F.element_at("path", -1) == F.col("node"), "left_semi") if end is not None else here.where("size(next) = 0")
+            rounds.append(ended.select("path", F.lit(False).alias("live")))
+            live = first(here.select("path", F.explode("next").alias("to")).select(F.concat("path", F.array("to")).alias("path"))) if end is None else here.select("path", F.explode("next").alias("to")).select(F.concat("path", F.array("to")).alias("path"))
+            depth += 1
+            if depth > max_depth:
+                break
+        if depth <= max_depth:
+            rounds.append(live.select("path", F.lit(True).alias("live")))
+        grown = cut(reduce(DataFrame.unionByName, rounds), "paths")
+        found.append(grown.where("not live").select("path"))
+        live = grown.where("live").select("path")
+        open_ = depth <= max_depth and not live.isEmpty()
+    return first(reduce(DataFrame.unionByName, found)) if found else live.where("false")
+
+
+def call_path_statistics(paths: DataFrame, max_paths: int) -> DataFrame:
+    """``paths, shortest, longest, mean, symbols, truncated`` of the first ``max_paths``, given one more where there are more."""
+    kept = paths.orderBy("path").limit(max_paths)
+    figures = kept.agg(F.count("*").alias("paths"), F.min(F.size("path")).alias("shortest"), F.max(F.size("path")).alias("longest"), F.round(F.avg(F.size("path")), 6).alias("mean"))
+    symbols = kept.select(F.explode("path").alias("id")).agg(F.countDistinct("id").alias("symbols"))
+    more = paths.agg((F.count("*") > max_paths).alias("truncated"))
+    return _one_row(figures, symbols, more)
 
 
 def hotspots(calls: DataFrame, components: DataFrame, paths: DataFrame, top: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.shared import cut
+
 KEY = "function_id"
 
 
@@ -16,6 +18,16 @@ def diff_blocks(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(KEY, "block_id", F.when(F.col("t1").isNull(), "Added").when(F.col("t2").isNull(), "Deleted").when(F.col("t1") != F.col("t2"), "Terminator").alias("change")).where("change is not null")
 
 
+def diff_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """As ``diff_blocks`` for blocks with lines: also Location where these alone changed, Both where the terminator did too."""
+    a = before.select(KEY, "block_id", F.coalesce("terminator", F.lit("")).alias("t1"), F.struct("start_line", "end_line").alias("l1"))
+    b = after.select(KEY, "block_id", F.coalesce("terminator", F.lit("")).alias("t2"), F.struct("start_line", "end_line").alias("l2"))
+    both = a.join(b, [KEY, "block_id"], "full_outer")
+    term, place = F.col("t1") != F.col("t2"), ~F.col("l1").eqNullSafe(F.col("l2"))
+    change = F.when(F.col("t1").isNull(), "Added").when(F.col("t2").isNull(), "Deleted").when(term & place, "Both").when(term, "Terminator").when(place, "Location")
+    return both.select(KEY, "block_id", change.alias("change")).where("change is not null")
+
+
 def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
     """``function_id, src, dst, edge_type, change``: edges as sets, both ways."""
     cols = [KEY, "src", "dst", "edge_type"]
@@ -46,14 +58,15 @@ def changed_functions(old_hashes: DataFrame, new_hashes: DataFrame) -> DataFrame
 
 
 def path_elements(paths: DataFrame) -> DataFrame:
-    """The cache's element rows: ``function_id, path_id, sequence_order, block_id``."""
-    return paths.select(KEY, "path_id", F.posexplode("blocks").alias("sequence_order", "block_id"))
+    """The cache's element rows: ``function_id, path_id, path_kind, sequence_order, block_id``."""
+    return paths.select(KEY, "path_id", "path_kind", F.posexplode("blocks").alias("sequence_order", "block_id"))
 
 
 def cached_paths(elements: DataFrame) -> DataFrame:
-    """Element rows -> ``function_id, path_id, blocks`` in order."""
-    rows = elements.groupBy(KEY, "path_id").agg(F.array_sort(F.collect_list(F.struct("sequence_order", "block_id"))).alias("e"))
-    return rows.select(KEY, "path_id", F.transform("e", lambda x: x["block_id"]).alias("blocks"))
+    """Element rows -> ``function_id, path_id, path_kind, entry, exit, blocks`` in order."""
+    rows = elements.groupBy(KEY, "path_id", "path_kind").agg(F.sort_array(F.collect_list(F.struct("sequence_order", "block_id"))).alias("e"))
+    rows = rows.select(KEY, "path_id", "path_kind", F.transform("e", lambda x: x["block_id"]).alias("blocks"))
+    return rows.select(KEY, "path_id", "path_kind", F.col("blocks")[0].alias("entry"), F.element_at("blocks", -1).alias("exit"), "blocks")
 
 
 def icfg(blocks: DataFrame, edges: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +79,7 @@ def icfg(blocks: DataFrame, edges: DataFrame, calls: DataFrame, entries: DataFra
     for _ in range(depth):
         step = calls.join(found.withColumnRenamed(KEY, "caller"), "caller").select(F.col("callee").alias(KEY))
         found = found.union(step).distinct()
+    found = cut(found, "found")
     own = blocks.join(found, KEY, "left_semi")
     marks = own.select(KEY).distinct().select(KEY, F.inline(F.array(F.struct(F.lit(-1).alias("block_id"), F.lit("Entry").alias("node_type")), F.struct(F.lit(-2).alias("block_id"), F.lit("Exit").alias("node_type")))))
     nodes = own.select(KEY, "block_id", F.when(F.col("tag") == "Call", "CallSite").otherwise("Block").alias("node_type")).unionByName(marks)
@@ -87,3 +101,25 @@ def icfg(blocks: DataFrame, edges: DataFrame, calls: DataFrame, entries: DataFra
         .unionByName(edge(back, "callee", "-2", "caller", "dst", "Return"))
     )
     return nodes, all_
+
+
+def icfg_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``item, n``: nodes and edges of each kind, and functions."""
+    kinds = nodes.groupBy(F.concat(F.lit("node "), "node_type").alias("item")).agg(F.count("*").alias("n"))
+    links = edges.groupBy(F.concat(F.lit("edge "), "edge_kind").alias("item")).agg(F.count("*").alias("n"))
+    functions = nodes.agg(F.countDistinct(KEY).alias("n")).select(F.lit("functions").alias("item"), "n")
+    return kinds.unionByName(links).unionByName(functions)
+
+
+def export_icfg(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``dot, json``: a line of each for every node and edge of the supergraph, which is too large for one row.
+
+    The lines between ``digraph {`` and ``}``, in any order, are the graph.
+    """
+    name = lambda f, b: F.concat(F.lit('"'), F.col(f).cast("string"), F.lit(":"), F.col(b).cast("string"), F.lit('"'))
+    node = nodes.select(F.concat(name(KEY, "block_id"), F.lit(' [label="'), "node_type", F.lit('"];')).alias("dot"), F.to_json(F.struct(F.col(KEY).alias("function"), F.col("block_id").alias("block"), F.col("node_type").alias("type"))).alias("json"))
+    link = edges.select(
+        F.concat(name("src_function", "src_block"), F.lit(" -> "), name("dst_function", "dst_block"), F.lit(' [label="'), "edge_kind", F.lit('"];')).alias("dot"),
+        F.to_json(F.struct("src_function", "src_block", "dst_function", "dst_block", F.col("edge_kind").alias("type"))).alias("json"),
+    )
+    return node.unionByName(link)

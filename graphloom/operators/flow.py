@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import expressions as X
+from graphloom.operators.calls import closure, reversed_calls
 from graphloom.plans.limits import DEFAULT, Limits
 
 KEY = "function_id"
@@ -37,18 +38,32 @@ def held(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+_BLOCK = ("block_id", "kind", "tag", "has_unwind", "has_target")
+_FIELDS = ("transform(b, x -> x.tag) as tags", "transform(b, x -> x.kind) as kinds", "transform(b, x -> x.has_unwind) as unwinds", "transform(b, x -> x.has_target) as calls")
+
+
 def fold(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per function: n, tags, kinds, unwinds, succ, pred, exits, reach. Parallel edges collapse.
+    """One row per function: n, tags, kinds, unwinds, calls, succ, pred, exits, reach. Parallel edges collapse.
 
     Blocks and edges are both dealt by function_id once; all that follows stays in the row.
     """
-    b = blocks.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("block_id", "kind", "tag", "has_unwind"))).alias("b"))
-    e = edges.groupBy(KEY).agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias("e"))
+    b = blocks.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(*_BLOCK))).alias("b"))
+    e = edges.groupBy(KEY).agg(F.collect_set(F.struct("src", "dst")).alias("e"))
     flow = b.join(e, KEY, "left").selectExpr(KEY, "b", "coalesce(e, cast(array() as array<struct<src:int,dst:int>>)) as e", "size(b) as n")
-    flow = flow.selectExpr(
-        KEY, "n", "transform(b, x -> x.tag) as tags", "transform(b, x -> x.kind) as kinds", "transform(b, x -> x.has_unwind) as unwinds",
-        "transform(sequence(0, n - 1), i -> transform(filter(e, x -> x.src = i), x -> x.dst)) as succ", "transform(sequence(0, n - 1), i -> transform(filter(e, x -> x.dst = i), x -> x.src)) as pred",
-    )
+    flow = flow.selectExpr(KEY, "n", *_FIELDS, f"{X.adjacency('e', 'src', 'dst')} as succ", f"{X.adjacency('e', 'dst', 'src')} as pred")
+    return _reached(flow)
+
+
+def fold_stored(blocks: DataFrame) -> DataFrame:
+    """As ``fold`` with the edges that stored terminators stand for: to the next block, from a conditional to two."""
+    flow = blocks.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(*_BLOCK, "terminator"))).alias("b")).selectExpr(KEY, "b", "size(b) as n")
+    steps = "case when b[{0}].terminator = 'conditional' then 2 when b[{0}].terminator in ('fallthrough', 'goto', 'call') then 1 else 0 end"
+    succ = f"transform(b, (x, i) -> filter(array(i + 1, i + 2), j -> j < n and j - i <= {steps.format('i')}))"
+    pred = f"transform(b, (x, i) -> filter(array(i - 2, i - 1), j -> j >= 0 and i - j <= {steps.format('j')}))"
+    return _reached(flow.selectExpr(KEY, "n", *_FIELDS, f"{succ} as succ", f"{pred} as pred"))
+
+
+def _reached(flow: DataFrame) -> DataFrame:
     return held(held(flow).withColumn("exits", F.expr(X.EXITS)).withColumn("reach", F.expr(X.REACH)))
 
 
@@ -96,10 +111,26 @@ def block_impact(flow: DataFrame, max_depth: int | None = None) -> DataFrame:
     return held(each.withColumn("s", F.expr(bfs))).selectExpr(KEY, "block_id", "array_sort(array_except(s.seen, array(block_id))) as reached", "s.depth as depth", "s.walked > size(s.seen) - 1 as reconverges")
 
 
-def path_impact(paths: DataFrame, flow: DataFrame) -> DataFrame:
-    """Per path: blocks that its blocks can reach and that aren't on it, sorted."""
-    both = paths.select(KEY, "path_id", "blocks").join(flow.select(KEY, "n", "succ"), KEY)
-    return both.withColumn("affected", F.expr("array_sort(array_except(" + X.closure("succ", "blocks", "blocks") + ", blocks))")).select(KEY, "path_id", "blocks", "affected")
+def path_impact(paths: DataFrame, flow: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Per path: blocks that its blocks can reach (within ``max_depth`` steps) and that aren't on it, sorted.
+
+    Blocks of a stored path that the function no longer has lead nowhere.
+    """
+    both = held(paths.select(KEY, "path_id", "blocks").join(flow.select(KEY, "n", "succ"), KEY).withColumn("own", F.expr("filter(blocks, x -> x < n)")))
+    return both.withColumn("affected", F.expr(f"array_except({X.closure('succ', 'own', 'own', max_depth)}, blocks)")).select(KEY, "path_id", "blocks", "affected")
+
+
+def blast_zone(flow: DataFrame, calls: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``function_id, block_id, affected`` (blocks, sorted), ``depth, callees, callers`` for each target block.
+
+    ``calls`` are (caller, callee) function ids; callees and callers count the functions reached and reaching, without
+    the target itself. Targets that no function has are left out.
+    """
+    own = block_impact(flow.join(targets.select(KEY).distinct(), KEY, "left_semi"), max_depth).join(targets.select(KEY, "block_id").distinct(), [KEY, "block_id"], "left_semi")
+    seeds = own.select(F.col(KEY).alias("start")).distinct()
+    counts = [closure(c, seeds).where("node != start").groupBy(F.col("start").alias(KEY)).agg(F.count("*").alias(name)) for c, name in ((calls, "callees"), (reversed_calls(calls), "callers"))]
+    rows = own.join(counts[0], KEY, "left").join(counts[1], KEY, "left")
+    return rows.select(KEY, "block_id", F.col("reached").alias("affected"), "depth", F.coalesce("callees", F.lit(0)).alias("callees"), F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
 # --- dominance --------------------------------------------------------------------------------------------------
@@ -118,11 +149,23 @@ def immediate_dominators(dominated: DataFrame, column: str = "dom") -> DataFrame
     return rows.select(KEY, "block_id", F.when(F.size("d") > 1, idom).alias("idom"), F.when(F.size("d") > 0, F.size("d") - 1).alias("depth"))
 
 
-def common_dominators(dominated: DataFrame) -> DataFrame:
-    """function_id, a, b (a < b, both reached) and their nearest common dominator."""
-    rows = dominated.select(KEY, "dom", F.posexplode("dom").alias("a", "da")).where("size(da) > 0")
+def dominator_chains(dominated: DataFrame, column: str = "dom") -> DataFrame:
+    """function_id, block_id, chain: the block, its immediate dominator, and so on to the root, for reached blocks."""
+    rows = dominated.select(KEY, column, F.posexplode(column).alias("block_id", "d")).where("size(d) > 0")
+    return rows.selectExpr(KEY, "block_id", f"transform(reverse(sort_array(transform(d, x -> named_struct('depth', size({column}[x]), 'b', x)))), x -> x.b) as chain")
+
+
+def dominates(dominated: DataFrame, column: str = "dom") -> DataFrame:
+    """function_id, dominator, block_id: the relation, reflexive also on blocks that aren't reached."""
+    rows = dominated.select(KEY, F.posexplode(column).alias("block_id", "d"))
+    return rows.select(KEY, F.explode(F.expr("if(size(d) = 0, array(block_id), d)")).alias("dominator"), "block_id")
+
+
+def common_dominators(dominated: DataFrame, column: str = "dom") -> DataFrame:
+    """function_id, a, b (a < b, both reached) and their nearest common dominator (post-dominator)."""
+    rows = dominated.select(KEY, F.col(column).alias("dom"), F.posexplode(column).alias("a", "da")).where("size(da) > 0")
     pairs = rows.select(KEY, "dom", "a", "da", F.posexplode("dom").alias("b", "db")).where("b > a and size(db) > 0")
-    return pairs.selectExpr(KEY, "a", "b", "aggregate(array_intersect(da, db), 0, (m, x) -> if(size(dom[x]) > size(dom[m]), x, m)) as common")
+    return pairs.selectExpr(KEY, "a", "b", "aggregate(array_intersect(da, db), -1, (m, x) -> if(m < 0 or size(dom[x]) > size(dom[m]), x, m)) as common")
 
 
 def frontiers(dominated: DataFrame) -> DataFrame:
@@ -134,10 +177,21 @@ def frontiers(dominated: DataFrame) -> DataFrame:
     return each.where("node = frontier or not array_contains(dom[frontier], node)").select(KEY, "node", "frontier").distinct()
 
 
+def _frontier_rows(dominated: DataFrame) -> DataFrame:
+    sets = frontiers(dominated).groupBy(KEY).agg(F.collect_list(F.struct("node", "frontier")).alias("f"))
+    return held(dominated.select(KEY, "n").join(sets, KEY).withColumn("succ", F.expr(X.adjacency("f", "node", "frontier"))))
+
+
+def iterated_frontier_of(dominated: DataFrame, nodes: DataFrame) -> DataFrame:
+    """function_id, frontier: the closure of the frontier relation from a set of ``nodes`` (function_id, block_id)."""
+    sets = nodes.groupBy(KEY).agg(F.sort_array(F.collect_set("block_id")).alias("s"))
+    rows = held(_frontier_rows(dominated).join(sets, KEY).withColumn("first", F.expr("array_distinct(flatten(transform(filter(s, x -> x between 0 and n - 1), x -> succ[x])))")))
+    return rows.select(KEY, F.explode(F.expr(X.closure("succ", "first", "first"))).alias("frontier"))
+
+
 def iterated_frontiers(dominated: DataFrame) -> DataFrame:
     """function_id, node, frontier: the closure of the frontier relation from each single node."""
-    sets = frontiers(dominated).groupBy(KEY).agg(F.collect_list(F.struct("node", "frontier")).alias("f"))
-    rows = held(dominated.select(KEY, "n").join(sets, KEY).withColumn("succ", F.expr("transform(sequence(0, n - 1), i -> transform(filter(f, x -> x.node = i), x -> x.frontier))")))
+    rows = _frontier_rows(dominated)
     each = rows.select(KEY, "n", "succ", F.explode(F.expr("sequence(0, n - 1)")).alias("node"))
     return each.select(KEY, "node", F.explode(F.expr(X.closure("succ", "succ[node]", "succ[node]"))).alias("frontier"))
 
@@ -155,6 +209,11 @@ def natural_loops(headed: DataFrame) -> DataFrame:
     return rows.selectExpr(KEY, "l.header as header", "l.tail as tail", "l.body as body", "levels[k] as nesting_level")
 
 
+def loops_of_blocks(loops: DataFrame) -> DataFrame:
+    """function_id, block_id, header, tail: every loop that contains a block."""
+    return loops.select(KEY, F.explode("body").alias("block_id"), "header", "tail")
+
+
 def nested_loops(loops: DataFrame) -> DataFrame:
     """Pairs of loops of which the first's body has the second's header; loops are ordered by tail, then header."""
     a = loops.select(KEY, F.col("header").alias("outer_header"), F.col("tail").alias("outer_tail"), "body")
@@ -169,12 +228,24 @@ def nested_loops(loops: DataFrame) -> DataFrame:
 def enumerate_paths(headed: DataFrame, limits: Limits = DEFAULT, dead_ends: bool = True) -> DataFrame:
     """function_id, path_id, path_kind, blocks: bounded paths of all functions; past max_paths the first in block order.
 
-    Ask ``explosion`` first where branches are many: walks of a function grow in its own row.
+    Walks of a function grow in its own row, which never holds many more of them than max_paths.
     """
     rows = headed.select(KEY, "tags", "kinds", "unwinds", F.explode(F.expr(X.walks(limits, dead_ends))).alias("blocks"))
     return rows.selectExpr(KEY, f"{X.PATH_ID} as path_id", f"{X.WALK_KIND} as path_kind", "blocks")
 
 
+def feasible_paths(paths: DataFrame, flow: DataFrame) -> DataFrame:
+    """function_id, path_id, blocks, feasible: whether a path can be run to its end (statically, by what its blocks are)."""
+    both = paths.select(KEY, "path_id", "blocks").join(flow.select(KEY, "tags", "kinds", "unwinds", "calls", "reach"), KEY)
+    return both.withColumn("feasible", F.expr(X.FEASIBLE)).select(KEY, "path_id", "blocks", "feasible")
+
+
+def path_ranges(paths: DataFrame, blocks: DataFrame) -> DataFrame:
+    """function_id, path_id, start_line, end_line: from the first block's first line to the last block's last."""
+    lines = blocks.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("block_id", "start_line", "end_line"))).alias("b"))
+    return paths.select(KEY, "path_id", "blocks").join(lines, KEY).selectExpr(KEY, "path_id", "b[blocks[0]].start_line as start_line", "b[element_at(blocks, -1)].end_line as end_line")
+
+
 def without_loops(flow: DataFrame) -> DataFrame:
     """For graphs known to be acyclic: no headers, without looking for them."""
     return flow.withColumn("headers", F.expr(X.EMPTY))
@@ -225,6 +296,12 @@ def match_patterns(blocks: DataFrame) -> DataFrame:
     return blocks.where("tag = 'SwitchInt' and size(targets) >= 2 and otherwise is not null").select(KEY, F.col("block_id").alias("switch"), "targets", "otherwise", (F.size("targets") + 1).alias("branch_count"))
 
 
+def branch_patterns(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """function_id, block_id, pattern, branches: if/else and match patterns together."""
+    either = if_else_patterns(blocks, edges).select(KEY, F.col("condition").alias("block_id"), F.lit("IfElse").alias("pattern"), F.lit(2).alias("branches"))
+    return either.unionByName(match_patterns(blocks).select(KEY, F.col("switch").alias("block_id"), F.lit("Match").alias("pattern"), F.col("branch_count").alias("branches")))
+
+
 def branch_types(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.select(KEY, F.col("src").alias("block_id"), "dst").distinct().groupBy(KEY, "block_id").agg(F.count("*").alias("o"))
     rows = blocks.select(KEY, "block_id", "tag").join(out, [KEY, "block_id"], "left").join(merge_points(edges).select(KEY, "block_id", "merge"), [KEY, "block_id"], "left")
@@ -236,7 +313,8 @@ def branch_types(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hot_paths(paths: DataFrame, headed: DataFrame, loops: DataFrame | None, top: int = 10, min_score: float | None = None) -> DataFrame:
-    """function_id, rank, blocks, score: loop depth doubles, the entry's visits add half each, early returns halve."""
+    """function_id, rank, path_id, blocks, score, reasons: loop depth doubles, the entry's visits add half each, early
+    returns halve; each that counts is among the reasons."""
     tags = headed.select(KEY, "tags")
     rows = paths.join(tags, KEY).withColumn("mean", F.floor(F.avg(F.size("blocks")).over(W.partitionBy(KEY))))
     if loops is None:
@@ -246,8 +324,9 @@ def hot_paths(paths: DataFrame, headed: DataFrame, loops: DataFrame | None, top:
         rows = rows.join(bodies, KEY, "left").withColumn("depth", F.expr("coalesce(array_max(transform(blocks, b -> size(filter(bodies, y -> array_contains(y, b))))), 0)"))
     early = "tags[element_at(blocks, -1)] = 'Return' and size(blocks) < mean and size(blocks) > 1"
     score = F.expr(f"pow(2D, depth) * (1 + 0.5D * size(filter(blocks, b -> b = 0))) * if({early}, 0.5D, 1D)")
-    ranked = rows.withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy(KEY).orderBy(F.desc("score"), "blocks")))
-    out = ranked.where(F.col("rank") <= top).select(KEY, "rank", "blocks", "score")
+    reasons = F.expr(f"array_compact(array(if(depth > 0, concat('in ', depth, ' loops'), null), concat('entry ', size(filter(blocks, b -> b = 0)), ' times'), if({early}, 'returns early', null)))")
+    ranked = rows.withColumn("score", score).withColumn("reasons", reasons).withColumn("rank", F.row_number().over(W.partitionBy(KEY).orderBy(F.desc("score"), "blocks")))
+    out = ranked.where(F.col("rank") <= top).select(KEY, "rank", "path_id", "blocks", "score", "reasons")
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
@@ -265,6 +344,20 @@ def summaries(paths: DataFrame) -> DataFrame:
     return paths.selectExpr(KEY, "path_id", f"{short} as summary", "size(blocks) as length")
 
 
+def tell_paths(paths: DataFrame, described: DataFrame) -> DataFrame:
+    """function_id, path_id, story: what the path's blocks do (``describe_blocks``), past five the first and last, and how it ends."""
+    texts = described.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("block_id", "description"))).alias("t"))
+    rows = paths.select(KEY, "path_id", "path_kind", "blocks").join(texts, KEY)
+    short = "if(size(blocks) <= 5, array_join(transform(blocks, b -> t[b].description), ', then '), concat(t[blocks[0]].description, ', then ', size(blocks) - 2, ' more, then ', t[element_at(blocks, -1)].description))"
+    end = "case path_kind when 'Normal' then '' when 'Error' then ', an error' when 'Degenerate' then ', a dead end' else ', never reached' end"
+    return rows.selectExpr(KEY, "path_id", f"concat({short}, {end}) as story")
+
+
+def report_functions(headed: DataFrame) -> DataFrame:
+    """function_id, blocks, entry, exits, loops."""
+    return headed.selectExpr(KEY, "n as blocks", "0 as entry", "size(exits) as exits", "size(back) as loops")
+
+
 def describe_blocks(blocks: DataFrame) -> DataFrame:
     """function_id, block_id, description: what each block does when it ends."""
     text = (

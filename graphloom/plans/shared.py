@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as on one machine in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a single machine, as in tests
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="graphloom-")
+    return _OWN[app]
+
+
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch
+            return
+
+
+atexit.register(_clean)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when Python exits."""
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written as Parquet and read back."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``df`` written as Parquet and read back: lineage ends here and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

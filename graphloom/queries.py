@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import ARROWS
-from graphloom.functions.source import column_of, display, line_of, touched
+from graphloom.functions.source import column_of, details, display, line_of, overlapping, resolve, touched
 from graphloom.operators import calls as C
 from graphloom.operators import compare as D
 from graphloom.operators import flow as O
 from graphloom.plans.limits import DEFAULT, QUICK
+from graphloom.plans.shared import cut, shared_path
 from graphloom.sources import flows as S
+from graphloom.sources.path_store import PathStore
 
 #: The older snapshot keeps lines shipped before this day.
 CUT = "2000-01-01"
@@ -105,8 +108,8 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
 
 
-def _g1_fold(spark, d):
-    return O.without_loops(O.fold(*S.order_flows(spark, d)))
+def _g1_fold(spark, d, before=None):
+    return O.without_loops(O.fold_stored(S.order_blocks(spark, d, before)))
 
 
 def _g2_fold(spark, d):
@@ -114,7 +117,7 @@ def _g2_fold(spark, d):
 
 
 def _paths1(spark, d, before=None):
-    return O.enumerate_paths(O.without_loops(O.fold(*S.order_flows(spark, d, before))), DEFAULT)
+    return O.enumerate_paths(_g1_fold(spark, d, before), DEFAULT)
 
 
 def _entry(calls: DataFrame) -> DataFrame:
@@ -202,6 +205,38 @@ def source_positions(spark, d):
     return rows.select("event_id", "line", "col", display(F.col("event_type"), F.col("line"), F.col("col")).alias("shown"))
 
 
+@query("SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1 UNION SELECT p_size::VARCHAR, p_size::BIGINT FROM part")
+def resolve_names_and_ids(spark, d):
+    """Names and numbers, as a user gives them, to symbols."""
+    part = S.read(spark, d, "part")
+    return resolve(part.select(F.col("p_name").alias("name")).union(part.select(F.col("p_size").cast("string"))), S.symbols(spark, d))
+
+
+@query("SELECT DISTINCT l_partkey + l_suppkey AS id, p_name AS name, p_brand AS file, p_partkey IS NOT NULL AS known FROM lineitem LEFT JOIN part ON p_partkey = l_partkey + l_suppkey")
+def symbol_details(spark, d):
+    """Name, file and existence of asked ids, some of which no symbol has."""
+    return details(S.read(spark, d, "lineitem").select((F.col("l_partkey") + F.col("l_suppkey")).alias("id")), S.symbols(spark, d))
+
+
+@query("WITH r AS (SELECT l_orderkey AS file, l_linenumber::BIGINT AS id, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::INT AS e FROM lineitem) SELECT x.file, x.id AS a, y.id AS b FROM r x JOIN r y ON y.file = x.file AND x.id < y.id AND x.s < y.e AND y.s < x.e")
+def overlapping_ranges(spark, d):
+    """Source ranges of one file that overlap: lines of an order, as long as their quantity."""
+    lines = S.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("id"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).alias("end"))
+    return overlapping(lines)
+
+
+@query(f"""WITH {G1}, m AS (SELECT function_id, block_id, term, n, qty > 25 AS unwinds, ln % 2 = 1 AS returns FROM (SELECT l_orderkey AS function_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) - 1 AS block_id, l_quantity AS qty, l_linenumber AS ln FROM lineitem) JOIN b1 USING (function_id, block_id) WHERE term = 'call')
+    SELECT function_id, block_id::BIGINT AS src, (block_id + 1)::BIGINT AS dst, 'Call' AS edge_type FROM m WHERE returns AND block_id + 1 < n UNION ALL SELECT function_id, block_id, block_id + 2, 'Exception' FROM m WHERE unwinds AND block_id + 2 < n""")
+def call_edges(spark, d):
+    """Edges of structured calls: odd lines return to the next block, lines of over 25 unwind to the one after it."""
+    lines = S.order_blocks(spark, d, keep=("l_quantity", "l_linenumber")).where("tag = 'Call'")
+    n = S.order_blocks(spark, d).groupBy("function_id").agg(F.count("*").cast("int").alias("n"))
+    returns, unwinds = (F.col("l_linenumber") % 2 == 1) & (F.col("block_id") + 1 < F.col("n")), (F.col("l_quantity") > 25) & (F.col("block_id") + 2 < F.col("n"))
+    targets = F.array_compact(F.array(F.when(returns, F.col("block_id") + 1), F.when(unwinds, F.col("block_id") + 2)))
+    blocks = lines.join(n, "function_id").withColumn("targets", targets).withColumn("has_target", returns).withColumn("has_unwind", unwinds)
+    return _longs(S.classify_edges(blocks))
+
+
 # --- reachability and impact ------------------------------------------------------------------------------------
 
 
@@ -239,6 +274,28 @@ def block_impact(spark, d):
     return _longs(r.select("function_id", "block_id", F.size("reached").alias("reached"), "depth", "reconverges"))
 
 
+@query(f"""WITH RECURSIVE {G2}, lv(function_id, src, dst, k) AS (SELECT function_id, block_id, block_id, 0 FROM b2 UNION SELECT c.function_id, c.src, e.dst, k + 1 FROM lv c JOIN e2 e ON e.function_id = c.function_id AND e.src = c.dst WHERE k < 9),
+    m AS (SELECT function_id, src, dst, min(k) AS k FROM lv GROUP BY ALL), z AS (SELECT function_id, src, count(*) - 1 AS reached, max(k) AS depth FROM m GROUP BY ALL),
+    q AS (SELECT m.function_id, m.src, sum(coalesce(o, 0)) AS walked FROM m JOIN b2 ON b2.function_id = m.function_id AND b2.block_id = m.dst GROUP BY ALL)
+    SELECT z.function_id, z.src::BIGINT AS block_id, reached::BIGINT AS reached, depth::BIGINT AS depth, walked > reached AS reconverges FROM z JOIN q USING (function_id, src)""")
+def block_impact_unlimited(spark, d):
+    """As block_impact at the default depth, which is none: blocks have nine others at most here."""
+    r = O.block_impact(_g2_fold(spark, d))
+    return _longs(r.select("function_id", "block_id", F.size("reached").alias("reached"), "depth", "reconverges"))
+
+
+@query(f"""WITH RECURSIVE {G1}, oc AS (SELECT o_orderkey AS caller, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS callee FROM orders), fc AS (SELECT * FROM oc WHERE callee IS NOT NULL), tg AS (SELECT min(o_orderkey) AS t FROM orders),
+    bl(function_id, src, dst, k) AS (SELECT function_id, block_id, block_id, 0::BIGINT FROM b1 JOIN tg ON function_id = t UNION SELECT bl.function_id, bl.src, e.dst, k + 1 FROM bl JOIN e1 e ON e.function_id = bl.function_id AND e.src = bl.dst WHERE k < 99),
+    m AS (SELECT function_id, src, dst, min(k) AS k FROM bl GROUP BY ALL), down(id) AS (SELECT t FROM tg UNION SELECT callee FROM down JOIN fc ON caller = id), up(id) AS (SELECT t FROM tg UNION SELECT caller FROM up JOIN fc ON callee = id)
+    SELECT function_id, src::BIGINT AS block_id, (count(*) - 1)::BIGINT AS affected, max(k)::BIGINT AS depth, (SELECT count(*) - 1 FROM down)::BIGINT AS callees, (SELECT count(*) - 1 FROM up)::BIGINT AS callers FROM m GROUP BY function_id, src""")
+def blast_zone(spark, d):
+    """What a change of each block of one function can reach: its blocks, and functions by calls, both ways."""
+    calls, flow = _order_calls(spark, d), _g1_fold(spark, d)
+    target = calls[1].agg(F.min("function_id").alias("function_id"))
+    targets = S.order_blocks(spark, d).join(target, "function_id", "left_semi").select("function_id", "block_id")
+    return _longs(O.blast_zone(flow, calls[0], targets).withColumn("affected", F.size("affected")))
+
+
 @query(f"""WITH RECURSIVE {G1}, {WALK1}, im(function_id, path, block_id) AS (SELECT function_id, path, unnest(path) FROM p UNION SELECT i.function_id, i.path, e.dst FROM im i JOIN e1 e ON e.function_id = i.function_id AND e.src = i.block_id)
     SELECT function_id, {_PATH} AS path, count(*) FILTER (NOT list_contains(path, block_id))::BIGINT AS affected FROM im GROUP BY function_id, path""")
 def path_impact(spark, d):
@@ -305,6 +362,46 @@ def union_frontier(spark, d):
     return dominance_frontiers(spark, d).select("function_id", "frontier").distinct()
 
 
+@query(f"WITH RECURSIVE {G2}, {FRONT2}, it(function_id, frontier) AS (SELECT function_id, frontier FROM df WHERE node IN (0, 1) UNION SELECT i.function_id, d.frontier FROM it i JOIN df d ON d.function_id = i.function_id AND d.node = i.frontier) SELECT function_id, frontier::BIGINT AS frontier FROM it")
+def iterated_frontier_of_set(spark, d):
+    """The iterated frontier of the set of blocks 0 and 1 of every function."""
+    dominated = O.with_dominators(_g2_fold(spark, d))
+    nodes = dominated.select("function_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("block_id"))
+    return _longs(O.iterated_frontier_of(dominated, nodes))
+
+
+@query(f"WITH RECURSIVE {G2}, {DOM2} SELECT d.function_id, d.block_id::BIGINT AS block_id, string_agg(d.dominator::VARCHAR, '->' ORDER BY dep.depth DESC) AS chain FROM dom d JOIN dep ON dep.function_id = d.function_id AND dep.block_id = d.dominator GROUP BY 1, 2")
+def dominator_chains(spark, d):
+    return _longs(O.dominator_chains(O.with_dominators(_g2_fold(spark, d))).withColumn("chain", _joined("chain", "->")))
+
+
+@query(f"WITH RECURSIVE {G2}, {FRONT2} SELECT function_id, dominator::BIGINT AS dominator, block_id::BIGINT AS block_id FROM refl")
+def dominates(spark, d):
+    return _longs(O.dominates(O.with_dominators(_g2_fold(spark, d))))
+
+
+@query(f"WITH RECURSIVE {G2}, {PDOM2}, i AS ({_IDOM.format('', 'pdom', 'pdep', 'LEFT')}) SELECT function_id, idom AS block_id, count(*)::BIGINT AS children FROM i WHERE idom IS NOT NULL GROUP BY ALL")
+def post_dominator_children(spark, d):
+    rows = immediate_post_dominators(spark, d).where("idom is not null")
+    return rows.groupBy("function_id", F.col("idom").alias("block_id")).agg(F.count("*").alias("children"))
+
+
+@query(f"WITH RECURSIVE {G2}, {PDOM2} SELECT x.function_id, x.block_id::BIGINT AS a, y.block_id::BIGINT AS b, max_by(x.dominator, pdep.depth)::BIGINT AS common FROM pdom x JOIN pdom y ON y.function_id = x.function_id AND y.dominator = x.dominator AND x.block_id < y.block_id JOIN pdep ON pdep.function_id = x.function_id AND pdep.block_id = x.dominator GROUP BY 1, 2, 3")
+def common_post_dominators(spark, d):
+    return _longs(O.common_dominators(O.with_post_dominators(_g2_fold(spark, d)), "pdom"))
+
+
+@query(f"WITH RECURSIVE {G2}, {PDOM2} SELECT function_id, block_id::BIGINT AS block_id FROM pdom WHERE dominator = 1")
+def must_pass_to_exit(spark, d):
+    """Blocks of every function that can't get to its exit around its block 1."""
+    return _longs(O.dominator_pairs(O.with_post_dominators(_g2_fold(spark, d)), "pdom").where("dominator = 1").select("function_id", "block_id"))
+
+
+@query(f"WITH RECURSIVE {G2}, {PDOM2} SELECT d.function_id, d.block_id::BIGINT AS block_id, string_agg(d.dominator::VARCHAR, '->' ORDER BY pdep.depth DESC) AS chain FROM pdom d JOIN pdep ON pdep.function_id = d.function_id AND pdep.block_id = d.dominator GROUP BY 1, 2")
+def post_dominator_chains(spark, d):
+    return _longs(O.dominator_chains(O.with_post_dominators(_g2_fold(spark, d)), "pdom").withColumn("chain", _joined("chain", "->")))
+
+
 # --- loops ------------------------------------------------------------------------------------------------------
 
 
@@ -326,6 +423,11 @@ def nested_loops(spark, d):
     return _longs(O.nested_loops(O.natural_loops(O.with_headers(_g2_fold(spark, d)))))
 
 
+@query(f"WITH RECURSIVE {G2}, {LOOP2} SELECT function_id, block_id::BIGINT AS block_id, header::BIGINT AS header, tail::BIGINT AS tail FROM body")
+def loops_of_blocks(spark, d):
+    return _longs(O.loops_of_blocks(O.natural_loops(O.with_headers(_g2_fold(spark, d)))))
+
+
 # --- paths ------------------------------------------------------------------------------------------------------
 
 
@@ -339,6 +441,26 @@ def paths_by_kind(spark, d):
     return _paths1(spark, d).groupBy("path_kind").agg(F.count("*").alias("paths"), F.countDistinct("function_id").alias("functions"), F.max(F.size("blocks")).cast("long").alias("longest"))
 
 
+@query(f"WITH RECURSIVE {G1}, {WALK1} SELECT function_id, {_ID} AS path_id, {_PATH} AS path, tag IN ('Return', 'Abort', 'Call') AS feasible FROM p")
+def feasible_paths(spark, d):
+    flow = _g1_fold(spark, d)
+    return O.feasible_paths(O.enumerate_paths(flow), flow).select("function_id", "path_id", F.expr(ARROWS).alias("path"), "feasible")
+
+
+@query(f"WITH RECURSIVE {G1}, ln AS (SELECT l_orderkey AS function_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) - 1 AS block_id, l_linenumber * 10 AS s FROM lineitem), {WALK1} SELECT p.function_id, {_ID} AS path_id, a.s::BIGINT AS start_line, (z.s + 9)::BIGINT AS end_line FROM p JOIN ln a ON a.function_id = p.function_id AND a.block_id = 0 JOIN ln z ON z.function_id = p.function_id AND z.block_id = path[-1]")
+def path_ranges(spark, d):
+    """Source lines of each path: ten of each block."""
+    return _longs(O.path_ranges(_paths1(spark, d), S.order_blocks(spark, d)))
+
+
+@query(f"WITH RECURSIVE {G1}, {WALK1} SELECT function_id, {_PATH} AS path FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY path) AS k FROM p) WHERE k <= 2")
+def paths_first_two(spark, d):
+    """The first two paths of each function: walks past the bound are never held."""
+    from graphloom.plans.limits import Limits
+
+    return O.enumerate_paths(_g1_fold(spark, d), Limits(max_paths=2)).select("function_id", F.expr(ARROWS).alias("path"))
+
+
 @query(f"WITH RECURSIVE {G1}, {WALK1} SELECT function_id, {_PATH} AS path FROM p WHERE path_kind = 'Error'")
 def error_paths(spark, d):
     return _paths1(spark, d).where("path_kind = 'Error'").select("function_id", F.expr(ARROWS).alias("path"))
@@ -380,6 +502,15 @@ def path_verify(spark, d):
     return O.verify_paths(_paths1(spark, d, CUT), _paths1(spark, d))
 
 
+@query(f"""{_BOTH}, im AS (SELECT po.function_id, po.path, e.dst FROM (SELECT function_id, path, unnest(path) AS block_id FROM po) po JOIN e1 e ON e.function_id = po.function_id AND e.src = po.block_id)
+    SELECT po.function_id, {_STR.format('po.path', '->')} AS path, count(DISTINCT im.dst) FILTER (NOT list_contains(po.path, im.dst))::BIGINT AS affected FROM po LEFT JOIN im ON im.function_id = po.function_id AND im.path = po.path WHERE po.function_id IN (SELECT function_id FROM b1) GROUP BY 1, po.path""")
+def stored_path_impact(spark, d):
+    """Stored paths of the older snapshot: blocks of today's function one step off each, by path id."""
+    stored = D.cached_paths(D.path_elements(_paths1(spark, d, CUT)))
+    got = O.path_impact(stored, _g1_fold(spark, d), max_depth=1)
+    return got.select("function_id", F.expr(ARROWS).alias("path"), F.size("affected").cast("long").alias("affected"))
+
+
 @query(f"WITH {G1}, {_OLD}, a AS ({_HASH.format('b1')}), o AS ({_HASH.format('b1o')}) SELECT a.function_id, a.content_hash, o.content_hash IS NOT NULL AND o.content_hash = a.content_hash AS cached FROM a LEFT JOIN o USING (function_id)")
 def path_cache_hits(spark, d):
     new, old = D.content_hashes(S.order_blocks(spark, d)), D.content_hashes(S.order_blocks(spark, d, CUT)).withColumn("cached", F.lit(True))
@@ -389,15 +520,27 @@ def path_cache_hits(spark, d):
 @query(f"WITH RECURSIVE {G1}, {_OLD}, {WALK1}, a AS ({_HASH.format('b1')}), o AS ({_HASH.format('b1o')}) SELECT function_id, {_PATH} AS path FROM p WHERE function_id NOT IN (SELECT a.function_id FROM a JOIN o USING (function_id, content_hash))")
 def incremental_paths(spark, d):
     """Paths of the functions alone that the older snapshot's cache doesn't cover."""
-    b, e = S.order_flows(spark, d)
+    b = S.order_blocks(spark, d)
     todo = D.changed_functions(D.content_hashes(S.order_blocks(spark, d, CUT)), D.content_hashes(b))
-    part = O.fold(b.join(todo, "function_id", "left_semi"), e.join(todo, "function_id", "left_semi"))
+    part = O.fold_stored(b.join(todo, "function_id", "left_semi"))
     return O.enumerate_paths(O.without_loops(part)).select("function_id", F.expr(ARROWS).alias("path"))
 
 
 @query(f"WITH RECURSIVE {G1}, {WALK1}, s AS (SELECT function_id, path, generate_subscripts(path, 1) AS i FROM p) SELECT function_id, {_ID} AS path_id, (i - 1)::BIGINT AS sequence_order, path[i]::BIGINT AS block_id FROM s")
 def path_elements(spark, d):
-    return _longs(D.path_elements(_paths1(spark, d)))
+    return _longs(D.path_elements(_paths1(spark, d)).drop("path_kind"))
+
+
+@query(f"WITH RECURSIVE {G1}, {WALK1} SELECT function_id, {_PATH} AS path, path_kind, path[1]::BIGINT AS entry, path[-1]::BIGINT AS exit FROM p")
+def path_store(spark, d):
+    """A store filled from the older snapshot, then brought up to date: changed functions replaced, gone ones invalid."""
+    store = PathStore(spark, shared_path(spark, "store"))
+    old, new = S.order_blocks(spark, d, CUT), S.order_blocks(spark, d)
+    store.put(D.content_hashes(old), _paths1(spark, d, CUT), 1)
+    store.invalidate(store.gone(new), 2)
+    todo = store.changed(new)
+    store.put(todo, O.enumerate_paths(O.without_loops(O.fold_stored(new.join(todo, "function_id", "left_semi")))), 3)
+    return store.paths().select("function_id", F.expr(ARROWS).alias("path"), "path_kind", F.col("entry").cast("long").alias("entry"), F.col("exit").cast("long").alias("exit"))
 
 
 # --- patterns ---------------------------------------------------------------------------------------------------
@@ -423,6 +566,12 @@ def branch_types(spark, d):
     return _longs(O.branch_types(*S.journey_flows(spark, d)))
 
 
+@query(f"""WITH {G2}, mx AS (SELECT function_id, src, max(dst) AS other FROM e2 GROUP BY ALL) SELECT x.function_id, x.src::BIGINT AS block_id, 'IfElse' AS pattern, 2::BIGINT AS branches FROM (SELECT function_id, src, count(*) AS c FROM e2 GROUP BY ALL) x WHERE c = 2
+    UNION ALL SELECT function_id, block_id, 'Match', o FROM b2 WHERE o >= 3""")
+def branch_patterns(spark, d):
+    return _longs(O.branch_patterns(*S.journey_flows(spark, d)))
+
+
 # --- ranking, summaries, exports --------------------------------------------------------------------------------
 
 
@@ -433,6 +582,13 @@ def hot_paths(spark, d):
     return O.hot_paths(O.enumerate_paths(flow), flow, None).select("function_id", F.col("rank").cast("long").alias("rank"), F.expr(ARROWS).alias("path"), "score")
 
 
+@query(f"""WITH RECURSIVE {G1}, {WALK1}, s AS (SELECT *, floor(avg(length) OVER (PARTITION BY function_id)) AS mean FROM p), z AS (SELECT *, tag = 'Return' AND length < mean AND length > 1 AS early FROM s),
+    k AS (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY CASE WHEN early THEN 0.75 ELSE 1.5 END DESC, path) AS rank FROM z) SELECT function_id, rank::BIGINT AS rank, {_ID} AS path_id, 'entry 1 times' || CASE WHEN early THEN '; returns early' ELSE '' END AS reasons FROM k WHERE rank <= 10""")
+def hot_path_reasons(spark, d):
+    flow = _g1_fold(spark, d)
+    return O.hot_paths(O.enumerate_paths(flow), flow, None).select("function_id", F.col("rank").cast("long").alias("rank"), "path_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query(f"""WITH RECURSIVE {G2}, {WALK2}, s AS (SELECT *, floor(avg(length) OVER (PARTITION BY function_id)) AS mean FROM p),
     dp AS (SELECT function_id, block_id, count(*) AS k FROM body GROUP BY ALL), pe AS (SELECT DISTINCT function_id, path, unnest(path) AS block_id FROM p), pd AS (SELECT pe.function_id, path, max(coalesce(k, 0)) AS depth FROM pe LEFT JOIN dp USING (function_id, block_id) GROUP BY ALL),
     z AS (SELECT s.function_id, s.path, pow(2, depth) * (1 + 0.5 * len(list_filter(s.path, lambda x: x = 0))) * CASE WHEN tag = 'Return' AND length < mean AND length > 1 THEN 0.5 ELSE 1 END AS score FROM s JOIN pd ON pd.function_id = s.function_id AND pd.path = s.path),
@@ -453,6 +609,21 @@ def path_summaries(spark, d):
     return _longs(O.summaries(_paths1(spark, d)))
 
 
+_TEXT1 = "CASE WHEN kind = 'Entry' THEN 'entry' WHEN kind = 'Exit' THEN 'exit' ELSE 'normal' END || ' block ' || CASE tag WHEN 'Goto' THEN 'continues' WHEN 'SwitchInt' THEN 'chooses among 1' WHEN 'Call' THEN 'calls' WHEN 'Return' THEN 'returns' ELSE 'aborts: ' || term END"
+
+
+@query(f"""WITH RECURSIVE {G1}, tx AS (SELECT function_id, list({_TEXT1} ORDER BY block_id) AS t FROM b1 GROUP BY 1), {WALK1} SELECT p.function_id, {_ID} AS path_id,
+    CASE WHEN length <= 5 THEN array_to_string(list_transform(path, lambda b: t[b + 1]), ', then ') ELSE t[path[1] + 1] || ', then ' || (length - 2) || ' more, then ' || t[path[length] + 1] END || CASE path_kind WHEN 'Normal' THEN '' WHEN 'Error' THEN ', an error' ELSE ', a dead end' END AS story FROM p JOIN tx USING (function_id)""")
+def path_stories(spark, d):
+    """Paths told by what their blocks do and how they end."""
+    return O.tell_paths(_paths1(spark, d), O.describe_blocks(S.order_blocks(spark, d)))
+
+
+@query(f"WITH RECURSIVE {G2}, {LOOP2} SELECT f.function_id, f.n::BIGINT AS blocks, 0::BIGINT AS entry, f.x::BIGINT AS exits, coalesce(l.k, 0)::BIGINT AS loops FROM (SELECT function_id, count(*) AS n, count(*) FILTER (tag = 'Return') AS x FROM b2 GROUP BY 1) f LEFT JOIN (SELECT function_id, count(*) AS k FROM lp GROUP BY 1) l USING (function_id)")
+def function_reports(spark, d):
+    return _longs(O.report_functions(O.with_headers(_g2_fold(spark, d))))
+
+
 @query(f"WITH {G2}, t AS (SELECT function_id, src, min(dst) AS dst FROM e2 GROUP BY ALL) SELECT b2.function_id, b2.block_id::BIGINT AS block_id, CASE WHEN b2.block_id = 0 THEN 'entry' WHEN tag = 'Return' THEN 'exit' ELSE 'normal' END || ' block ' || CASE tag WHEN 'Goto' THEN 'continues' || coalesce(' at ' || t.dst, '') WHEN 'SwitchInt' THEN 'chooses among ' || o ELSE 'returns' END AS description FROM b2 LEFT JOIN t ON t.function_id = b2.function_id AND t.src = b2.block_id")
 def block_descriptions(spark, d):
     return _longs(O.describe_blocks(S.journey_flows(spark, d)[0]))
@@ -503,34 +674,65 @@ def diff_similarity(spark, d):
     return D.similarity(ob, nb, D.diff_blocks(ob, nb), D.diff_edges(oe, ne))
 
 
+def _lines(suffix: str = "", before: str | None = None) -> str:
+    where = f"WHERE l_shipdate < TIMESTAMP '{before}'" if before else ""
+    return f"ln{suffix} AS (SELECT l_orderkey AS function_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) - 1 AS block_id, l_linenumber AS line FROM lineitem {where})"
+
+
+@query(f"""WITH {G1}, {_OLD}, {_lines()}, {_lines('o', CUT)}, a AS (SELECT * FROM b1 JOIN ln USING (function_id, block_id)), o AS (SELECT * FROM b1o JOIN lno USING (function_id, block_id))
+    SELECT coalesce(a.function_id, o.function_id) AS function_id, coalesce(a.block_id, o.block_id)::BIGINT AS block_id, CASE WHEN o.term IS NULL THEN 'Added' WHEN a.term IS NULL THEN 'Deleted' WHEN a.term <> o.term AND a.line <> o.line THEN 'Both' WHEN a.term <> o.term THEN 'Terminator' ELSE 'Location' END AS change
+    FROM o FULL JOIN a ON a.function_id = o.function_id AND a.block_id = o.block_id WHERE o.term IS NULL OR a.term IS NULL OR a.term <> o.term OR a.line <> o.line""")
+def diff_changes(spark, d):
+    return _longs(D.diff_changes(S.order_blocks(spark, d, CUT), S.order_blocks(spark, d)))
+
+
 _ICFG = f"""{G1}, fc AS (SELECT caller, callee FROM (SELECT o_orderkey AS caller, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS callee FROM orders) WHERE callee IS NOT NULL),
     en AS (SELECT min(o_orderkey) AS function_id FROM orders GROUP BY o_custkey), fd(function_id, k) AS (SELECT function_id, 0 FROM en UNION SELECT callee, k + 1 FROM fd JOIN fc ON caller = function_id WHERE k < 3),
     fs AS (SELECT DISTINCT function_id FROM fd), ob AS (SELECT * FROM b1 WHERE function_id IN (SELECT function_id FROM fs)),
     si AS (SELECT ob.function_id AS caller, ob.block_id, fc.callee FROM ob JOIN fc ON fc.caller = ob.function_id WHERE tag = 'Call' AND fc.callee IN (SELECT function_id FROM ob))"""
 
 
-def _icfg(spark, d):
-    from pyspark.sql import Window as W
-
+def _order_calls(spark, d):
+    """Calls from each order of a customer to the next, and every customer's first order."""
     orders = S.read(spark, d, "orders").select("o_orderkey", "o_custkey")
     nxt = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
     calls = orders.select(F.col("o_orderkey").alias("caller"), nxt.alias("callee")).where("callee is not null")
-    entries = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("function_id"))
-    return D.icfg(*S.order_flows(spark, d), calls, entries)
+    return calls, orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("function_id"))
+
+
+def _icfg(spark, d):
+    return D.icfg(*S.order_flows(spark, d), *_order_calls(spark, d))
+
+
+_NODES = "SELECT function_id, block_id::BIGINT AS block_id, CASE WHEN tag = 'Call' THEN 'CallSite' ELSE 'Block' END AS node_type FROM ob UNION ALL SELECT function_id, -1, 'Entry' FROM ob WHERE block_id = 0 UNION ALL SELECT function_id, -2, 'Exit' FROM ob WHERE block_id = 0"
 
 
-@query(f"WITH RECURSIVE {_ICFG} SELECT function_id, block_id::BIGINT AS block_id, CASE WHEN tag = 'Call' THEN 'CallSite' ELSE 'Block' END AS node_type FROM ob UNION ALL SELECT function_id, -1, 'Entry' FROM ob WHERE block_id = 0 UNION ALL SELECT function_id, -2, 'Exit' FROM ob WHERE block_id = 0")
+@query(f"WITH RECURSIVE {_ICFG} {_NODES}")
 def icfg_nodes(spark, d):
     return _longs(_icfg(spark, d)[0])
 
 
-@query(f"""WITH RECURSIVE {_ICFG}, al AS (SELECT function_id AS sf, -1 AS sb, function_id AS df, 0 AS db, 'Enter' AS edge_kind FROM ob WHERE block_id = 0 UNION ALL SELECT function_id, src, function_id, dst, 'Intra' FROM e1 WHERE function_id IN (SELECT function_id FROM fs)
-    UNION ALL SELECT function_id, block_id, function_id, -2, 'Leave' FROM ob WHERE tag IN ('Return', 'Abort') UNION ALL SELECT caller, block_id, callee, -1, 'Call' FROM si UNION ALL SELECT callee, -2, caller, dst, 'Return' FROM si JOIN e1 ON function_id = caller AND src = block_id)
-    SELECT sf AS src_function, sb::BIGINT AS src_block, df AS dst_function, db::BIGINT AS dst_block, edge_kind FROM al""")
+_EDGES = """al AS (SELECT function_id AS sf, -1 AS sb, function_id AS df, 0 AS db, 'Enter' AS edge_kind FROM ob WHERE block_id = 0 UNION ALL SELECT function_id, src, function_id, dst, 'Intra' FROM e1 WHERE function_id IN (SELECT function_id FROM fs)
+    UNION ALL SELECT function_id, block_id, function_id, -2, 'Leave' FROM ob WHERE tag IN ('Return', 'Abort') UNION ALL SELECT caller, block_id, callee, -1, 'Call' FROM si UNION ALL SELECT callee, -2, caller, dst, 'Return' FROM si JOIN e1 ON function_id = caller AND src = block_id)"""
+_EDGE_ROWS = "SELECT sf AS src_function, sb::BIGINT AS src_block, df AS dst_function, db::BIGINT AS dst_block, edge_kind FROM al"
+
+
+@query(f"WITH RECURSIVE {_ICFG}, {_EDGES} {_EDGE_ROWS}")
 def icfg_edges(spark, d):
     return _longs(_icfg(spark, d)[1])
 
 
+@query(f"WITH RECURSIVE {_ICFG}, {_EDGES}, no AS ({_NODES}) SELECT 'node ' || node_type AS item, count(*)::BIGINT AS n FROM no GROUP BY 1 UNION ALL SELECT 'edge ' || edge_kind, count(*) FROM al GROUP BY 1 UNION ALL SELECT 'functions', count(DISTINCT function_id) FROM no")
+def icfg_counts(spark, d):
+    return D.icfg_counts(*_icfg(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_ICFG}, {_EDGES}, no AS ({_NODES}) SELECT '"' || function_id || ':' || block_id || '" [label="' || node_type || '"];' AS dot, '{{"function":' || function_id || ',"block":' || block_id || ',"type":"' || node_type || '"}}' AS json FROM no
+    UNION ALL SELECT '"' || sf || ':' || sb || '" -> "' || df || ':' || db || '" [label="' || edge_kind || '"];', '{{"src_function":' || sf || ',"src_block":' || sb || ',"dst_function":' || df || ',"dst_block":' || db || ',"type":"' || edge_kind || '"}}' FROM al""")
+def icfg_export(spark, d):
+    return D.export_icfg(*_icfg(spark, d))
+
+
 # --- call graph -------------------------------------------------------------------------------------------------
 
 _FR = "fr(id) AS (SELECT id FROM entry UNION SELECT callee FROM fr JOIN c3 ON caller = id)"
@@ -560,7 +762,7 @@ def strong_components(spark, d):
     return C.strong_components(S.part_calls(spark, d))
 
 
-@query(f"WITH RECURSIVE {G3}, {_MR} SELECT component, 'MutualRecursion' AS cycle_type, count(*)::BIGINT AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM sc GROUP BY component HAVING count(*) > 1 UNION ALL SELECT caller, 'SelfLoop', 1, caller::VARCHAR FROM c3 WHERE caller = callee")
+@query(f"WITH RECURSIVE {G3}, {_MR} SELECT component, 'MutualRecursion' AS cycle_type, n::BIGINT AS size, id AS member FROM sc JOIN (SELECT component, count(*) AS n FROM sc GROUP BY 1 HAVING count(*) > 1) USING (component) UNION ALL SELECT caller, 'SelfLoop', 1, caller FROM c3 WHERE caller = callee")
 def call_cycles(spark, d):
     calls = S.part_calls(spark, d)
     return C.call_cycles(calls, C.strong_components(calls))
@@ -591,3 +793,47 @@ def call_paths(spark, d):
 def hotspots_inter(spark, d):
     calls = S.part_calls(spark, d)
     return C.hotspots(calls, C.strong_components(calls), C.call_paths(calls, _entry(calls), ENTRY_DEPTH))
+
+
+_MANY = 100
+_CPN = f"""cw(node, path) AS (SELECT id, [id] FROM entry UNION ALL SELECT node, path FROM (SELECT callee AS node, list_append(path, callee) AS path FROM cw JOIN c3 ON caller = node WHERE len(path) < 50 AND caller <> callee AND NOT list_contains(path, callee)) QUALIFY row_number() OVER (ORDER BY path) <= {_MANY + 1}),
+    cn AS (SELECT path FROM cw WHERE len(path) = 50 OR NOT EXISTS (SELECT 1 FROM c3 WHERE caller = node AND NOT list_contains(path, callee)) ORDER BY path LIMIT {_MANY + 1})"""
+
+
+@query(f"WITH RECURSIVE {G3}, {_CPN}, k AS (SELECT path FROM cn ORDER BY path LIMIT {_MANY}) SELECT (SELECT count(*) FROM k)::BIGINT AS paths, (SELECT min(len(path)) FROM k)::BIGINT AS shortest, (SELECT max(len(path)) FROM k)::BIGINT AS longest, (SELECT round(avg(len(path)), 6) FROM k)::DOUBLE AS mean, (SELECT count(DISTINCT x) FROM (SELECT unnest(path) AS x FROM k))::BIGINT AS symbols, (SELECT count(*) FROM cn) > {_MANY} AS truncated")
+def call_path_statistics(spark, d):
+    """Figures of the first call paths of up to 50 symbols, and whether there are more."""
+    calls = S.part_calls(spark, d)
+    return _longs(C.call_path_statistics(C.call_paths(calls, _entry(calls), 50, max_paths=_MANY + 1), _MANY))
+
+
+@query(f"WITH RECURSIVE {G3}, {_MR}, k AS (SELECT component, count(*) AS n FROM sc GROUP BY 1) SELECT (SELECT count(*) FROM k)::BIGINT AS supernodes, (SELECT count(*) FROM (SELECT DISTINCT x.component, y.component FROM c3 JOIN sc x ON x.id = caller JOIN sc y ON y.id = callee WHERE x.component <> y.component))::BIGINT AS edges, (SELECT max(n) FROM k)::BIGINT AS largest")
+def condensation_figures(spark, d):
+    calls = S.part_calls(spark, d)
+    components = cut(C.strong_components(calls), "components")
+    return _longs(C.condensation_figures(components, C.condensation(calls, components)))
+
+
+@query(f"WITH RECURSIVE {G3}, {_MR}, {G2}, {LOOP2} SELECT 'MutualRecursion' AS kind, component AS first, count(*)::BIGINT AS size FROM sc GROUP BY component HAVING count(*) > 1 UNION ALL SELECT 'SelfLoop', caller, 1 FROM c3 WHERE caller = callee UNION ALL SELECT 'NaturalLoop', function_id, count(*) FROM body GROUP BY function_id, header, tail")
+def all_cycles(spark, d):
+    """Cycles of calls and loops of functions together; first is a component's smallest symbol or the loop's function."""
+    calls = S.part_calls(spark, d)
+    found = C.call_cycles(calls, C.strong_components(calls)).where("member = component").select(F.col("cycle_type").alias("kind"), F.col("component").alias("first"), "size")
+    loops = O.natural_loops(O.with_headers(_g2_fold(spark, d)))
+    return found.unionByName(loops.select(F.lit("NaturalLoop").alias("kind"), F.col("function_id").alias("first"), F.size("body").cast("long").alias("size")))
+
+
+@query(f"WITH RECURSIVE {G3}, {_FR}, {G1}, {R1} SELECT 'symbol' AS kind, p_partkey AS id, -1::BIGINT AS block_id FROM part WHERE p_partkey NOT IN (SELECT id FROM fr) UNION ALL SELECT 'block', function_id, block_id FROM b1 WHERE (function_id, block_id) NOT IN (SELECT (function_id, block_id) FROM r1)")
+def dead_code(spark, d):
+    """What never runs: symbols that no entry reaches, and blocks that their function's entry doesn't."""
+    calls = S.part_calls(spark, d)
+    symbols = C.dead_symbols(S.symbols(spark, d), calls, _entry(calls)).select(F.lit("symbol").alias("kind"), "id", F.lit(-1).cast("long").alias("block_id"))
+    blocks = O.unreachable(_g1_fold(spark, d)).select(F.lit("block").alias("kind"), F.col("function_id").alias("id"), F.col("block_id").cast("long").alias("block_id"))
+    return symbols.unionByName(blocks)
+
+
+@query(f"WITH RECURSIVE {G3}, {_MR}, {_CPN}, n AS (SELECT id, count(*) AS path_count FROM (SELECT unnest(path) AS id FROM (SELECT path FROM cn ORDER BY path LIMIT {_MANY})) GROUP BY 1) SELECT id, path_count::BIGINT AS path_count, s.k::BIGINT AS dominance, (path_count + 2.0 * s.k)::DOUBLE AS risk FROM n JOIN sc USING (id) JOIN (SELECT component, count(*) AS k FROM sc GROUP BY 1) s USING (component) ORDER BY risk DESC, id LIMIT 20")
+def hotspots_of_long_paths(spark, d):
+    """Hotspots over call paths of up to 50 symbols, the first of them in order."""
+    calls = S.part_calls(spark, d)
+    return C.hotspots(calls, C.strong_components(calls), C.call_paths(calls, _entry(calls), 50, max_paths=_MANY))

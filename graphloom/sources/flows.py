@@ -26,15 +26,16 @@ def decode_tag(stored):
     return F.coalesce(F.element_at(tags, stored), F.lit("Unreachable"))
 
 
-def decode_blocks(stored: DataFrame, order: list[str]) -> DataFrame:
+def decode_blocks(stored: DataFrame, order: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Stored rows (function_id, kind, terminator, order columns) -> blocks: ordinals by the order, decoded fields.
 
-    Stored switches have no targets and stored calls neither target nor unwind. Null kinds are Normal.
+    Stored switches have no targets and stored calls neither target nor unwind. Null kinds are Normal. ``keep`` names
+    further columns, such as source lines.
     """
     place = F.row_number().over(W.partitionBy("function_id").orderBy(*order)) - 1
     return stored.select(
         "function_id", place.cast("int").alias("block_id"), decode_kind(F.coalesce("kind", F.lit(""))).alias("kind"), "terminator", decode_tag(F.coalesce("terminator", F.lit(""))).alias("tag"),
-        F.array().cast("array<int>").alias("targets"), F.lit(None).cast("int").alias("otherwise"), F.lit(False).alias("has_target"), F.lit(False).alias("has_unwind"),
+        F.array().cast("array<int>").alias("targets"), F.lit(None).cast("int").alias("otherwise"), F.lit(False).alias("has_target"), F.lit(False).alias("has_unwind"), *keep,
     )
 
 
@@ -52,9 +53,13 @@ def derive_edges(blocks: DataFrame) -> DataFrame:
 
 
 def classify_edges(blocks: DataFrame) -> DataFrame:
-    """Edges of structured terminators: switch targets are true branches, otherwise the false one; others fall through."""
-    laid = blocks.select("function_id", F.col("block_id").alias("src"), "tag", F.posexplode("targets").alias("k", "dst"), "otherwise")
-    kind = F.when(F.col("tag") == "SwitchInt", "TrueBranch").when(F.col("tag") == "Call", F.when(F.col("k") == 0, "Call").otherwise("Exception")).otherwise("Fallthrough")
+    """Edges of structured terminators: switch targets are true branches, otherwise the false one; others fall through.
+
+    A call's targets are where it returns to (if ``has_target``), then where it unwinds to: a call that never returns has
+    an exception edge alone.
+    """
+    laid = blocks.select("function_id", F.col("block_id").alias("src"), "tag", "has_target", F.posexplode("targets").alias("k", "dst"))
+    kind = F.when(F.col("tag") == "SwitchInt", "TrueBranch").when(F.col("tag") == "Call", F.when((F.col("k") == 0) & F.coalesce("has_target", F.lit(False)), "Call").otherwise("Exception")).otherwise("Fallthrough")
     last = blocks.where("otherwise is not null").select("function_id", F.col("block_id").alias("src"), F.col("otherwise").alias("dst"), F.lit("FalseBranch").alias("edge_type"))
     return laid.select("function_id", "src", "dst", kind.alias("edge_type")).unionByName(last)
 
@@ -66,16 +71,18 @@ _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extend
 LINE_TERMINATORS = {"AF": "fallthrough", "AO": "conditional", "NF": "goto", "NO": "call", "RF": "return", "RO": "panic"}
 
 
-def order_blocks(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def order_blocks(spark: SparkSession, sf_dir: str, before: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Orders as functions, lines as blocks; ``before`` keeps lines shipped earlier (an older snapshot)."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *_LINE_ORDER)
+    more = [c for c in keep if c not in _LINE_ORDER]
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *_LINE_ORDER, *more)
     if before:
         lines = lines.where(F.col("l_shipdate") < F.lit(before).cast("timestamp"))
     texts = F.create_map(*[F.lit(x) for kv in LINE_TERMINATORS.items() for x in kv])
     term = F.element_at(texts, F.concat("l_returnflag", "l_linestatus"))
     first = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)) == 1
     kind = F.when(first, "entry").when(term == "return", "return").otherwise("block")
-    return decode_blocks(lines.select(F.col("l_orderkey").alias("function_id"), kind.alias("kind"), term.alias("terminator"), *_LINE_ORDER), _LINE_ORDER)
+    where = [(F.col("l_linenumber") * 10).cast("int").alias("start_line"), (F.col("l_linenumber") * 10 + 9).cast("int").alias("end_line")]
+    return decode_blocks(lines.select(F.col("l_orderkey").alias("function_id"), kind.alias("kind"), term.alias("terminator"), *_LINE_ORDER, *more, *where), _LINE_ORDER, ("start_line", "end_line", *keep))
 
 
 def order_flows(spark: SparkSession, sf_dir: str, before: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,31 +1,30 @@
-"""Keeping a path cache up to date from a stream of stored blocks."""
+"""Keeping a path store up to date from a stream of stored blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from graphloom.operators import compare, flow
+from graphloom.operators import flow
+from graphloom.operators.compare import KEY, content_hashes
+from graphloom.sources.path_store import PathStore
 
 
-def maintain_paths(stream: DataFrame, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], cache_path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's functions are rebuilt by ``build`` and their paths replace the ones cached for them.
+def maintain_paths(stream: DataFrame, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], store: str, checkpoint: str, removed: str | None = None) -> StreamingQuery:
+    """Each micro-batch's functions are rebuilt by ``build``, and their paths, or that they have none, replace what the
+    store has for them. Rows for which the SQL condition ``removed`` holds say that a function is gone.
 
-    The cache is Parquet under ``cache_path/epoch=N``; readers take a function's latest epoch, so a repeated batch after
-    a failure overwrites its own epoch and nothing else.
+    A micro-batch is an epoch of the store, so that a repeated batch after a failure overwrites its own epoch alone.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        blocks, edges = build(batch)
+        live = batch.where(f"not coalesce({removed}, false)") if removed else batch
+        blocks, edges = build(live)
         headed = flow.with_headers(flow.fold(blocks, edges))
-        compare.path_elements(flow.enumerate_paths(headed)).write.mode("overwrite").parquet(f"{cache_path}/epoch={epoch}")
+        marks = batch.select(KEY).distinct().join(content_hashes(blocks), KEY, "left").select(KEY, F.col("content_hash"))
+        PathStore(batch.sparkSession, store).put(marks, flow.enumerate_paths(headed), epoch)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_paths(cache: DataFrame) -> DataFrame:
-    """The cached elements of each function's latest epoch."""
-    newest = cache.groupBy("function_id").agg({"epoch": "max"}).withColumnRenamed("max(epoch)", "epoch")
-    return cache.join(newest, ["function_id", "epoch"], "left_semi").drop("epoch")

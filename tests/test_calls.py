@@ -35,3 +35,26 @@ def test_random_components(spark):
     to = {a: reach(a) for a in ids}
     want = {a: min(b for b in ids if b in to[a] and a in to[b]) for a in ids}
     assert {x.id: x.component for x in C.strong_components(frame(spark, edges)).collect()} == want
+
+
+def test_call_paths_with_limits_and_ends(spark):
+    r = random.Random(2)
+    edges = sorted({(r.randrange(12), r.randrange(12)) for _ in range(30)})
+    to = {a: sorted({d for s, d in edges if s == a and d != a}) for a in range(12)}
+
+    def walk(path, depth, end):
+        nxt = [x for x in to[path[-1]] if x not in path] if len(path) < depth else []
+        if path[-1] == end if end is not None else not nxt:
+            yield path
+        for x in nxt:
+            yield from walk([*path, x], depth, end)
+
+    calls, start = frame(spark, edges), spark.createDataFrame([(edges[0][0],)], "start long")
+    for depth, end, most in ((50, None, None), (5, None, None), (50, None, 7), (4, None, 3), (6, 5, None), (6, 5, 4), (1, None, None)):
+        want = sorted(walk([edges[0][0]], depth, end))[:most]
+        goal = None if end is None else spark.createDataFrame([(end,)], "start long")
+        got = C.call_paths(calls, start, depth, goal, most)
+        assert sorted(list(x.path) for x in got.collect()) == want, (depth, end, most)
+    figures = C.call_path_statistics(C.call_paths(calls, start, 50, max_paths=8), 7).first()
+    want = sorted(walk([edges[0][0]], 50, None))
+    assert (figures.paths, figures.truncated) == (min(7, len(want)), len(want) > 7)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -134,3 +135,38 @@ def test_edge_diff(spark):
     b = flows.decode_blocks(spark.createDataFrame([(1, 0, "entry", "return"), (1, 1, "return", "return")], schema), ["id"])
     assert [r.change for r in compare.diff_edges(flows.derive_edges(a), flows.derive_edges(b)).collect()] == ["Deleted"]
     assert [r.change for r in compare.diff_blocks(a, b).collect()] == ["Terminator"]
+
+
+def test_paths_are_bounded_as_they_grow(spark):
+    """Chains of diamonds have 2**n paths, of which only the first are ever held; loops whose walks lead nowhere too."""
+    edges = [e for k in range(0, 90, 3) for e in ((k, k + 1), (k, k + 2), (k + 1, k + 3), (k + 2, k + 3))]
+    began = time.time()
+    got = paths(spark, (edges, {90}, 91), Limits(max_paths=10))
+    assert time.time() - began < 20
+    assert len(got) == 10 and got[0] == [x for k in range(0, 90, 3) for x in (k, k + 1)] + [90] and got == sorted(got)
+    # from 1 nothing leads out again without a block twice; only by way of 6
+    trap = ([(0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (0, 6), (6, 7)], {7}, 8)
+    assert paths(spark, trap, Limits(max_paths=1, loop_unroll=1)) == [[0, 6, 7]]
+
+
+def test_structured_calls(spark):
+    rows = [(1, 0, "Entry", None, "Call", [1, 2], None, True, True), (1, 1, "Normal", None, "Call", [2], None, False, True), (1, 2, "Normal", None, "Call", [3], None, True, False), (1, 3, "Exit", None, "Return", [], None, False, False)]
+    got = {(r.src, r.dst, r.edge_type) for r in flows.classify_edges(spark.createDataFrame(rows, BLOCK)).collect()}
+    assert got == {(0, 1, "Call"), (0, 2, "Exception"), (1, 2, "Exception"), (2, 3, "Call")}
+
+
+def test_stored_and_explicit_edges_fold_alike(spark):
+    r = random.Random(3)
+    kinds = ["fallthrough", "goto", "conditional", "call", "return", "panic", None]
+    rows = [(f, k, "entry" if k == 0 else "x", r.choice(kinds)) for f in range(40) for k in range(r.randint(1, 9))]
+    blocks = flows.decode_blocks(spark.createDataFrame(rows, "function_id long, id long, kind string, terminator string"), ["id"])
+    a, b = flow.fold_stored(blocks), flow.fold(blocks, flows.derive_edges(blocks))
+    assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+
+
+def test_feasibility(spark):
+    tags = {0: "Goto", 1: "Call", 2: "Return"}
+    blocks, edges = graph(spark, [(0, 1), (0, 2)], {2}, 4, tags=tags)
+    f = flow.fold(blocks, edges)
+    given = spark.createDataFrame([(1, "a", [0, 2]), (1, "b", [0]), (1, "c", [0, 1]), (1, "d", [2]), (1, "e", []), (1, "f", [0, 3])], "function_id long, path_id string, blocks array<int>")
+    assert {r.path_id: r.feasible for r in flow.feasible_paths(given, f).collect()} == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": False}

@@ -1,4 +1,5 @@
 from graphloom.sources import flows
+from graphloom.sources.path_store import PathStore
 from graphloom.streaming import incremental
 
 
@@ -12,17 +13,31 @@ def test_path_cache_follows_a_stream(spark, tmp_path):
 
     def feed(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = incremental.maintain_paths(spark.readStream.schema(schema).parquet(src), build, cache, f"{tmp_path}/check")
+        q = incremental.maintain_paths(spark.readStream.schema(schema).parquet(src), build, cache, f"{tmp_path}/check", "kind = 'removed'")
         q.awaitTermination()
 
     def paths():
-        rows = incremental.latest_paths(spark.read.parquet(cache)).orderBy("function_id", "path_id", "sequence_order").collect()
-        out = {}
-        for r in rows:
-            out.setdefault((r.function_id, r.path_id), []).append(r.block_id)
-        return sorted((f, b) for (f, _), b in out.items())
+        return sorted((r.function_id, list(r.blocks)) for r in PathStore(spark, cache).paths().collect())
 
     feed([(1, 0, "entry", "goto"), (1, 1, "return", "return"), (2, 0, "entry", "return")])
     assert paths() == [(1, [0, 1]), (2, [0])]
     feed([(1, 0, "entry", "conditional"), (1, 1, "x", "panic"), (1, 2, "return", "return")])
     assert paths() == [(1, [0, 1]), (1, [0, 2]), (2, [0])]
+    # function 1 loses its only exit, function 2 goes
+    feed([(1, 0, "entry", "goto"), (1, 1, "x", "goto"), (2, 0, "removed", None), (3, 0, "entry", "return")])
+    assert paths() == [(3, [0])]
+
+
+def test_store_round_trip(spark, tmp_path):
+    store, schema = PathStore(spark, f"{tmp_path}/store"), "function_id long, path_id string, path_kind string, blocks array<int>"
+    marks = lambda *f: spark.createDataFrame([(x, f"h{x}") for x in f], "function_id long, content_hash string")
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    read = lambda: sorted((r.function_id, r.path_id, r.path_kind, r.entry, r.exit, list(r.blocks)) for r in store.paths().collect())
+    assert read() == [] and store.next_epoch() == 1
+    long = list(range(50))
+    store.put(marks(1, 2), rows((1, "a", "Normal", [0, 1]), (1, "b", "Error", [0, 2]), (2, "a", "Normal", long)), store.next_epoch())
+    assert read() == [(1, "a", "Normal", 0, 1, [0, 1]), (1, "b", "Error", 0, 2, [0, 2]), (2, "a", "Normal", 0, 49, long)]
+    store.put(marks(1), rows((1, "c", "Degenerate", [0, 3])), store.next_epoch())
+    store.invalidate(marks(2), store.next_epoch())
+    assert read() == [(1, "c", "Degenerate", 0, 3, [0, 3])]
+    assert {r.function_id for r in store.marks().where("content_hash is null").collect()} == {2}
