@@ -24,22 +24,21 @@ def symbols_of(calls: DataFrame) -> DataFrame:
 def closure(calls: DataFrame, seeds: DataFrame) -> DataFrame:
     """``start, node, depth`` for every seed ``start`` and all that it reaches, itself at depth 0; fewest calls.
 
-    Each round joins only what the last one found; rounds follow the longest shortest path.
+    Each round sends only what the last one found; rounds follow the longest shortest path.
     """
-    seen = new = cut(seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
-    depth = 0
-    while not new.isEmpty():
-        rounds = []
+    state, depth = seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct().withColumn("new", F.lit(True)), 0
+    while True:
         for _ in range(HOPS):
             depth += 1
-            step = new.where(F.col("depth") == depth - 1).select("start", F.col("node").alias("caller")).join(calls, "caller").select("start", F.col("callee").alias("node")).distinct()
-            for known in (seen, *rounds):
-                step = step.join(known.select("start", "node"), ["start", "node"], "left_anti")
-            new = step.withColumn("depth", F.lit(depth))
-            rounds.append(new)
-        found = cut(reduce(DataFrame.unionByName, rounds), "seen")
-        seen, new = seen.unionByName(found), found.where(F.col("depth") == depth)
-    return seen
+            # each row stays, once for each call that it sends on: what a round needs is read once
+            to = state.join(calls.select("caller", "callee"), (F.col("node") == F.col("caller")) & F.col("new"), "left")
+            own = F.struct("node", "depth", F.lit(True).alias("known"))
+            sent = F.when(F.col("callee").isNotNull(), F.struct(F.col("callee").alias("node"), F.lit(depth).alias("depth"), F.lit(False).alias("known")))
+            rows = to.select("start", F.inline(F.array_compact(F.array(own, sent))))
+            state = rows.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.bool_or("known").alias("known")).select("start", "node", "depth", (~F.col("known")).alias("new"))
+        state = cut(state, "closure")
+        if state.where("new").isEmpty():
+            return state.drop("new")
 
 
 def reachable_symbols(calls: DataFrame, entry: DataFrame) -> DataFrame:
@@ -64,9 +63,11 @@ def _settled(arcs: DataFrame, state: DataFrame) -> DataFrame:
     state = state.withColumn("moved", F.lit(True))
     while True:
         for _ in range(HOPS):
-            sent = arcs.join(state.where("moved").select(F.col("id").alias("src"), "way", "label"), ["src", "way"]).select(F.col("dst").alias("id"), "way", "label", F.lit(None).cast("long").alias("own"))
-            both = state.select("id", "way", "label", F.col("label").alias("own")).unionByName(sent)
-            state = both.groupBy("id", "way").agg(F.min("label").alias("label"), F.max("own").alias("own")).select("id", "way", "label", (F.col("label") < F.col("own")).alias("moved"))
+            to = state.join(arcs.toDF("src", "dst", "w"), (F.col("id") == F.col("src")) & (F.col("way") == F.col("w")) & F.col("moved"), "left")
+            own = F.struct("id", "label", F.col("label").alias("own"))
+            sent = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("own")))
+            rows = to.select("way", F.inline(F.array_compact(F.array(own, sent))))
+            state = rows.groupBy("id", "way").agg(F.min("label").alias("label"), F.max("own").alias("own")).select("id", "way", "label", (F.col("label") < F.col("own")).alias("moved"))
         state = cut(state, "labels")
         if state.where("moved").isEmpty():
             return state.select("id", "way", "label")

@@ -29,8 +29,16 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_core_works_without_the_training_data_part(monkeypatch):
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "graphloom.llm"])
+def test_core_works_without_the_training_data_part(monkeypatch, gone):
+    monkeypatch.setitem(sys.modules, gone, None)
+    if gone == "graphloom.llm":  # as where its folder is deleted and the pipeline's file is not
+        for name in [n for n in sys.modules if n.startswith("graphloom.llm.") or n == "corpus_pipeline"]:
+            monkeypatch.delitem(sys.modules, name)
+        import graphloom
+
+        monkeypatch.delattr(graphloom, "llm", raising=False)
     assert importlib.reload(entry).queries().keys() == core.QUERIES.keys()
+    assert entry.oracle_sql().keys() == core.ORACLE_SQL.keys()
     monkeypatch.undo()
     importlib.reload(entry)
