@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 OPEN, CLOSE = "<turn>", "</turn>\n"
 #: Tokens of a window; turns and tokens of its history at most; tokens that a turn's frame takes.
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, FRAME_TOKENS = 512, 2, 128, 4
+#: Turn numbers of one part of a conversation. Parts are laid out apart from each other, so that none is one task's alone.
+PART_TURNS = 1024
 
 
 def escape(c: Column) -> Column:
@@ -39,37 +41,47 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     turn, passes the budget; it stays whole, without history. ``loss_spans`` are [start, end) in code points of
     ``formatted``: the escaped texts of new assistant turns only, each in one window.
 
+    A conversation is laid out part by part: at each multiple of PART_TURNS of the turn's number a new window begins, with
+    the system turn and without history. So one conversation, however long, is no task's alone.
+
     Null role and text are empty; turns sort by turn (null first), role, text; repeated rows are turns of their own; rows
     with a null conv_id are one conversation; an empty table gives none.
     """
+    number = F.greatest(F.lit(-(2**30)), F.least(F.lit(2**30), F.floor(F.col("turn") / PART_TURNS)))
     base = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    system = (F.col("seq") == 1) & (F.col("role") == "system")
-    has_system = F.col("role1") == "system"
-    rows = base.withColumn("tok", turn_tokens(F.col("text"))).select(
-        "conv_id", "role", "text", "tok", F.row_number().over(w).alias("seq"), F.coalesce(F.sum("tok").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.first("role").over(w).alias("role1"), F.first("text").over(w).alias("text1"), F.first("tok").over(w).alias("tok1")
-    )
-    # the system turn takes its tokens in every window, and so none in the sums that place the others
-    rows = rows.withColumn("room", F.lit(budget) - F.when(has_system, F.col("tok1")).otherwise(0)).withColumn("own", F.when(system, 0).otherwise(F.col("tok")))
-    rows = rows.withColumn("pre", F.col("before") - F.when(has_system & (F.col("seq") > 1), F.col("tok1")).otherwise(0)).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("room") / 2)))
+    base = base.withColumn("part", F.when(F.col("turn").isNull(), -(2**30) - 1).otherwise(number).cast("long"))
+    # the system turn comes first in every part of its conversation, marked as a head that takes no place
+    firsts = base.groupBy("conv_id").agg(F.min(F.struct("part", "turn", "role")).alias("f")).where("f.role = 'system'").select(F.col("conv_id").alias("c"), F.col("f.part").alias("p"), F.col("f.turn").alias("t"))
+    systems = base.where("role = 'system'").join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & F.col("turn").eqNullSafe(F.col("t")))
+    systems = systems.groupBy("c", "p").agg(F.min("text").alias("text"))
+    parts = base.select("conv_id", "part").distinct()
+    heads = parts.join(systems, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", F.lit(None).cast(base.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"), "text", "part", (F.col("part") == F.col("p")).alias("home"))
+    rows = base.withColumn("home", F.lit(None).cast("boolean")).unionByName(heads).withColumn("head", F.col("home").isNotNull()).withColumn("tok", turn_tokens(F.col("text")))
+    w = W.partitionBy("conv_id", "part").orderBy(F.desc("head"), "turn", "role", "text")
+    rows = rows.select("conv_id", "part", "turn", "role", "text", "head", "tok", F.row_number().over(w).alias("place"), F.first("head").over(w).alias("has_system"), F.coalesce(F.first("home").over(w), F.lit(False)).alias("home"), F.first("text").over(w).alias("text1"), F.first("tok").over(w).alias("tok1"))
+    rows = rows.withColumn("seq", F.col("place") - F.col("has_system").cast("int"))
+    system = F.col("home") & (F.col("seq") == 1)
+    # its tokens are taken off the room of every window, and so count nowhere in the sums that place the others
+    rows = rows.withColumn("room", F.lit(budget) - F.when(F.col("has_system"), F.col("tok1")).otherwise(0)).withColumn("own", F.when(F.col("head") | system, 0).otherwise(F.col("tok")))
+    rows = rows.withColumn("pre", F.coalesce(F.sum("own").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("room") / 2))).where("not head")
     rows = rows.withColumn("cell", F.floor(F.col("pre") / F.col("stride")))
-    too_large = F.sum("own").over(W.partitionBy("conv_id", "cell")) > F.col("room")
+    too_large = F.sum("own").over(W.partitionBy("conv_id", "part", "cell")) > F.col("room")
     past = F.col("pre") + F.col("own") > (F.col("cell") + 1) * F.col("stride")
     rows = rows.withColumn("win", 2 * F.col("cell") + F.when(too_large & past, 1).otherwise(0))
-    rows = rows.withColumn("spare", F.least(F.lit(history_tokens), F.col("room") - F.sum("own").over(W.partitionBy("conv_id", "win"))))
-    at = W.partitionBy("conv_id").orderBy("seq")
+    rows = rows.withColumn("spare", F.least(F.lit(history_tokens), F.col("room") - F.sum("own").over(W.partitionBy("conv_id", "part", "win"))))
+    at = W.partitionBy("conv_id", "part").orderBy("seq")
     later = []
     for j in range(1, history_turns + 1):
         opens = F.lead("win", j).over(at) != (F.lead("win", j - 1).over(at) if j > 1 else F.col("win"))
         fits = F.lead("pre", j).over(at) - F.col("pre") <= F.lead("spare", j).over(at)
         later.append(F.when(opens & fits & ~system, F.struct(F.lead("win", j).over(at).alias("win"), F.lit(False).alias("new"))))
     own = F.struct(F.col("win").alias("win"), F.lit(True).alias("new"))
-    placed = rows.withColumn("places", F.filter(F.array(own, *later), lambda x: x.isNotNull())).select("conv_id", "seq", "role", "text", "tok", "role1", "text1", "tok1", F.inline("places").alias("window", "new"))
+    placed = rows.withColumn("places", F.filter(F.array(own, *later), lambda x: x.isNotNull())).select("conv_id", "part", "seq", "role", "text", "tok", "has_system", "home", "text1", "tok1", F.inline("places").alias("window", "new"))
     turn = F.struct("seq", "new", "role", "text", "tok")
-    grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("role1").alias("role1"), F.first("text1").alias("text1"), F.first("tok1").alias("tok1"))
-    head = F.struct(F.lit(1).alias("seq"), F.lit(False).alias("new"), F.col("role1").alias("role"), F.col("text1").alias("text"), F.col("tok1").alias("tok"))
-    has_head = (F.col("role1") == "system") & (F.col("turns")[0]["seq"] > 1)
-    full = grouped.withColumn("turns", F.when(has_head, F.concat(F.array(head), F.col("turns"))).otherwise(F.col("turns")))
+    grouped = placed.groupBy("conv_id", "part", "window").agg(F.sort_array(F.collect_list(turn)).alias("turns"), *[F.first(c).alias(c) for c in ("has_system", "home", "text1", "tok1")])
+    head = F.struct(F.lit(0).alias("seq"), F.lit(False).alias("new"), F.lit("system").alias("role"), F.col("text1").alias("text"), F.col("tok1").alias("tok"))
+    there = F.col("home") & (F.col("turns")[0]["seq"] == 1)  # the system turn itself
+    full = grouped.withColumn("turns", F.when(F.col("has_system") & ~there, F.concat(F.array(head), F.col("turns"))).otherwise(F.col("turns")))
 
     def piece(t: Column) -> Column:
         front = F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("&nl;")), F.lit("\n"))
@@ -86,7 +98,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
 
     return full.select(
         "conv_id",
-        "window",
+        (F.shiftleft("part", 32) + F.col("window")).alias("window"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["front"], p["body"], F.lit(CLOSE))), "").alias("formatted"),
         F.size(F.filter("turns", lambda t: ~t["new"])).alias("n_repeated"),
         F.aggregate("pieces", start, lay, lambda s: s["spans"]).alias("loss_spans"),

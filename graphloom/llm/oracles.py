@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm.chat_format import BUDGET, CLOSE, FRAME_TOKENS, HISTORY_TOKENS, HISTORY_TURNS, OPEN
+from graphloom.llm.chat_format import BUDGET, CLOSE, FRAME_TOKENS, HISTORY_TOKENS, HISTORY_TURNS, OPEN, PART_TURNS
 from graphloom.llm.secrets import BASE_RULES, MORE_RULES
 
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,17 +41,17 @@ SELECT x.doc_id, {', '.join(f"count(*) FILTER (rank = {k})::BIGINT AS n_{r.kind}
 #: By the layout that ``chat_format.windows`` states, without its text: what each window holds, and how long that is.
 CHAT = rf"""WITH base AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-  t AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\x20\x09-\x0D\p{{L}}\p{{N}}]')) + {FRAME_TOKENS} AS tok,
+  t AS (SELECT *, coalesce(floor(turn / {PART_TURNS}), -2^30 - 1)::BIGINT AS part, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\x20\x09-\x0D\p{{L}}\p{{N}}]')) + {FRAME_TOKENS} AS tok,
     {len(OPEN) + len(CLOSE) + 1} + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS size FROM base),
-  o AS (SELECT *, row_number() OVER w AS seq, first(role) OVER w = 'system' AS sys, first(tok) OVER w AS tok1, first(size) OVER w AS size1, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  r AS (SELECT *, {BUDGET} - CASE WHEN sys THEN tok1 ELSE 0 END AS room, CASE WHEN sys AND seq = 1 THEN 0 ELSE tok END AS own, before - CASE WHEN sys AND seq > 1 THEN tok1 ELSE 0 END AS pre FROM o),
-  c AS (SELECT *, floor(pre / stride)::BIGINT AS cell FROM (SELECT *, greatest(1, floor(room / 2))::BIGINT AS stride FROM r)),
-  v AS (SELECT *, 2 * cell + CASE WHEN sum(own) OVER (PARTITION BY conv_id, cell) > room AND pre + own > (cell + 1) * stride THEN 1 ELSE 0 END AS win FROM c),
-  f AS (SELECT conv_id, win, min(seq) AS seq, min(pre) AS pre, least({HISTORY_TOKENS}, max(room) - sum(own)) AS spare, max(CASE WHEN sys THEN size1 END) AS head FROM v GROUP BY 1, 2),
-  h AS (SELECT f.conv_id, sum(v.size) AS chars FROM f JOIN v ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND v.seq BETWEEN f.seq - {HISTORY_TURNS} AND f.seq - 1 AND f.pre - v.pre <= f.spare AND NOT (v.sys AND v.seq = 1) GROUP BY 1),
-  g AS (SELECT conv_id, sum(head) AS chars FROM f WHERE seq > 1 GROUP BY 1)
-SELECT v.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  o AS (SELECT *, row_number() OVER w AS place, first(role) OVER w = 'system' AS sys, first(tok) OVER w AS tok1, first(size) OVER w AS size1 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  r AS (SELECT *, sys AND place = 1 AS head, {BUDGET} - CASE WHEN sys THEN tok1 ELSE 0 END AS room, CASE WHEN sys AND place = 1 THEN 0 ELSE tok END AS own FROM o),
+  q AS (SELECT *, row_number() OVER w AS seq, coalesce(sum(own) OVER (PARTITION BY conv_id, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM r WINDOW w AS (PARTITION BY conv_id, part ORDER BY place)),
+  c AS (SELECT *, floor(pre / stride)::BIGINT AS cell FROM (SELECT *, greatest(1, floor(room / 2))::BIGINT AS stride FROM q)),
+  v AS (SELECT *, 2 * cell + CASE WHEN sum(own) OVER (PARTITION BY conv_id, part, cell) > room AND pre + own > (cell + 1) * stride THEN 1 ELSE 0 END AS win FROM c),
+  f AS (SELECT conv_id, part, win, min(seq) AS seq, min(pre) AS pre, least({HISTORY_TOKENS}, max(room) - sum(own)) AS spare, bool_or(head) AS there, max(CASE WHEN sys THEN size1 END) AS head FROM v GROUP BY 1, 2, 3),
+  h AS (SELECT f.conv_id, sum(v.size) AS chars FROM f JOIN v ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND v.part = f.part AND v.seq BETWEEN f.seq - {HISTORY_TURNS} AND f.seq - 1 AND f.pre - v.pre <= f.spare AND NOT v.head GROUP BY 1),
+  g AS (SELECT conv_id, sum(head) AS chars FROM f WHERE NOT there GROUP BY 1)
+SELECT v.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(size) + coalesce(any_value(h.chars), 0) + coalesce(any_value(g.chars), 0))::BIGINT AS formatted_chars
 FROM v LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id GROUP BY v.conv_id"""

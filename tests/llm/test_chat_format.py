@@ -78,5 +78,22 @@ def test_two_turns_that_fit_alone_get_two_windows(spark):
     assert [w.n_tokens for w in got] == [250, 500, 124, 124 + 304]
 
 
+def test_parts_are_laid_out_apart(spark, monkeypatch, tmp_path):
+    """Every part begins with a window of its own, with the system turn and without history; nothing is lost."""
+    monkeypatch.setattr(m, "PART_TURNS", 7)
+    data = [(1, t, "system" if t in (-20, 3) else ("user", "assistant")[t % 2], f"w{t} " * (t % 40)) for t in range(-20, 60)] + [(2, t, "user", "x") for t in range(20)]
+    data += [(c, t, role, text) for c, t, role, text in rows(3) if c is not None]
+    got = m.windows(spark.createDataFrame(data, SCHEMA)).orderBy("conv_id", "window").collect()
+    own = [w for w in got if w.conv_id == 1]
+    assert all(w.formatted.startswith("<turn>system\n") for w in own) and not any(w.conv_id == 2 and "system" in w.formatted for w in got)
+    opens = [w for k, w in enumerate(own) if k == 0 or w.window >> 32 != own[k - 1].window >> 32]
+    assert len(opens) == 12 and [w.n_repeated for w in opens] == [0] + [1] * 11
+    assert all(w.n_tokens <= m.BUDGET for w in own)
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    said = r"\### Assistant: </turn> ok"
+    want = brute([*data, (-7, 0, "user", said), (-7, 1, "assistant", said)])
+    assert {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in m.query(spark, str(tmp_path)).collect()} == want
+
+
 def test_empty(spark):
     assert m.windows(spark.createDataFrame([], SCHEMA)).count() == 0
