@@ -73,34 +73,66 @@ def _settled(arcs: DataFrame, state: DataFrame) -> DataFrame:
             return state.select("id", "way", "label")
 
 
+def _contracted(arcs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Arcs without the ends and the insides of chains, and for each round what it took out: ``id, before, after``.
+
+    A round drops symbols that nothing calls or that call nothing, and of those with one caller and one callee all whose
+    hash is less than such neighbours' have: their two arcs become one. So chains, however long, take few rounds.
+    """
+    taken: list[DataFrame] = []
+    arcs = cut(arcs, "arcs")
+    n = arcs.count()
+    while n:
+        ends = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        degree = arcs.select(F.inline(ends)).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+        s, d = degree.toDF("src", "so", "si"), degree.toDF("dst", "do", "di")
+        through = lambda o, i: (F.col(o) == 1) & (F.col(i) == 1)
+        place = lambda c: F.xxhash64(c, F.lit(len(taken)))
+        kept = arcs.join(s, "src").join(d, "dst").where("si > 0 and do > 0").select("src", "dst", through("so", "si").alias("ps"), through("do", "di").alias("pd"))
+        kept = cut(kept, "kept")
+        into = kept.where(F.col("pd") & (~F.col("ps") | (place("dst") < place("src")))).select(F.col("dst").alias("id"), F.col("src").alias("before"))
+        out = kept.where(F.col("ps") & (~F.col("pd") | (place("src") < place("dst")))).select(F.col("src").alias("id"), F.col("dst").alias("after"))
+        picked = cut(into.join(out, "id"), "picked")
+        left = kept.select("src", "dst").join(picked.select(F.col("id").alias("src")), "src", "left_anti").join(picked.select(F.col("id").alias("dst")), "dst", "left_anti")
+        arcs = cut(left.select("src", "dst").union(picked.where("before != after").select("before", "after")).distinct(), "arcs")
+        taken.append(picked)
+        was, n = n, arcs.count()
+        if n > 0.95 * was:
+            break
+    return arcs, taken
+
+
 def strong_components(calls: DataFrame) -> DataFrame:
     """``id, component`` (smallest member) for every symbol of a call.
 
-    Each round finds for every symbol the least label that reaches it and the least that it reaches (labels are hashes,
-    so that no order of ids makes rounds many). Where both are the same, that symbol's component is found; calls between
-    symbols of unlike pairs of labels lie in no cycle and are left out of the next round, in which every class of equal
-    pairs finds at least the component of its least label.
+    Chains are contracted first. Of what is left each round finds for every symbol the least label that reaches it and the
+    least that it reaches (labels are hashes, so that no order of ids makes rounds many). Where both are the same, that
+    symbol's component is found; calls between symbols of unlike pairs of labels lie in no cycle and are left out of the
+    next round, in which every class of equal pairs finds at least the component of its least label. A contracted symbol is
+    in a component if its caller and its callee are in the same one.
     """
     ids = symbols_of(calls)
-    rest = calls.where("caller != callee").select("caller", "callee").distinct()
-    done: list[DataFrame] = []
-    while True:
-        ways = F.array(F.struct(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(0).alias("way")), F.struct(F.col("callee").alias("src"), F.col("caller").alias("dst"), F.lit(1).alias("way")))
+    rest, taken = _contracted(calls.where("caller != callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct())
+    label = lambda c: F.xxhash64(c)
+    done: list[DataFrame] = [ids.where("false").select("id", label("id").alias("label"))]
+    while not rest.isEmpty():
+        ways = F.array(F.struct("src", "dst", F.lit(0).alias("way")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("way")))
         arcs = cut(rest.select(F.inline(ways)), "arcs")
-        if arcs.isEmpty():
-            break
-        start = arcs.select(F.col("src").alias("id")).distinct().select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.xxhash64("id").alias("label"))
+        start = arcs.select(F.col("src").alias("id")).distinct().select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), label("id").alias("label"))
         pairs = cut(_settled(arcs, start).groupBy("id").agg(F.min(F.when(F.col("way") == 0, F.col("label"))).alias("to"), F.min(F.when(F.col("way") == 1, F.col("label"))).alias("from")), "pairs")
         done.append(pairs.where("`to` = `from`").select("id", F.col("to").alias("label")))
         open_ = pairs.where("`to` != `from`")
-        a, b = open_.toDF("caller", "t1", "f1"), open_.toDF("callee", "t2", "f2")
-        rest = arcs.where("way = 0").select(F.col("src").alias("caller"), F.col("dst").alias("callee")).join(a, "caller").join(b, "callee").where("t1 = t2 and f1 = f2").select("caller", "callee")
-    if not done:
-        return ids.select("id", F.col("id").alias("component"))
+        a, b = open_.toDF("src", "t1", "f1"), open_.toDF("dst", "t2", "f2")
+        rest = cut(arcs.where("way = 0").select("src", "dst").join(a, "src").join(b, "dst").where("t1 = t2 and f1 = f2").select("src", "dst"), "rest")
     found = reduce(DataFrame.unionByName, done)
-    least = found.groupBy("label").agg(F.min("id").alias("component"))
-    named = found.join(least, "label").select("id", "component")
-    return ids.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    for k, picked in enumerate(reversed(taken)):
+        a, b = found.toDF("before", "la"), found.toDF("after", "lb")
+        own = picked.join(a, "before", "left").join(b, "after", "left").select("id", F.coalesce("la", label("before")).alias("label"), F.coalesce("lb", label("after")).alias("other"))
+        found = found.unionByName(own.where("label = other").select("id", "label"))
+        found = cut(found, "found") if k % HOPS == HOPS - 1 else found
+    named = ids.join(found, "id", "left").select("id", F.coalesce("label", label("id")).alias("label"))
+    named = cut(named, "named")
+    return named.join(named.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component")
 
 
 def call_cycles(calls: DataFrame, components: DataFrame) -> DataFrame:
