@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
     for spark, path in _WRITTEN:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch
             return
 
@@ -47,3 +52,13 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def only(made: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``made`` returns as a table (``cut``); all tables that were written on the way to it are gone."""
+    first = len(_WRITTEN)
+    out = cut(made(), name)
+    for spark, path in _WRITTEN[first:-1]:
+        _delete(spark, path)
+    del _WRITTEN[first:-1]
+    return out
