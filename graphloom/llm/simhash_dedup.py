@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from graphloom.llm.common import cut, doc_view, mix, utf8
 from graphloom.llm.components import components
+from graphloom.plans.shared import only
 
 #: Fan-out of the index; fingerprints a group may hold before it is split; rows that share one tree.
 FANOUT, GROUP_LIMIT, CHUNK = 8, 4096, 8192
@@ -413,7 +414,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A doc_id names one document: of rows that share it one stays, and rows without one go.
     """
-    found = cut(near_copies(docs), "copies")
+    found = only(lambda: near_copies(docs), "copies")
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
     return kept if found.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
