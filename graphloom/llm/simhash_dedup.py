@@ -260,6 +260,17 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each value, which keep the order: a set as it is dealt and compared."""
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows, fewer at a time: sets of shingles are larger than their texts."""
     for b in batches:
@@ -286,13 +297,13 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _few(batches):
         sets = [shingle_set(unpack(t)) for t in b.column(1).to_pylist()]
         at = [i for i, (s, node) in enumerate(zip(sets, b.column(2).to_pylist(), strict=True)) if _set_id(s) == node]
-        yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(at, pa.int64())), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(at, pa.int64())), pa.array([packed(sets[i]) for i in at], pa.binary())], ["node", "shingles"])
 
 
 def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _few(batches):
         both = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
-        at = pa.array([i for i, (x, y) in enumerate(both) if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))], pa.int64())
+        at = pa.array([i for i, (x, y) in enumerate(both) if alike(unpacked(x), unpacked(y))], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
 
@@ -332,7 +343,7 @@ def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         side, node, label = (t[c].to_numpy() for c in ("side", "node", "label"))
-        found = list(_block_links(side, node, label, [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]))
+        found = list(_block_links(side, node, label, [unpacked(x) for x in t["shingles"].to_pylist()]))
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     held, last = [], None
@@ -385,7 +396,7 @@ def _rest_links(hubs: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataF
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` (smallest doc_id linked to it), one row per input row with a doc_id.
 
-    Two texts are linked if their sets of NEAR_WIDTH-word shingles are alike (``alike``, on the sets themselves). Texts
+    Two texts are linked if their sets of NEAR_WIDTH-word shingles are alike (``alike``, on the sets' hashes of 48 bits). Texts
     to compare share one of BANDS keys of ROWS minima: a pair at 0.8 shares none with a chance of 3 in a million, more
     alike ones more seldom still. Equal sets, as those of null and blank texts, collapse to one node. Each node is
     compared with the hubs of its keys; only those that are in another class than a hub then meet all others of that
