@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import chat_format, decontaminate, fingerprints, katz, language_id, oracles, packing, secrets, simhash_dedup, substring_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, fingerprints, histogram_packing, katz, language_id, oracles, packing, secrets, simhash_dedup, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_token_counts": token_counts.query,
     "op9_simhash_dedup": simhash_dedup.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op13_histogram_packing": histogram_packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
