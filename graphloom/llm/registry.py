@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import chat_format, decontaminate, fingerprints, hard_negatives, histogram_packing, katz, language_id, oracles, packing, secrets, simhash_dedup, substring_dedup, token_counts
+from graphloom.llm import chat_format, decontaminate, fingerprints, hard_negatives, histogram_packing, importance, katz, language_id, oracles, packing, secrets, simhash_dedup, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable] = {
     "op1_decontaminate": decontaminate.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_token_counts": token_counts.query,
     "op9_simhash_dedup": simhash_dedup.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_importance_resampling": importance.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_histogram_packing": histogram_packing.query,
 }
@@ -26,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": oracles.CHAT,
     "op7_secret_scan": oracles.SECRETS,
     "op10_substring_dedup": oracles.SUBSTRINGS,
+    "op11_importance_resampling": importance.query,
     "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
