@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from graphloom.plans.limits import Limits
-
 EMPTY = "cast(array() as array<int>)"
 EXITS = "filter(sequence(0, n - 1), x -> tags[x] in ('Return', 'Unreachable', 'Abort'))"
 
@@ -23,16 +21,18 @@ def closure(adjacent: str, seen: str, new: str, depth: int | None = None) -> str
 REACH = closure("succ", "array(0)", "array(0)")
 
 
-def dominators(root: str, reach: str, back: str) -> str:
-    """Sorted dominators of every block (none of unreached ones), by iterating over sets until nothing changes."""
-    start = f"transform(sequence(0, n - 1), b -> if(b = {root}, array({root}), if(array_contains({reach}, b), {reach}, {EMPTY})))"
-    meet = let("ps", f"filter({back}[b], p -> array_contains({reach}, p))", "sort_array(array_union(array(b), aggregate(slice(ps, 2, size(ps)), s.d[ps[0]], (a, p) -> array_intersect(a, s.d[p]))))")
-    step = f"transform(sequence(0, n - 1), b -> if(b = {root} or not array_contains({reach}, b), s.d[b], {meet}))"
-    return f"aggregate(sequence(1, n + 1), named_struct('d', {start}, 'same', false), (s, i) -> if(s.same, s, {let('d2', step, 'named_struct(' + chr(39) + 'd' + chr(39) + ', d2, ' + chr(39) + 'same' + chr(39) + ', d2 = s.d)')}), s -> s.d)"
+def dominated(tree: str, a: str, b: str) -> str:
+    """Whether ``a`` dominates ``b`` (both reached), by places in the tree (``kernels.TREE``)."""
+    return f"{tree}.enter[{b}] between {tree}.enter[{a}] and {tree}.enter[{a}] + {tree}.size[{a}] - 1"
+
+
+def ancestors(tree: str, b: str) -> str:
+    """The dominators of a reached block, from the root to the block itself: those before it whose subtree has it."""
+    return f"filter(slice({tree}.order, 1, {tree}.enter[{b}]), y -> {tree}.enter[y] + {tree}.size[y] > {tree}.enter[{b}])"
 
 
 #: Ends of edges back to a dominator, as struct(tail, header), by tail then header.
-BACK_EDGES = "flatten(transform(reach, t -> transform(filter(succ[t], h -> array_contains(dom[t], h)), h -> named_struct('tail', t, 'header', h))))"
+BACK_EDGES = f"flatten(transform(reach, t -> transform(filter(succ[t], h -> {dominated('dom', 'h', 't')}), h -> named_struct('tail', t, 'header', h))))"
 
 
 def adjacency(pairs: str, a: str, b: str) -> str:
@@ -42,28 +42,6 @@ def adjacency(pairs: str, a: str, b: str) -> str:
     return let("p", tagged, let("starts", "filter(sequence(0, size(p) - 1), k -> p[k].b = -1)", own))
 
 
-def walks(limits: Limits, dead_ends: bool = True) -> str:
-    """Bounded walks from block 0 that end at the first exit (or where nothing follows), sorted block by block.
-
-    Loop headers occur up to the unroll limit, other blocks once; functions without an exit have none. All walks grow by a
-    block at a time. Where more than a bound are at hand, only the first in order are kept, so that no function holds more
-    than that and their next blocks. A kept walk may lead nowhere; where that leaves too few, the bound is taken eightfold.
-    """
-    fits = "size(filter(p, y -> y = x)) < if(array_contains(headers, x), {u}, 1)".format(u=limits.loop_unroll)
-    grown = f"flatten(transform(s.live, p -> transform(filter(succ[element_at(p, -1)], x -> {fits}), x -> concat(p, array(x)))))"
-    ended = "array_contains(exits, element_at(p, -1))" + (" or size(succ[element_at(p, -1)]) = 0" if dead_ends else "")
-    kept = let("last", "element_at(slice(sort_array(concat(t.done, t.live)), 1, bound), -1)", "named_struct('done', filter(t.done, p -> p <= last), 'live', filter(t.live, p -> p <= last), 'cut', true)")
-    state = f"named_struct('done', concat(s.done, filter(g, p -> {ended})), 'live', filter(g, p -> not ({ended})), 'cut', s.cut)"
-    step = let("g", grown, let("t", state, f"if(size(t.done) + size(t.live) <= bound, t, {kept})"))
-    none = "cast(array() as array<array<int>>)"
-    first = f"transform(array(array(0)), p -> if({ended}, named_struct('done', array(p), 'live', {none}, 'cut', false), named_struct('done', {none}, 'live', array(p), 'cut', false)))[0]"
-    rounds = f"least({limits.max_length - 1}, n + size(headers) * {max(0, limits.loop_unroll - 1)})"
-    grow = f"aggregate(if({rounds} < 1, cast(array() as array<int>), sequence(1, {rounds})), {first}, (s, i) -> if(size(s.live) = 0, s, {step}), s -> named_struct('paths', s.done, 'more', s.cut and size(s.done) < {limits.max_paths}))"
-    tries = let("bound", f"cast(least(2147483647D, {limits.max_paths} * pow(8D, k)) as int)", grow)
-    found = f"aggregate(sequence(0, 10), named_struct('paths', {none}, 'more', true), (r, k) -> if(r.more, {tries}, r), r -> r.paths)"
-    return f"if(size(exits) = 0 or {limits.max_length} < 1 or {limits.max_paths} < 1, {none}, slice(sort_array({found}), 1, {limits.max_paths}))"
-
-
 #: Kind of a walk by the blocks on it; the last block alone can be an exit.
 WALK_KIND = (
     "case when exists(blocks, b -> tags[b] = 'Call' and unwinds[b]) then 'Error' when tags[element_at(blocks, -1)] = 'Abort' then 'Error' "

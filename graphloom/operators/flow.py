@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import expressions as X
+from graphloom.functions import kernels as K
 from graphloom.operators.calls import closure, reversed_calls
 from graphloom.plans.limits import DEFAULT, Limits
 
@@ -68,15 +69,13 @@ def _reached(flow: DataFrame) -> DataFrame:
 
 
 def with_dominators(flow: DataFrame) -> DataFrame:
-    """Adds dom: the sorted dominators of each block, none for unreachable ones."""
-    return held(flow.withColumn("dom", F.expr(X.dominators("0", "reach", "pred"))))
+    """Adds dom: the dominator tree from block 0 (``kernels.TREE``)."""
+    return K.with_tree(flow, "dom", None, "succ", "pred")
 
 
 def with_post_dominators(flow: DataFrame) -> DataFrame:
-    """Adds root (the first exit; functions without one go) and pdom, the same over turned edges."""
-    turned = flow.where("size(exits) > 0").withColumn("root", F.expr("exits[0]"))
-    turned = held(turned.withColumn("back_reach", F.expr(X.closure("pred", "array(root)", "array(root)"))))
-    return held(turned.withColumn("pdom", F.expr(X.dominators("root", "back_reach", "succ"))))
+    """Adds root (the first exit; functions without one go) and pdom, the tree from there over turned edges."""
+    return K.with_tree(flow.where("size(exits) > 0").withColumn("root", F.expr("exits[0]")), "pdom", "root", "pred", "succ")
 
 
 def with_headers(flow: DataFrame) -> DataFrame:
@@ -138,43 +137,43 @@ def blast_zone(flow: DataFrame, calls: DataFrame, targets: DataFrame, max_depth:
 
 def dominator_pairs(dominated: DataFrame, column: str = "dom") -> DataFrame:
     """function_id, dominator, block_id, depth (of the block) for reached blocks, reflexive pairs included."""
-    rows = dominated.select(KEY, F.posexplode(column).alias("block_id", "d"))
-    return rows.select(KEY, F.explode("d").alias("dominator"), "block_id", (F.size("d") - 1).alias("depth"))
+    rows = dominated.select(KEY, F.col(column).alias("t"), F.explode(f"{column}.order").alias("dominator"))
+    rows = rows.select(KEY, "t.depth", "dominator", F.explode(F.expr("slice(t.order, t.enter[dominator], t.size[dominator])")).alias("block_id"))
+    return rows.select(KEY, "dominator", "block_id", F.expr("depth[block_id]").alias("depth"))
 
 
 def immediate_dominators(dominated: DataFrame, column: str = "dom") -> DataFrame:
     """function_id, block_id, idom (null for the root and for unreached blocks), depth (null for these)."""
-    rows = dominated.select(KEY, column, F.posexplode(column).alias("block_id", "d"))
-    idom = F.expr(f"filter(d, x -> size({column}[x]) = size(d) - 1)[0]")
-    return rows.select(KEY, "block_id", F.when(F.size("d") > 1, idom).alias("idom"), F.when(F.size("d") > 0, F.size("d") - 1).alias("depth"))
+    rows = dominated.select(KEY, F.posexplode(F.arrays_zip(f"{column}.idom", f"{column}.depth")).alias("block_id", "x"))
+    return rows.select(KEY, "block_id", F.expr("nullif(x.idom, -1)").alias("idom"), F.expr("nullif(x.depth, -1)").alias("depth"))
 
 
 def dominator_chains(dominated: DataFrame, column: str = "dom") -> DataFrame:
     """function_id, block_id, chain: the block, its immediate dominator, and so on to the root, for reached blocks."""
-    rows = dominated.select(KEY, column, F.posexplode(column).alias("block_id", "d")).where("size(d) > 0")
-    return rows.selectExpr(KEY, "block_id", f"transform(reverse(sort_array(transform(d, x -> named_struct('depth', size({column}[x]), 'b', x)))), x -> x.b) as chain")
+    rows = dominated.select(KEY, F.col(column).alias("t"), F.explode(f"{column}.order").alias("block_id"))
+    return rows.select(KEY, "block_id", F.expr(f"reverse({X.ancestors('t', 'block_id')})").alias("chain"))
 
 
 def dominates(dominated: DataFrame, column: str = "dom") -> DataFrame:
     """function_id, dominator, block_id: the relation, reflexive also on blocks that aren't reached."""
-    rows = dominated.select(KEY, F.posexplode(column).alias("block_id", "d"))
-    return rows.select(KEY, F.explode(F.expr("if(size(d) = 0, array(block_id), d)")).alias("dominator"), "block_id")
+    rows = dominated.select(KEY, F.col(column).alias("t"), F.posexplode(f"{column}.enter").alias("dominator", "enter"))
+    return rows.select(KEY, "dominator", F.explode(F.expr("if(enter = 0, array(dominator), slice(t.order, greatest(enter, 1), t.size[dominator]))")).alias("block_id"))
 
 
 def common_dominators(dominated: DataFrame, column: str = "dom") -> DataFrame:
     """function_id, a, b (a < b, both reached) and their nearest common dominator (post-dominator)."""
-    rows = dominated.select(KEY, F.col(column).alias("dom"), F.posexplode(column).alias("a", "da")).where("size(da) > 0")
-    pairs = rows.select(KEY, "dom", "a", "da", F.posexplode("dom").alias("b", "db")).where("b > a and size(db) > 0")
-    return pairs.selectExpr(KEY, "a", "b", "aggregate(array_intersect(da, db), -1, (m, x) -> if(m < 0 or size(dom[x]) > size(dom[m]), x, m)) as common")
+    rows = dominated.select(KEY, F.col(column).alias("t"), F.explode(f"{column}.order").alias("a")).withColumn("above", F.expr(X.ancestors("t", "a")))
+    pairs = rows.select(KEY, "t", "a", "above", F.explode(F.expr("filter(t.order, x -> x > a)")).alias("b"))
+    return pairs.select(KEY, "a", "b", F.expr(f"aggregate(above, -1, (m, x) -> if({X.dominated('t', 'x', 'b')}, x, m))").alias("common"))
 
 
 def frontiers(dominated: DataFrame) -> DataFrame:
     """function_id, node, frontier: v such that node dominates one of v's predecessors but not strictly v."""
-    each = dominated.select(KEY, "n", "pred", "dom", F.explode(F.expr("sequence(0, n - 1)")).alias("frontier"))
-    each = each.select(KEY, "dom", "frontier", F.explode(F.expr("pred[frontier]")).alias("p"))
-    # an unreachable block only dominates itself
-    each = each.select(KEY, "dom", "frontier", F.explode(F.expr("if(size(dom[p]) = 0, array(p), dom[p])")).alias("node"))
-    return each.where("node = frontier or not array_contains(dom[frontier], node)").select(KEY, "node", "frontier").distinct()
+    each = dominated.select(KEY, "pred", F.col("dom").alias("t"), F.posexplode("dom.idom").alias("frontier", "idom"))
+    each = each.select(KEY, "t", "frontier", "idom", F.explode(F.expr("pred[frontier]")).alias("p")).where("p != idom")
+    # below v's immediate dominator; an unreachable block only dominates itself
+    nodes = f"if(t.enter[p] = 0, array(p), filter({X.ancestors('t', 'p')}, x -> t.depth[x] > if(idom < 0, -1, t.depth[idom])))"
+    return each.select(KEY, F.explode(F.expr(nodes)).alias("node"), "frontier").distinct()
 
 
 def _frontier_rows(dominated: DataFrame) -> DataFrame:
@@ -228,9 +227,10 @@ def nested_loops(loops: DataFrame) -> DataFrame:
 def enumerate_paths(headed: DataFrame, limits: Limits = DEFAULT, dead_ends: bool = True) -> DataFrame:
     """function_id, path_id, path_kind, blocks: bounded paths of all functions; past max_paths the first in block order.
 
-    Walks of a function grow in its own row, which never holds many more of them than max_paths.
+    Walks are found in order and handed on in rows of a bounded size (``kernels.walks``).
     """
-    rows = headed.select(KEY, "tags", "kinds", "unwinds", F.explode(F.expr(X.walks(limits, dead_ends))).alias("blocks"))
+    keep = [KEY, "tags", "kinds", "unwinds"]
+    rows = K.all_walks(headed.select(*keep, "succ", "exits", "headers"), limits, dead_ends, keep).select(*keep, F.explode("paths").alias("blocks"))
     return rows.selectExpr(KEY, f"{X.PATH_ID} as path_id", f"{X.WALK_KIND} as path_kind", "blocks")
 
 
