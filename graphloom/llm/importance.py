@@ -19,7 +19,7 @@ from graphloom.llm.common import cut, doc_view, mix, word_hashes, word_spans
 from graphloom.llm.decontaminate import FOLD
 
 #: Words of the longest n-gram; bytes of text in a unit and, over all units, for each shard of the dictionary; buckets.
-GRAMS, UNIT_BYTES, SHARD_BYTES, BUCKETS = 3, 8 << 20, 16 << 20, 10_000
+GRAMS, UNIT_BYTES, SHARD_BYTES, BUCKETS = 3, 4 << 20, 4 << 20, 10_000
 _SPACE = np.arange(256) == 32
 
 
@@ -42,7 +42,7 @@ class Grams:
             whole = text[: len(text) - n + 1] == text[n - 1 :] if len(text) >= n else np.zeros(0, bool)
             # a run of n words by its first n-1, which have a number, and its last
             key = last[: len(whole)] * max(1, len(words)) + ids[n - 1 :]
-            distinct, number = np.unique(key[whole], return_inverse=True)
+            distinct, number = _numbered(key[whole])
             a, b = distinct // max(1, len(words)), distinct % max(1, len(words))
             strings.append(pc.binary_join_element_wise(strings[-1].take(pa.array(a)), words.take(pa.array(b)), pa.scalar(b" ", pa.large_binary())))
             hashes.append(mix(hashes[-1][a], own[b]))
@@ -61,6 +61,16 @@ class Grams:
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and for every key its place there; only distinct ones are sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[coded.indices.to_numpy()]
+
+
 def _buffers(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets from 0 and bytes of an array that may be a slice."""
     _, offsets, data = strings.buffers()
@@ -129,7 +139,7 @@ def _count(t: pa.Table) -> pa.Table:
     t = t.sort_by([("target", "ascending"), ("unit", "ascending")])
     got = [_unpacked(n, blob) for n, blob in zip(t["n"].to_pylist(), t["blob"].to_pylist(), strict=True)]
     coded = pa.concat_arrays([s for s, _ in got]).dictionary_encode()
-    bucket = np.fromiter(map(zlib.crc32, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary)) % BUCKETS
+    bucket = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(zlib.crc32, part.to_pylist()), np.int64, len(part)) for at in range(0, len(coded.dictionary), 100_000) if len(part := coded.dictionary.slice(at, 100_000)))]) % BUCKETS
     each, at, totals, rows = bucket[coded.indices.to_numpy()], 0, np.zeros((2, BUCKETS), np.int64), []
     for target, (s, counts) in zip(t["target"].to_pylist(), got, strict=True):
         own = each[at : at + len(s)]
