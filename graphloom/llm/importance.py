@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,40 +20,49 @@ from graphloom.llm.common import cut, doc_view, mix, word_hashes, word_spans
 from graphloom.llm.decontaminate import FOLD
 
 #: Words of the longest n-gram; bytes of text in a unit and, over all units, for each shard of the dictionary; buckets.
-GRAMS, UNIT_BYTES, SHARD_BYTES, BUCKETS = 3, 4 << 20, 4 << 20, 10_000
+GRAMS, UNIT_BYTES, SHARD_BYTES, BUCKETS = 3, 6 << 20, 16 << 20, 10_000
 _SPACE = np.arange(256) == 32
+_NEXT_TWO = re.compile(rb" *[^ ]+( +[^ ]+)?")
 
 
 class Grams:
-    """The distinct n-grams of some texts: strings, counts, and for every occurrence its n-gram and text."""
+    """The distinct n-grams of some texts: strings, counts, and for every occurrence its n-gram and text.
 
-    def __init__(self, texts: list[bytes]):
+    The last ``extra`` words of a text only follow its own; no n-gram that begins there counts.
+    """
+
+    def __init__(self, texts: list[bytes], extra: list[int]):
         raw = np.frombuffer(b" ".join(texts).translate(FOLD), np.uint8)
         starts, ends = word_spans(raw, _SPACE)
-        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
-        self.words = np.bincount(text, minlength=len(texts))
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right").astype(np.int32)
+        last = np.cumsum(np.bincount(text, minlength=len(texts)))
+        own = np.ones(len(text), bool)
+        for k in np.flatnonzero(extra).tolist():
+            own[last[k] - extra[k] : last[k]] = False
+        self.words = np.bincount(text[own], minlength=len(texts))
         offsets = np.concatenate([[0], np.cumsum(ends - starts)])
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 32].tobytes())]).dictionary_encode()
-        words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        words, ids = coded.dictionary, coded.indices.to_numpy()
+        del raw, starts, ends, offsets, coded
         bounds, data = _buffers(words)
-        own = word_hashes(data, bounds[:-1], bounds[1:], 1)
-        strings, hashes, last, at = [words], [own], ids, len(words)
-        self.gram, self.text = [ids], [text]
+        hashes = word_hashes(data, bounds[:-1], bounds[1:], 1)
+        strings, mixed, first, at, v = [words], [hashes], ids, len(words), max(1, len(words))
+        grams, of = [ids[own]], [text[own]]
         for n in range(2, GRAMS + 1):
             whole = text[: len(text) - n + 1] == text[n - 1 :] if len(text) >= n else np.zeros(0, bool)
             # a run of n words by its first n-1, which have a number, and its last
-            key = last[: len(whole)] * max(1, len(words)) + ids[n - 1 :]
-            distinct, number = _numbered(key[whole])
-            a, b = distinct // max(1, len(words)), distinct % max(1, len(words))
+            distinct, number = _numbered((first[: len(whole)].astype(np.int64) * v + ids[n - 1 :])[whole])
+            a, b = distinct // v, distinct % v
             strings.append(pc.binary_join_element_wise(strings[-1].take(pa.array(a)), words.take(pa.array(b)), pa.scalar(b" ", pa.large_binary())))
-            hashes.append(mix(hashes[-1][a], own[b]))
-            self.gram.append(number + at)
-            self.text.append(text[: len(whole)][whole])
-            last = np.zeros(len(whole), np.int64)
-            last[whole] = number
+            mixed.append(mix(mixed[-1][a], hashes[b]))
+            first = np.zeros(len(whole), np.int32)
+            first[whole] = number
+            counted = whole & own[: len(whole)]
+            grams.append(first[counted] + np.int32(at))
+            of.append(text[: len(whole)][counted])
             at += len(distinct)
-        self.strings, self.hashes = pa.concat_arrays(strings), np.concatenate(hashes)
-        self.gram, self.text = np.concatenate(self.gram), np.concatenate(self.text)
+        self.strings, self.hashes = pa.concat_arrays(strings), np.concatenate(mixed)
+        self.gram, self.text = np.concatenate(grams), np.concatenate(of)
 
     def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """An order of the strings by shard, and where each shard's begin (and the last one's end)."""
@@ -66,8 +76,8 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(keys).dictionary_encode()
     distinct = coded.dictionary.to_numpy()
     order = np.argsort(distinct)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return distinct[order], place[coded.indices.to_numpy()]
 
 
@@ -89,24 +99,36 @@ def _unpacked(n: int, blob: bytes) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(raw[8 * n :])]), np.frombuffer(raw, "<u4", n, 4 * n)
 
 
+def _pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """A text between words in pieces of about a unit, each with up to two words more that follow, and how many."""
+    low, at = text.translate(FOLD) if len(text) > UNIT_BYTES else b"", 0
+    while (end := low.find(b" ", at + UNIT_BYTES)) >= 0 and (more := _NEXT_TWO.match(low, end)):
+        yield text[at : more.end()], 1 + (more.group(1) is not None)
+        at = end
+    yield text[at:], 0
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some whole texts, compressed, to a row."""
-    part, serial, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    """Some texts, compressed, to a row; very long ones in pieces, which ``place`` names as one document's."""
+    part, serial, count, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
-    def row() -> pa.RecordBatch:
+    def unit() -> pa.RecordBatch:
+        doc, place, extra, texts = zip(*rows)
         blob = zstandard.ZstdCompressor(3).compress(b"".join(texts))
-        return pa.RecordBatch.from_pydict({"unit": pa.array([(part << 31) + serial]), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), "blob": pa.array([blob], pa.binary())})
+        longs = lambda x: pa.array([list(x)], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_pydict({"unit": pa.array([(part << 31) + serial]), "ids": longs(doc), "places": longs(place), "extra": longs(extra), "sizes": longs(map(len, texts)), "blob": pa.array([blob], pa.binary())})
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-            ids.append(i)
-            texts.append(t.as_py() or b"")
-            size += len(texts[-1])
-            if size >= UNIT_BYTES:
-                yield row()
-                ids, texts, size, serial = [], [], 0, serial + 1
-    if ids:
-        yield row()
+            for piece, extra in _pieces(t.as_py() or b""):
+                rows.append((i, (part << 40) + count, extra, piece))
+                size += len(piece)
+                if size >= UNIT_BYTES:
+                    yield unit()
+                    rows, size, serial = [], 0, serial + 1
+            count += 1
+    if rows:
+        yield unit()
 
 
 def _texts(sizes: list[int], blob: bytes) -> list[bytes]:
@@ -122,8 +144,8 @@ def _deal(shards: int, target: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for unit, sizes, blob in zip(*(b.column(c).to_pylist() for c in ("unit", "sizes", "blob")), strict=True):
-                g = Grams(_texts(sizes, blob))
+            for unit, extra, sizes, blob in zip(*(b.column(c).to_pylist() for c in ("unit", "extra", "sizes", "blob")), strict=True):
+                g = Grams(_texts(sizes, blob), extra)
                 order, first = g.by_shard(shards)
                 strings, counts = g.strings.take(pa.array(order)), np.bincount(g.gram, minlength=len(g.strings))[order]
                 there = np.flatnonzero(np.diff(first))
@@ -172,16 +194,16 @@ def _weigh(gain: np.ndarray):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("shard")
         shards = t["shard"].to_pylist()
-        ids, sizes = t["ids"][0].as_py(), t["sizes"][0].as_py()
+        ids, places, extra, sizes = (t[c][0].as_py() for c in ("ids", "places", "extra", "sizes"))
         blobs = t["blob"].to_pylist()
-        g = Grams(_texts(sizes, blobs[0]))
+        g = Grams(_texts(sizes, blobs[0]), extra)
         of = np.zeros(len(g.strings), np.int64)
         order, _ = g.by_shard(t["shards"][0].as_py())
         assert shards[0] == -1 and sum(map(len, blobs[1:])) == 2 * len(order), "a unit's strings must come back from every shard"
         of[order] = np.frombuffer(b"".join(blobs[1:]), "<u2")
         weight = np.zeros(len(ids), np.int64)
         np.add.at(weight, g.text, gain[of[g.gram]])
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(g.words.astype(np.int64)), "n_features": pa.array(np.bincount(g.text, minlength=len(ids)).astype(np.int64)), "weight": pa.array(weight)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "place": pa.array(places, pa.int64()), "n_words": pa.array(g.words.astype(np.int64)), "n_features": pa.array(np.bincount(g.text, minlength=len(ids)).astype(np.int64)), "weight": pa.array(weight)})
 
     return run
 
@@ -189,13 +211,13 @@ def _weigh(gain: np.ndarray):
 def weigh(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_features, weight``: the sum of gains over all runs of 1 to 3 words of each document.
 
-    Documents are read in units of whole texts. A unit's distinct n-gram strings are dealt, with their counts, by their
+    Documents are read in units of whole texts; very long ones are cut between words, and no run of words is lost. A unit's distinct n-gram strings are dealt, with their counts, by their
     hash: each shard of the dictionary counts its strings over all units and hashes each once, to a bucket. Buckets'
     counts give gains (BUCKETS numbers), and each unit gets the buckets of its own strings back, to add up the gains of
     its documents' features. However frequent a string is, a unit sends it once.
     """
     spark = docs.sparkSession
-    schema = "unit long, ids array<long>, sizes array<long>, blob binary"
+    schema = "unit long, ids array<long>, places array<long>, extra array<long>, sizes array<long>, blob binary"
     own = cut(doc_view(docs).mapInArrow(_units, schema), "units")
     other = target.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, schema)
     size = own.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
@@ -206,9 +228,9 @@ def weigh(docs: DataFrame, target: DataFrame) -> DataFrame:
     s, t = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for bucket, a, b in counted.where("unit is null").mapInArrow(_totals, "bucket long, s long, t long").groupBy("bucket").agg(F.sum("s"), F.sum("t")).collect():
         s[bucket], t[bucket] = a, b
-    back = counted.where("unit is not null").select("unit", "shard", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("sizes"), "blob")
-    both = own.select("unit", F.lit(-1).cast("long").alias("shard"), "ids", "sizes", "blob").unionByName(back).withColumn("shards", F.lit(shards))
-    return both.groupBy("unit").applyInArrow(_weigh(gains(s, t)), "doc_id long, n_words long, n_features long, weight long")
+    both = own.withColumn("shard", F.lit(-1).cast("long")).unionByName(counted.where("unit is not null"), allowMissingColumns=True).withColumn("shards", F.lit(shards))
+    weighed = both.groupBy("unit").applyInArrow(_weigh(gains(s, t)), "doc_id long, place long, n_words long, n_features long, weight long")
+    return weighed.groupBy("place").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")]).drop("place")
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words: int = 20, seed: int = 42) -> DataFrame:
