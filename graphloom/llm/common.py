@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.shared import cut
 
-__all__ = ["WHITE", "cut", "doc_view", "mix", "utf8", "word_hashes", "word_spans"]
+__all__ = ["WHITE", "by_place", "cut", "doc_view", "mapped", "mix", "utf8", "word_hashes", "word_spans"]
 
 
 def doc_view(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,6 +17,17 @@ def doc_view(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
 
 
+def by_place(docs: DataFrame) -> DataFrame:
+    """The same columns under names that say their place: no name clashes with an operator's or needs quotes."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def mapped(docs: DataFrame, run) -> DataFrame:
+    """``docs.mapInArrow`` for a function that keeps all columns, whatever their names."""
+    plain = by_place(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A text column as UTF-8 bytes without decoding."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import doc_view
+from graphloom.llm.common import doc_view, mapped
 
 #: Words of a window; words of one shard; distance of sampled suffix positions; bytes of benchmark text in one block.
 WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 400_000, 16, 8 << 20
@@ -286,7 +286,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else b.column(k) for k in range(width)]
             yield pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(left, pa.bool_()))
 
-    out = docs.mapInArrow(cut_spans, docs.schema)
+    out = mapped(docs, cut_spans)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

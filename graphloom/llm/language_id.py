@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import doc_view, utf8
+from graphloom.llm.common import doc_view, mapped, utf8
 
 #: Hashed byte trigrams; training documents per language and at most in all.
 DIMS, PER_LANGUAGE, MAX_DOCS = 8192, 400, 3000
@@ -186,7 +186,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             keep = [has_letter(t) for t in texts] if shared.value is None else [p != UNDETERMINED for p in predicted(shared.value, texts)[0]]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ MORE_RULES = (
     Rule("digital_ocean", r"(?:dop|doo|dor)_v1_[a-f0-9]{64}"),
     Rule("shopify", r"(?:shpat|shpca|shppa|shpss)_[a-fA-F0-9]{32}"),
     Rule("square", r"(?:sq0atp|sq0csp)-[A-Za-z0-9_-]{22,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,900}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
     Rule("databricks", r"dapi[a-f0-9]{32}"),
     Rule("azure_key", r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm.common import cut, doc_view, mix, utf8
+from graphloom.llm.common import by_place, cut, doc_view, mix, utf8
 from graphloom.llm.components import components
 from graphloom.plans.shared import only
 
@@ -421,14 +421,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their class: one of each group of near copies, all columns kept.
+    """One document of each group of near copies, all columns kept: that with the smallest doc_id.
 
-    A doc_id names one document: of rows that share it one stays, and rows without one go.
+    A document is a row's id with its text, so that unlike texts stay whatever ids they share or lack; of rows that are equal
+    in both one stays. Rows without an id come after all that have one.
     """
-    found = only(lambda: near_copies(docs), "copies")
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    return kept if found.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    at = [f"c{docs.columns.index(c)}" for c in ("doc_id", "text")]
+    plain = by_place(docs)
+    rows = plain.withColumn("row", F.xxhash64(*[x for c in at for x in (F.col(c).isNull(), F.col(c))]))
+    found = only(lambda: near_copies(rows.select(F.col("row").alias("doc_id"), F.col(at[1]).alias("text"))), "copies").toDF("row", "class")
+    ids = rows.select("row", F.struct(F.col(at[0]).isNull().alias("no_id"), F.col(at[0]).alias("id"), "row").alias("place"))
+    first = ids.join(found.distinct(), "row").groupBy("class").agg(F.min("place").alias("place")).select("place.row")
+    kept = rows.join(first, "row", "left_semi")
+    kept = kept if found.groupBy("row").count().where("count > 1").isEmpty() else kept.dropDuplicates(["row"])
+    return kept.select(plain.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -76,3 +76,12 @@ def test_a_large_group_whose_members_are_partly_unlike(spark, monkeypatch):
     docs = [x for x in docs if x[0] is not None]
     want = dict(zip((i for i, _ in docs), classes(docs), strict=True))
     assert got == want and 5 < len(set(want.values())) < 120
+
+
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    a, b, c = ("one two three four five six seven", "quite another text that shares no words", "a third one of no relation at all")
+    rows = [(1, a), (1, b), (None, c), (None, c), (2, a), (None, a), (3, c), (5, None), (4, ""), (1, b)]
+    got = m.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (1, b), (3, c), (4, "")], key=str)
+    only_null = [(None, a), (None, b), (None, a)]
+    assert sorted(r.text for r in m.keep_one(spark.createDataFrame(only_null, "doc_id long, text string")).collect()) == [a, b]

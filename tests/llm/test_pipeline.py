@@ -66,7 +66,7 @@ def test_stages_keep_columns(spark):
 
 def test_stages_take_columns_of_any_name(spark):
     """Names that the operators use for columns of their own, nulls, repeated rows and ids, empty texts."""
-    odd = ["mask", "spans", "_id", "_n", "_spans", "_lang_pred", "_lang_score", "_lang_text", "_text", "row", "key", "maybe", "masked", "node", "keys", "hub", "N", "Label", "a", "b", "component_id", "lang", "source", "n_chars"]
+    odd = ["mask", "spans", "_id", "_n", "_spans", "_lang_pred", "_lang_score", "_lang_text", "_text", "row", "key", "maybe", "masked", "node", "keys", "hub", "N", "Label", "a", "b", "component_id", "lang", "source", "a.b", "c0", "n_chars"]
     bench = pq.read_table(f"{DIR}/benchmark.parquet").to_pylist()[0]["text"]
     texts = ["plain words of a text here", "plain words of a text here", None, "", "x " + bench + " y password=abcdefgh1", "1 2 3"]
     rows = [(k if k < 4 else None, t, *[f"{c}{k}" for c in odd[:-1]], len(t or "")) for k, t in enumerate(texts)]

@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import secrets as m
@@ -146,3 +147,10 @@ def test_long_texts_take_time_in_proportion(spark):
         at = e
     assert got[1] == "".join(out) + text[at:]
     assert got[2] == "[SECRET]\n" + "well-known words - " * 100_000 and got[3].startswith("[SECRET]")
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 340_000 + ".ey", "eyJabcdefghijk." * 70_000, "eyJ" + "a" * 1_000_000 + ".ey"])
+def test_long_runs_of_a_token_s_prefix(spark, text):
+    began = time.time()
+    assert m.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans is not None
+    assert time.time() - began < 30
