@@ -173,27 +173,22 @@ def call_paths(calls: DataFrame, entry: DataFrame, max_depth: int = 50, end: Dat
     """``path`` (array): simple call paths from the entries that end at an ``end`` symbol, or where none is given
     at a symbol without calls to others on the way, or at ``max_depth`` symbols; the first ``max_paths`` in order.
 
-    All paths grow by a symbol at a time, HOPS times to a written table. Without an ``end`` every beginning leads to some
-    path, so that no more than the first ``max_paths`` beginnings are kept; with one, symbols that can't lead to it are
-    left out first.
+    All paths grow by a symbol at a time. Every beginning that is kept leads to some path, so that no more than the first
+    ``max_paths`` of them are: without an ``end`` all do, with one those from which it can still be reached.
     """
     steps = calls.where("caller != callee").select("caller", "callee")
-    if end is not None:
-        goal = end.select(F.col("start").alias("node")).distinct().withColumn("goal", F.lit(True))
-        near = closure(reversed_calls(steps), goal.select(F.col("node").alias("start"))).select(F.col("node").alias("callee")).distinct()
-        steps = steps.join(near, "callee", "left_semi")
+    if end is not None and max_depth > 0:
+        return _paths_to(steps, entry, max_depth, end, max_paths)
     near = cut(steps.groupBy(F.col("caller").alias("node")).agg(F.collect_set("callee").alias("to")), "steps")
-    first = lambda df: df.orderBy("path").limit(max_paths) if max_paths is not None else df
-    live = first(entry.select(F.array("start").alias("path")).distinct())
+    live = _first(entry.select(F.array("start").alias("path")).distinct(), max_paths)
     found: list[DataFrame] = []
     depth, open_ = 1, max_depth > 0
     while open_:
         rounds = []
         for _ in range(HOPS):
             here = live.withColumn("node", F.element_at("path", -1)).join(near, "node", "left").select("path", F.expr("array_except(coalesce(to, cast(array() as array<bigint>)), path)" if depth < max_depth else "cast(array() as array<bigint>)").alias("next"))
-            ended = here.join(goal, F.element_at("path", -1) == F.col("node"), "left_semi") if end is not None else here.where("size(next) = 0")
-            rounds.append(ended.select("path", F.lit(False).alias("live")))
-            live = first(here.select("path", F.explode("next").alias("to")).select(F.concat("path", F.array("to")).alias("path"))) if end is None else here.select("path", F.explode("next").alias("to")).select(F.concat("path", F.array("to")).alias("path"))
+            rounds.append(here.where("size(next) = 0").select("path", F.lit(False).alias("live")))
+            live = _first(here.select("path", F.explode("next").alias("to")).select(F.concat("path", F.array("to")).alias("path")), max_paths)
             depth += 1
             if depth > max_depth:
                 break
@@ -203,7 +198,77 @@ def call_paths(calls: DataFrame, entry: DataFrame, max_depth: int = 50, end: Dat
         found.append(grown.where("not live").select("path"))
         live = grown.where("live").select("path")
         open_ = depth <= max_depth and not live.isEmpty()
-    return first(reduce(DataFrame.unionByName, found)) if found else live.where("false")
+    return _first(reduce(DataFrame.unionByName, found), max_paths) if found else live.where("false")
+
+
+def _first(paths: DataFrame, n: int | None) -> DataFrame:
+    return paths if n is None else paths.orderBy("path").limit(n)
+
+
+def nearest_ways(steps: DataFrame, goal: DataFrame, max_depth: int) -> DataFrame:
+    """``node, chain`` (array): from each symbol the shortest way to a ``goal`` (``node``) of at most ``max_depth`` symbols."""
+    state, depth = goal.select("node", F.array("node").alias("chain")).distinct().withColumn("new", F.lit(True)), 1
+    while True:
+        for _ in range(HOPS):
+            to = state.join(steps, (F.col("node") == F.col("callee")) & F.col("new"), "left")
+            own = F.struct("node", "chain", F.lit(True).alias("known"))
+            sent = F.when(F.col("caller").isNotNull() & (F.size("chain") < max_depth), F.struct(F.col("caller").alias("node"), F.concat(F.array("caller"), "chain").alias("chain"), F.lit(False).alias("known")))
+            rows = to.select(F.inline(F.array_compact(F.array(own, sent))))
+            best = rows.groupBy("node").agg(F.min(F.struct(F.size("chain").alias("n"), "chain")).alias("x"), F.bool_or("known").alias("known"))
+            state = best.select("node", "x.chain", (~F.col("known")).alias("new"))
+            depth += 1
+        state = cut(state, "ways")
+        if depth >= max_depth or state.where("new").isEmpty():
+            return state.drop("new")
+
+
+def _paths_to(steps: DataFrame, entry: DataFrame, max_depth: int, end: DataFrame, max_paths: int | None) -> DataFrame:
+    """Simple paths to an ``end``, level by level; of the beginnings of a level only those that lead on, the first in order.
+
+    Where a symbol's nearest way to an end meets nothing that the beginning has been at, it leads on. Only the others, as far
+    as they come before the last that is wanted, are followed from symbol to symbol, and only at levels of more beginnings
+    than are wanted.
+    """
+    goal = end.select(F.col("start").alias("node")).distinct()
+    ways = nearest_ways(steps, goal, max_depth)
+    ahead = ways.select(F.col("node").alias("callee"))
+    near = cut(steps.join(ahead, "callee", "left_semi").groupBy(F.col("caller").alias("node")).agg(F.collect_set("callee").alias("to")), "steps")
+    last = F.element_at("path", -1)
+    live = cut(_first(entry.select(F.array("start").alias("path")).distinct().join(ways, last == F.col("node"), "left_semi"), max_paths), "paths")
+    found = [live.join(goal, last == F.col("node"), "left_semi")]
+    for _ in range(1, max_depth):
+        next_ = live.join(near, last == F.col("node")).select("path", F.explode(F.expr("array_except(to, path)")).alias("node")).join(ways, "node")
+        grown = next_.select(F.concat("path", F.array("node")).alias("path"), "chain").where(F.size("path") + F.size("chain") - 1 <= max_depth)
+        grown = cut(grown.select("path", (F.size(F.array_intersect("path", "chain")) == 1).alias("sure")), "grown")
+        n = grown.count()
+        if not n:
+            break
+        if max_paths is None or n > max_paths:
+            sure, doubt = _first(grown.where("sure").select("path"), max_paths), grown.where("not sure").select("path")
+            n, most = sure.agg(F.count("*"), F.max("path")).first()
+            doubt = doubt.where(F.col("path") < F.array(*map(F.lit, most))) if n and n == max_paths else doubt
+            live = cut(_first(sure.union(_leading_on(doubt, near, goal, max_depth)), max_paths), "paths")
+        else:
+            live = grown.select("path")
+        found.append(live.join(goal, last == F.col("node"), "left_semi"))
+    return _first(reduce(DataFrame.unionByName, found), max_paths)
+
+
+def _leading_on(paths: DataFrame, near: DataFrame, goal: DataFrame, max_depth: int) -> DataFrame:
+    """The beginnings from which some goal is reached over other symbols, ``max_depth`` symbols in all at most."""
+    if paths.isEmpty():
+        return paths
+    state, depth = paths.select("path", F.element_at("path", -1).alias("node"), F.lit(True).alias("new")), 0
+    while True:
+        for _ in range(HOPS):
+            depth += 1
+            sent = state.where("new").join(near, "node").where(F.size("path") + depth <= max_depth).select("path", F.explode(F.expr("array_except(to, path)")).alias("node"), F.lit(False).alias("known"))
+            both = state.select("path", "node", F.lit(True).alias("known")).union(sent)
+            state = both.groupBy("path", "node").agg((~F.bool_or("known")).alias("new"))
+        state = cut(state, "reach")
+        met = state.join(goal, "node", "left_semi").select("path").distinct()
+        if state.where("new").join(met, "path", "left_anti").isEmpty():
+            return met
 
 
 def call_path_statistics(paths: DataFrame, max_paths: int) -> DataFrame:

@@ -800,6 +800,25 @@ _CPN = f"""cw(node, path) AS (SELECT id, [id] FROM entry UNION ALL SELECT node,
     cn AS (SELECT path FROM cw WHERE len(path) = 50 OR NOT EXISTS (SELECT 1 FROM c3 WHERE caller = node AND NOT list_contains(path, callee)) ORDER BY path LIMIT {_MANY + 1})"""
 
 
+#: Symbols of a path to a goal, and how many paths.
+GOAL_DEPTH, GOAL_PATHS = 16, 100
+
+
+@query(f"""WITH RECURSIVE {G3}, goal AS (SELECT DISTINCT callee AS id FROM c3 WHERE callee NOT IN (SELECT caller FROM c3 WHERE caller <> callee)),
+    w(path, last) AS (SELECT DISTINCT [caller], caller FROM c3 WHERE caller % 100 = 0
+      UNION ALL SELECT list_append(path, callee), callee FROM w JOIN c3 ON caller = last WHERE len(path) < {GOAL_DEPTH} AND NOT list_contains(path, callee)),
+    p AS (SELECT path FROM w WHERE last IN (SELECT id FROM goal) ORDER BY path LIMIT {GOAL_PATHS})
+    SELECT {_PATH} AS path, len(path)::BIGINT AS length FROM p""")
+def call_paths_to_goals(spark, d):
+    """The first call paths, in order, from callers whose id is divisible by 100 to symbols that call no other."""
+    calls = S.part_calls(spark, d)
+    callers = calls.where("caller != callee").select(F.col("caller").alias("callee"))
+    goals = calls.select("callee").distinct().join(callers, "callee", "left_anti").select(F.col("callee").alias("start"))
+    entries = calls.where("caller % 100 = 0").select(F.col("caller").alias("start")).distinct()
+    found = C.call_paths(calls, entries, GOAL_DEPTH, goals, GOAL_PATHS)
+    return found.select(_joined("path", "->").alias("path"), F.size("path").cast("long").alias("length"))
+
+
 @query(f"WITH RECURSIVE {G3}, {_CPN}, k AS (SELECT path FROM cn ORDER BY path LIMIT {_MANY}) SELECT (SELECT count(*) FROM k)::BIGINT AS paths, (SELECT min(len(path)) FROM k)::BIGINT AS shortest, (SELECT max(len(path)) FROM k)::BIGINT AS longest, (SELECT round(avg(len(path)), 6) FROM k)::DOUBLE AS mean, (SELECT count(DISTINCT x) FROM (SELECT unnest(path) AS x FROM k))::BIGINT AS symbols, (SELECT count(*) FROM cn) > {_MANY} AS truncated")
 def call_path_statistics(spark, d):
     """Figures of the first call paths of up to 50 symbols, and whether there are more."""

@@ -58,3 +58,53 @@ def test_call_paths_with_limits_and_ends(spark):
     figures = C.call_path_statistics(C.call_paths(calls, start, 50, max_paths=8), 7).first()
     want = sorted(walk([edges[0][0]], 50, None))
     assert (figures.paths, figures.truncated) == (min(7, len(want)), len(want) > 7)
+
+
+def first_to(edges, start, ends, depth, most):
+    """Depth-first in order, with a search from each symbol for whether an end can still be reached."""
+    to = {}
+    for a, b in edges:
+        if a != b:
+            to.setdefault(a, set()).add(b)
+
+    def leads_on(path):
+        ring, seen = [path[-1]], set(path)
+        for _ in range(depth - len(path) + 1):
+            if any(x in ends for x in ring):
+                return True
+            ring = sorted({y for x in ring for y in to.get(x, ()) if y not in seen})
+            seen |= set(ring)
+        return False
+
+    out = []
+
+    def walk(path):
+        if path[-1] in ends:
+            out.append(path)
+        for x in sorted(to.get(path[-1], ())):
+            if len(out) >= most:
+                return
+            if x not in path and len(path) < depth:
+                p = [*path, x]
+                if x in ends or leads_on(p):
+                    walk(p)
+
+    walk([start])
+    return sorted(out)[:most]
+
+
+def test_first_paths_to_ends(spark):
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "start long")
+    r = random.Random(4)
+    for n, m, depth, most, ends in ((30, 60, 12, 20, {7}), (25, 60, 50, 10, {3, 4, 5}), (40, 60, 8, 100, {0, 39})):
+        edges = sorted({(r.randrange(n), r.randrange(n)) for _ in range(m)})
+        got = C.call_paths(frame(spark, edges), one(edges[0][0]), depth, one(*ends), most)
+        assert sorted(list(x.path) for x in got.collect()) == first_to(edges, edges[0][0], ends, depth, most), (n, m)
+
+
+def test_beginnings_that_lead_back_are_not_followed(spark):
+    """Of 2**14 ways each only comes back to 1, and the end lies behind that."""
+    edges = [(0, 1), (1, 2), (1, 100), (100, 101)] + [e for k in range(2, 44, 3) for e in ((k, k + 1), (k, k + 2), (k + 1, k + 3), (k + 2, k + 3))] + [(44, 1)]
+    one = lambda i: spark.createDataFrame([(i,)], "start long")
+    assert [list(x.path) for x in C.call_paths(frame(spark, edges), one(0), 50, one(101), 5).collect()] == [[0, 1, 100, 101]]
+    assert C.call_paths(frame(spark, edges), one(0), 50, one(77), 5).collect() == []
