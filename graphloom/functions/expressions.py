@@ -54,3 +54,11 @@ FEASIBLE = (
 )
 PATH_ID = "sha2(concat_ws(',', cast(size(blocks) as string), transform(blocks, b -> cast(b as string))), 256)"
 ARROWS = "array_join(transform(blocks, b -> cast(b as string)), '->')"
+#: Colours of edges in Graphviz.
+EDGE_COLOURS = "map('TrueBranch', 'green', 'FalseBranch', 'red', 'Fallthrough', 'black', 'LoopBack', 'blue', 'LoopExit', 'orange', 'Exception', 'purple', 'Call', 'gray', 'Return', 'darkgray')"
+#: Kind of a given path, of which nothing is known: the first block that is wrong decides, then how it ends.
+GIVEN_KIND = (
+    "coalesce(get(array_compact(transform(blocks, b -> case when n is null or b is null or b < 0 or b >= n then 'Degenerate' when not array_contains(reach, b) then 'Unreachable' "
+    "when tags[b] = 'Abort' or tags[b] = 'Call' and unwinds[b] then 'Error' when tags[b] = 'Unreachable' then 'Degenerate' end)), 0), "
+    "if(get(tags, try_element_at(blocks, -1)) = 'Return', 'Normal', 'Degenerate'), 'Degenerate')"
+)

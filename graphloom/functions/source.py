@@ -49,11 +49,32 @@ def touched(symbols: DataFrame, changed_files: DataFrame) -> DataFrame:
     return symbols.join(named.withColumnRenamed("text", "file"), "file", "left_semi").select("id").distinct()
 
 
-def overlapping(ranges: DataFrame) -> DataFrame:
-    """``file, a, b`` (a < b): ranges (``file, id, start, end``, half-open) of one file that share a place."""
-    a = ranges.select("file", F.col("id").alias("a"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    b = ranges.select("file", F.col("id").alias("b"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    return a.join(b, "file").where("a < b and s1 < e2 and s2 < e1").select("file", "a", "b")
+def touched_by_path(symbols: DataFrame, changed_files: DataFrame) -> DataFrame:
+    """``id`` of symbols whose file is a changed one (``path``, relative, a leading / is left out) or ends with it.
+
+    Every end of each distinct file meets the changed paths by an equi-join. Null and empty paths name none.
+    """
+    files = symbols.select("file").where("file is not null").distinct()
+    ends = files.select("file", F.explode(F.expr("transform(sequence(1, length(file)), i -> substring(file, i))")).alias("path")).where("path != ''")
+    named = ends.join(changed_files.select(F.regexp_replace("path", "^/+", "").alias("path")).distinct(), "path", "left_semi")
+    return symbols.join(named.select("file").distinct(), "file", "left_semi").select("id").distinct()
+
+
+def overlapping(ranges: DataFrame, cell: int | None = None) -> DataFrame:
+    """``file, a, b`` (a < b): ranges (``file, id, start, end``, half-open) of one file that share a place.
+
+    Each file is dealt in cells of ``cell`` places (the mean length where none is given, so that ranges lie in about two);
+    two ranges meet in the cells they have in common, and count in the one where the later of them starts. So a file of
+    many ranges is no single task, and only near ones are compared.
+    """
+    if cell is None:
+        cell = ranges.agg(F.ceil(F.avg(F.greatest(F.col("end") - F.col("start"), F.lit(1))))).first()[0] or 1
+    at = lambda c: F.floor(F.col(c) / F.lit(cell))
+    last = F.floor((F.greatest("start", F.col("end") - 1)) / F.lit(cell))
+    dealt = ranges.select("file", "id", "start", "end").where("start is not null and end is not null").withColumn("cell", F.explode(F.sequence(at("start"), last)))
+    a, b = dealt.toDF("file", "a", "s1", "e1", "cell"), dealt.toDF("file", "b", "s2", "e2", "cell")
+    met = a.join(b, ["file", "cell"]).where("a < b and s1 < e2 and s2 < e1")
+    return met.where(F.floor(F.greatest("s1", "s2") / F.lit(cell)) == F.col("cell")).select("file", "a", "b")
 
 
 def resolve(names: DataFrame, symbols: DataFrame) -> DataFrame:

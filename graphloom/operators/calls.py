@@ -286,3 +286,11 @@ def hotspots(calls: DataFrame, components: DataFrame, paths: DataFrame, top: int
     sizes = components.groupBy("component").agg(F.count("*").alias("dominance"))
     rows = counts.join(components, "id").join(sizes, "component")
     return rows.select("id", "path_count", "dominance", (F.col("path_count") + F.col("dominance") * 2.0).alias("risk")).orderBy(F.desc("risk"), "id").limit(top)
+
+
+def hotspots_or(inter: DataFrame, intra: DataFrame) -> DataFrame:
+    """``id, path_count, dominance, complexity, risk``: hotspots by calls, or where there are none those by flow
+    (``flow.hotspots``), each with null for what it doesn't know."""
+    own = inter.select("id", "path_count", "dominance", F.lit(None).cast("int").alias("complexity"), "risk")
+    other = intra.select(F.col("function_id").alias("id"), "path_count", F.lit(None).cast("long").alias("dominance"), "complexity", "risk")
+    return own if not own.isEmpty() else other

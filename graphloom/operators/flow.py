@@ -126,10 +126,22 @@ def blast_zone(flow: DataFrame, calls: DataFrame, targets: DataFrame, max_depth:
     the target itself. Targets that no function has are left out.
     """
     own = block_impact(flow.join(targets.select(KEY).distinct(), KEY, "left_semi"), max_depth).join(targets.select(KEY, "block_id").distinct(), [KEY, "block_id"], "left_semi")
-    seeds = own.select(F.col(KEY).alias("start")).distinct()
-    counts = [closure(c, seeds).where("node != start").groupBy(F.col("start").alias(KEY)).agg(F.count("*").alias(name)) for c, name in ((calls, "callees"), (reversed_calls(calls), "callers"))]
-    rows = own.join(counts[0], KEY, "left").join(counts[1], KEY, "left")
-    return rows.select(KEY, "block_id", F.col("reached").alias("affected"), "depth", F.coalesce("callees", F.lit(0)).alias("callees"), F.coalesce("callers", F.lit(0)).alias("callers"))
+    rows = _with_call_counts(own, calls)
+    return rows.select(KEY, "block_id", F.col("reached").alias("affected"), "depth", "callees", "callers")
+
+
+def blast_zone_of_paths(paths: DataFrame, flow: DataFrame, calls: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``function_id, path_id, blocks, affected, callees, callers`` for each path: as ``path_impact`` and ``blast_zone``."""
+    return _with_call_counts(path_impact(paths, flow, max_depth), calls)
+
+
+def _with_call_counts(rows: DataFrame, calls: DataFrame) -> DataFrame:
+    """Adds ``callees`` and ``callers``: how many other functions the row's function reaches by calls, and is reached by."""
+    seeds = rows.select(F.col(KEY).alias("start")).distinct()
+    for c, name in ((calls, "callees"), (reversed_calls(calls), "callers")):
+        counts = closure(c, seeds).where("node != start").groupBy(F.col("start").alias(KEY)).agg(F.count("*").alias(name))
+        rows = rows.join(counts, KEY, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows
 
 
 # --- dominance --------------------------------------------------------------------------------------------------
@@ -240,6 +252,17 @@ def feasible_paths(paths: DataFrame, flow: DataFrame) -> DataFrame:
     return both.withColumn("feasible", F.expr(X.FEASIBLE)).select(KEY, "path_id", "blocks", "feasible")
 
 
+def classify_paths(paths: DataFrame, flow: DataFrame) -> DataFrame:
+    """function_id, path_id, blocks, path_kind of *given* paths, such as stored ones, by what their functions are now.
+
+    The first block that says so decides: one that isn't there (Degenerate) or isn't reached (Unreachable), an abort or a
+    call that may unwind (Error), an unreachable end (Degenerate). Else a path that ends in a return is Normal, others, and
+    empty ones, are Degenerate. Paths of functions that are gone are Degenerate too.
+    """
+    both = paths.select(KEY, "path_id", "blocks").join(flow.select(KEY, "n", "tags", "unwinds", "reach"), KEY, "left")
+    return both.select(KEY, "path_id", "blocks", F.expr(X.GIVEN_KIND).alias("path_kind"))
+
+
 def path_ranges(paths: DataFrame, blocks: DataFrame) -> DataFrame:
     """function_id, path_id, start_line, end_line: from the first block's first line to the last block's last."""
     lines = blocks.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("block_id", "start_line", "end_line"))).alias("b"))
@@ -376,11 +399,14 @@ def describe_functions(flow: DataFrame) -> DataFrame:
     return flow.selectExpr(KEY, "concat('function ', function_id, ': ', n, ' blocks, ', size(exits), ' exits, ', aggregate(succ, 0, (a, x) -> a + size(x)), ' edges, ', n - size(reach), ' unreachable') as description")
 
 
-def export_dot(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """function_id, dot: a Graphviz graph per function."""
+def export_dot(blocks: DataFrame, edges: DataFrame, colours: bool = False) -> DataFrame:
+    """function_id, dot: a Graphviz graph per function, with ``colours`` by kinds of blocks and edges."""
     nodes = blocks.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("block_id", "kind", "tag"))).alias("b"))
     lines = edges.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "edge_type"))).alias("e"))
-    text = "concat('digraph {', array_join(transform(b, x -> concat(' n', x.block_id, ' [label=\"', x.kind, ' ', x.tag, '\"];')), ''), coalesce(array_join(transform(e, x -> concat(' n', x.src, ' -> n', x.dst, ' [label=\"', x.edge_type, '\"', if(x.edge_type = 'Fallthrough', ' style=dashed', ''), '];')), ''), ''), ' }')"
+    fill = "case x.kind when 'Entry' then ' style=filled fillcolor=lightgreen' when 'Exit' then ' style=filled fillcolor=lightcoral' else '' end" if colours else "''"
+    dashed = "if(x.edge_type = 'Fallthrough', ' style=dashed', '')"
+    line = f"concat({dashed}, ' color=', coalesce(element_at({X.EDGE_COLOURS}, x.edge_type), 'black'))" if colours else dashed
+    text = f"concat('digraph {{', array_join(transform(b, x -> concat(' n', x.block_id, ' [label=\"', x.kind, ' ', x.tag, '\"', {fill}, '];')), ''), coalesce(array_join(transform(e, x -> concat(' n', x.src, ' -> n', x.dst, ' [label=\"', x.edge_type, '\"', {line}, '];')), ''), ''), ' }}')"
     return nodes.join(lines, KEY, "left").selectExpr(KEY, f"{text} as dot")
 
 

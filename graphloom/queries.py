@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import ARROWS
-from graphloom.functions.source import column_of, details, display, line_of, overlapping, resolve, touched
+from graphloom.functions.source import column_of, details, display, line_of, overlapping, resolve, touched, touched_by_path
 from graphloom.operators import calls as C
 from graphloom.operators import compare as D
 from graphloom.operators import flow as O
@@ -196,6 +196,17 @@ def touched_symbols(spark, d):
     return touched(S.symbols(spark, d), changed)
 
 
+@query("""WITH f AS (SELECT p_partkey AS id, replace(p_type, ' ', '/') || '.' || p_size AS file FROM part),
+    c AS (SELECT DISTINCT '/' || substring(file, strpos(file, '/') + 1) AS path FROM f WHERE file LIKE '%.1')
+    SELECT id FROM f WHERE EXISTS (SELECT 1 FROM c WHERE file = substring(path, 2) OR file = path OR ends_with(file, substring(path, 2)))""")
+def symbols_by_changed_path(spark, d):
+    """Symbols whose file is or ends with a changed path, which is given without its first folder."""
+    file = F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("."), F.col("p_size").cast("string"))
+    symbols = S.read(spark, d, "part").select(F.col("p_partkey").alias("id"), file.alias("file"))
+    changed = symbols.where("file like '%.1'").select(F.expr("concat('/', substring(file, instr(file, '/') + 1))").alias("path"))
+    return touched_by_path(symbols, changed)
+
+
 @query("SELECT event_id, 2::BIGINT AS line, (length(event_type))::BIGINT AS col, event_type || ':2:' || length(event_type) AS shown FROM events")
 def source_positions(spark, d):
     """Line and column of each two-line text's last byte."""
@@ -296,6 +307,20 @@ def blast_zone(spark, d):
     return _longs(O.blast_zone(flow, calls[0], targets).withColumn("affected", F.size("affected")))
 
 
+@query(f"""WITH RECURSIVE {G1}, {WALK1}, oc AS (SELECT o_orderkey AS caller, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS callee FROM orders),
+    fc AS (SELECT * FROM oc WHERE callee IS NOT NULL), own AS (SELECT function_id, path FROM p WHERE function_id % 100 = 0), tg AS (SELECT DISTINCT function_id AS t FROM own),
+    im(function_id, path, block_id) AS (SELECT function_id, path, unnest(path) FROM own UNION SELECT i.function_id, i.path, e.dst FROM im i JOIN e1 e ON e.function_id = i.function_id AND e.src = i.block_id),
+    down(t, id) AS (SELECT t, t FROM tg UNION SELECT t, callee FROM down JOIN fc ON caller = id), up(t, id) AS (SELECT t, t FROM tg UNION SELECT t, caller FROM up JOIN fc ON callee = id)
+    SELECT function_id, {_PATH} AS path, count(*) FILTER (NOT list_contains(path, block_id))::BIGINT AS affected, (SELECT count(*) - 1 FROM down WHERE t = function_id)::BIGINT AS callees,
+      (SELECT count(*) - 1 FROM up WHERE t = function_id)::BIGINT AS callers FROM im GROUP BY function_id, path""")
+def blast_zone_of_paths(spark, d):
+    """For each path of the functions whose id is divisible by 100: blocks that it can reach, and functions by calls, both ways."""
+    flow = _g1_fold(spark, d)
+    paths = O.enumerate_paths(flow.where("function_id % 100 = 0"))
+    got = O.blast_zone_of_paths(paths, flow, _order_calls(spark, d)[0])
+    return _longs(got.select("function_id", F.expr(ARROWS).alias("path"), F.size("affected").alias("affected"), "callees", "callers"))
+
+
 @query(f"""WITH RECURSIVE {G1}, {WALK1}, im(function_id, path, block_id) AS (SELECT function_id, path, unnest(path) FROM p UNION SELECT i.function_id, i.path, e.dst FROM im i JOIN e1 e ON e.function_id = i.function_id AND e.src = i.block_id)
     SELECT function_id, {_PATH} AS path, count(*) FILTER (NOT list_contains(path, block_id))::BIGINT AS affected FROM im GROUP BY function_id, path""")
 def path_impact(spark, d):
@@ -502,6 +527,18 @@ def path_verify(spark, d):
     return O.verify_paths(_paths1(spark, d, CUT), _paths1(spark, d))
 
 
+@query(f"""{_BOTH}, {R1}, k AS (SELECT po.function_id, po.path, i, b.tag,
+      CASE WHEN b.block_id IS NULL THEN 'Degenerate' WHEN r.block_id IS NULL THEN 'Unreachable' WHEN b.tag = 'Abort' THEN 'Error' END AS kind
+      FROM (SELECT function_id, path, unnest(path) AS block_id, generate_subscripts(path, 1) AS i FROM po) po
+      LEFT JOIN b1 b ON b.function_id = po.function_id AND b.block_id = po.block_id LEFT JOIN r1 r ON r.function_id = po.function_id AND r.block_id = po.block_id)
+    SELECT function_id, {_PATH} AS path, coalesce(min_by(kind, i) FILTER (kind IS NOT NULL), CASE WHEN max_by(tag, i) = 'Return' THEN 'Normal' ELSE 'Degenerate' END) AS path_kind
+    FROM k GROUP BY function_id, path""")
+def given_path_kinds(spark, d):
+    """Stored paths of the older snapshot: of what kind they are in today's functions."""
+    stored = D.cached_paths(D.path_elements(_paths1(spark, d, CUT)))
+    return O.classify_paths(stored, _g1_fold(spark, d)).select("function_id", F.expr(ARROWS).alias("path"), "path_kind")
+
+
 @query(f"""{_BOTH}, im AS (SELECT po.function_id, po.path, e.dst FROM (SELECT function_id, path, unnest(path) AS block_id FROM po) po JOIN e1 e ON e.function_id = po.function_id AND e.src = po.block_id)
     SELECT po.function_id, {_STR.format('po.path', '->')} AS path, count(DISTINCT im.dst) FILTER (NOT list_contains(po.path, im.dst))::BIGINT AS affected FROM po LEFT JOIN im ON im.function_id = po.function_id AND im.path = po.path WHERE po.function_id IN (SELECT function_id FROM b1) GROUP BY 1, po.path""")
 def stored_path_impact(spark, d):
@@ -640,6 +677,15 @@ def export_dot(spark, d):
     return O.export_dot(*S.order_flows(spark, d))
 
 
+@query(f"""WITH {G1}, b AS (SELECT function_id, string_agg(' n' || block_id || ' [label="' || kind || ' ' || tag || '"' ||
+      CASE kind WHEN 'Entry' THEN ' style=filled fillcolor=lightgreen' WHEN 'Exit' THEN ' style=filled fillcolor=lightcoral' ELSE '' END || '];', '' ORDER BY block_id) AS t FROM b1 GROUP BY 1),
+    e AS (SELECT function_id, string_agg(' n' || src || ' -> n' || dst || ' [label="' || edge_type || '"' || CASE WHEN edge_type = 'Fallthrough' THEN ' style=dashed' ELSE '' END || ' color=' ||
+      CASE edge_type WHEN 'TrueBranch' THEN 'green' WHEN 'FalseBranch' THEN 'red' WHEN 'Call' THEN 'gray' ELSE 'black' END || '];', '' ORDER BY src, dst) AS t FROM e1 GROUP BY 1)
+    SELECT b.function_id, 'digraph {{' || b.t || coalesce(e.t, '') || ' }}' AS dot FROM b LEFT JOIN e USING (function_id)""")
+def export_dot_in_colours(spark, d):
+    return O.export_dot(*S.order_flows(spark, d), colours=True)
+
+
 @query(f"""WITH {G1} SELECT b.function_id, '{{"entry":0,"exits":[' || coalesce(b.x, '') || '],"blocks":[' || b.t || ']' || coalesce(',"edges":[' || e.t || ']', '') || '}}' AS json FROM (SELECT function_id, string_agg(block_id::VARCHAR, ',' ORDER BY block_id) FILTER (tag IN ('Return', 'Abort')) AS x, string_agg('{{"block_id":' || block_id || ',"kind":"' || kind || '","tag":"' || tag || '"}}', ',' ORDER BY block_id) AS t FROM b1 GROUP BY 1) b
     LEFT JOIN (SELECT function_id, string_agg('{{"src":' || src || ',"dst":' || dst || ',"edge_type":"' || edge_type || '"}}', ',' ORDER BY src, dst) AS t FROM e1 GROUP BY 1) e USING (function_id)""")
 def export_json(spark, d):
@@ -856,3 +902,11 @@ def hotspots_of_long_paths(spark, d):
     """Hotspots over call paths of up to 50 symbols, the first of them in order."""
     calls = S.part_calls(spark, d)
     return C.hotspots(calls, C.strong_components(calls), C.call_paths(calls, _entry(calls), 50, max_paths=_MANY))
+
+
+@query(f"WITH RECURSIVE {G1}, {WALK1} SELECT function_id AS id, c::BIGINT AS path_count, NULL::BIGINT AS dominance, n::BIGINT AS complexity, round(c * 0.5 + n * 0.1, 6)::DOUBLE AS risk FROM (SELECT function_id, count(*) AS c FROM p WHERE tag IN ('Return', 'Abort') GROUP BY 1) JOIN (SELECT DISTINCT function_id, n FROM b1) USING (function_id) ORDER BY risk DESC, id LIMIT 20")
+def hotspots_without_calls(spark, d):
+    """Hotspots asked for by calls from a symbol that no call has: those by flow take their place."""
+    calls, flow = S.part_calls(spark, d), _g1_fold(spark, d)
+    inter = C.hotspots(calls, C.symbols_of(calls).select("id", F.col("id").alias("component")), C.call_paths(calls, calls.agg(F.lit(-1).cast("long").alias("start")), ENTRY_DEPTH))
+    return _longs(C.hotspots_or(inter, O.hotspots(O.enumerate_paths(flow, QUICK, dead_ends=False), flow)))

@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from graphloom.functions import source
 from graphloom.operators import compare, flow
 from graphloom.plans.limits import DEFAULT, Limits
 from graphloom.sources import flows
@@ -170,3 +171,27 @@ def test_feasibility(spark):
     f = flow.fold(blocks, edges)
     given = spark.createDataFrame([(1, "a", [0, 2]), (1, "b", [0]), (1, "c", [0, 1]), (1, "d", [2]), (1, "e", []), (1, "f", [0, 3])], "function_id long, path_id string, blocks array<int>")
     assert {r.path_id: r.feasible for r in flow.feasible_paths(given, f).collect()} == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": False}
+
+
+def test_kinds_of_given_paths(spark):
+    tags = {1: "Abort", 2: "Call", 3: "Unreachable", 5: "Return"}
+    f = flow.fold(*graph(spark, [(0, 1), (0, 2), (0, 3), (2, 5)], {1, 3, 5}, 7, tags=tags))
+    want = {"a": ([0, 2], "Error"), "b": ([0, 1], "Error"), "c": ([0, 3], "Degenerate"), "d": ([0, 6, 1], "Unreachable"), "e": ([0, 9, 6], "Degenerate"), "f": ([0], "Degenerate"), "g": ([], "Degenerate"), "h": ([0, 5], "Normal"), "i": ([1, 6], "Error"), "j": ([0, None], "Degenerate")}
+    rows = [(1, k, blocks) for k, (blocks, _) in want.items()] + [(2, "z", [0])]
+    given = spark.createDataFrame(rows, "function_id long, path_id string, blocks array<int>")
+    assert {r.path_id: r.path_kind for r in flow.classify_paths(given, f).collect()} == {k: kind for k, (_, kind) in want.items()} | {"z": "Degenerate"}
+
+
+def test_ranges_meet_once_in_cells(spark):
+    r = random.Random(6)
+    rows = [(r.choice("xy") if k % 3 else "x", k, s := r.randrange(-50, 300), s + r.choice([0, 1, 3, 40, 200, -4])) for k in range(150)]
+    want = sorted((f, a, b) for f, a, s, e in rows for g, b, t, u in rows if f == g and a < b and s < u and t < e)
+    ranges = spark.createDataFrame([*rows, ("x", 999, None, 3)], "file string, id long, start long, end long")
+    for cell in (None, 1, 7, 1000):
+        assert sorted(map(tuple, source.overlapping(ranges, cell).collect())) == want
+
+
+def test_changed_paths_are_whole_or_ends(spark):
+    symbols = spark.createDataFrame([(1, "src/a.rs"), (2, "/src/a.rs"), (3, "lib/src/a.rs"), (4, "xsrc/a.rs"), (5, "src/a.rs.bak"), (6, None), (7, "b.rs")], "id long, file string")
+    ids = lambda *paths: {r.id for r in source.touched_by_path(symbols, spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert ids("src/a.rs") == ids("/src/a.rs") == {1, 2, 3, 4} and ids("b.rs", None, "") == {7} and ids("c/src/a.rs") == set()
