@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.plans.limits import Limits
 
@@ -81,6 +82,64 @@ def dominator_tree(n: int, root: int, succ: Adjacency, pred: Adjacency) -> dict[
     return out
 
 
+#: By block: ``inner``, the header of the innermost loop it is in (its own for a header, -1: none); of headers ``outer``, the
+#: header of the next loop around (-1: none), ``level`` (0: outermost) and ``size`` (blocks, those of inner loops too); whether
+#: the function has cycles that no header dominates.
+FOREST = "struct<inner:array<int>,outer:array<int>,level:array<int>,size:array<int>,irreducible:boolean>"
+_FOREST = pa.struct([(f, _INTS) for f in ("inner", "outer", "level", "size")] + [("irreducible", pa.bool_())])
+
+
+def loop_forest(n: int, succ: Adjacency, pred: Adjacency, depth: list[int], back: list[dict[str, int]]) -> dict[str, object]:
+    """How natural loops lie in each other, as in ``FOREST``; loops of one header are one.
+
+    Deeper headers in the dominator tree come first: their loops are collapsed to the header, so that no block is walked
+    over more than once for each loop that it is directly in.
+    """
+    tails: dict[int, list[int]] = {}
+    for e in back:
+        tails.setdefault(e["header"], []).append(e["tail"])
+    link, inner, outer, size = list(range(n)), [-1] * n, [-1] * n, [0] * n
+
+    def find(x: int) -> int:
+        top = x
+        while link[top] != top:
+            top = link[top]
+        while link[x] != top:
+            link[x], x = top, link[x]
+        return top
+
+    heads = sorted(tails, key=lambda h: -depth[h])
+    for h in heads:
+        inner[h], size[h], todo = h, 1, list(tails[h])
+        while todo:
+            x = find(todo.pop())
+            if x == h:
+                continue
+            if x in tails:
+                outer[x] = h
+                size[h] += size[x]
+            else:
+                inner[x] = h
+                size[h] += 1
+            link[x] = h
+            todo += [p for p in pred[x] if depth[p] >= 0]
+    level = [-1] * n
+    for h in reversed(heads):  # outer headers dominate inner ones
+        level[h] = 0 if outer[h] < 0 else level[outer[h]] + 1
+    closing = {(e["tail"], e["header"]) for e in back}
+    waits = [sum((p, b) not in closing for p in pred[b] if depth[p] >= 0) for b in range(n)]
+    ready, left = [b for b in range(n) if depth[b] >= 0 and not waits[b]], sum(d >= 0 for d in depth)
+    while ready:
+        b = ready.pop()
+        left -= 1
+        for x in succ[b]:
+            if (b, x) not in closing:
+                waits[x] -= 1
+                if not waits[x]:
+                    ready.append(x)
+    return {"inner": inner, "outer": outer, "level": level, "size": size, "irreducible": left > 0}
+
+
 def with_column(df: DataFrame, name: str, ddl: str, kind: pa.DataType, inputs: list[str], value: Callable) -> DataFrame:
     """``df`` and a column ``name`` with ``value`` of the ``inputs`` columns, row by row."""
 
@@ -222,3 +281,8 @@ def all_walks(df: DataFrame, limits: Limits, dead_ends: bool, keep: list[str]) -
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["paths array<array<int>>"]))
+
+
+def with_forest(headed: DataFrame) -> DataFrame:
+    """``headed`` (with ``dom`` and ``back``) and ``forest``."""
+    return with_column(headed.withColumn("depth", F.col("dom.depth")), "forest", FOREST, _FOREST, ["n", "succ", "pred", "depth", "back"], loop_forest)

@@ -179,15 +179,31 @@ def common_dominators(dominated: DataFrame, column: str = "dom") -> DataFrame:
     return pairs.select(KEY, "a", "b", F.expr(f"aggregate(above, -1, (m, x) -> if({X.dominated('t', 'x', 'b')}, x, m))").alias("common"))
 
 
-def frontiers(dominated: DataFrame) -> DataFrame:
-    """function_id, node, frontier: v such that node dominates one of v's predecessors but not strictly v."""
-    each = dominated.select(KEY, "pred", F.col("dom").alias("t"), F.posexplode("dom.idom").alias("frontier", "idom"))
+def frontiers(dominated: DataFrame, column: str = "dom", before: str = "pred") -> DataFrame:
+    """function_id, node, frontier: v such that node dominates one of v's predecessors (``before``) but not strictly v."""
+    each = dominated.select(KEY, F.col(before).alias("pred"), F.col(column).alias("t"), F.posexplode(f"{column}.idom").alias("frontier", "idom"))
     each = each.select(KEY, "t", "frontier", "idom", F.explode(F.expr("pred[frontier]")).alias("p")).where("p != idom")
     # below v's immediate dominator; an unreachable block only dominates itself
     nodes = f"if(t.enter[p] = 0, array(p), filter({X.ancestors('t', 'p')}, x -> t.depth[x] > if(idom < 0, -1, t.depth[idom])))"
     return each.select(KEY, F.explode(F.expr(nodes)).alias("node"), "frontier").distinct()
 
 
+def control_dependences(post: DataFrame) -> DataFrame:
+    """function_id, block_id, controls: the branching blocks that decide whether a block is run (``with_post_dominators``).
+
+    From such a block one way leads to the exit by the block for sure, another need not. A block may control itself.
+    """
+    return frontiers(post, "pdom", "succ").select(KEY, F.col("node").alias("block_id"), F.col("frontier").alias("controls"))
+
+
+def control_slices(post: DataFrame) -> DataFrame:
+    """function_id, block_id, n_direct, n_all: how many blocks decide, directly and by way of others, whether a block is run."""
+    sets = control_dependences(post).groupBy(KEY).agg(F.collect_list(F.struct("block_id", "controls")).alias("f"))
+    rows = held(post.select(KEY, "n").join(sets, KEY).withColumn("up", F.expr(X.adjacency("f", "block_id", "controls"))))
+    each = rows.select(KEY, "n", "up", F.explode(F.expr("sequence(0, n - 1)")).alias("block_id")).where("size(up[block_id]) > 0")
+    return each.select(KEY, "block_id", F.expr("size(up[block_id])").alias("n_direct"), F.size(F.expr(X.closure("up", "up[block_id]", "up[block_id]"))).alias("n_all"))
+
+
 def _frontier_rows(dominated: DataFrame) -> DataFrame:
     sets = frontiers(dominated).groupBy(KEY).agg(F.collect_list(F.struct("node", "frontier")).alias("f"))
     return held(dominated.select(KEY, "n").join(sets, KEY).withColumn("succ", F.expr(X.adjacency("f", "node", "frontier"))))
@@ -225,6 +241,13 @@ def loops_of_blocks(loops: DataFrame) -> DataFrame:
     return loops.select(KEY, F.explode("body").alias("block_id"), "header", "tail")
 
 
+def loop_forest(headed: DataFrame) -> DataFrame:
+    """function_id, header, parent (null: outermost), nesting_level, blocks, irreducible: how a function's loops lie in each
+    other, loops of one header as one, without unreached blocks; irreducible: there are cycles with several entries, which are no loops."""
+    rows = K.with_forest(headed.where("size(back) > 0")).select(KEY, F.col("forest").alias("t"), F.explode("headers").alias("header"))
+    return rows.select(KEY, "header", F.expr("nullif(t.outer[header], -1)").alias("parent"), F.expr("t.level[header]").alias("nesting_level"), F.expr("t.size[header]").alias("blocks"), "t.irreducible")
+
+
 def nested_loops(loops: DataFrame) -> DataFrame:
     """Pairs of loops of which the first's body has the second's header; loops are ordered by tail, then header."""
     a = loops.select(KEY, F.col("header").alias("outer_header"), F.col("tail").alias("outer_tail"), "body")

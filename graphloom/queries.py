@@ -372,6 +372,23 @@ def immediate_post_dominators(spark, d):
     return _longs(O.immediate_dominators(O.with_post_dominators(_g2_fold(spark, d)), "pdom"))
 
 
+_CD2 = """prefl AS (SELECT * FROM pdom UNION SELECT function_id, block_id, block_id FROM b2 WHERE function_id IN (SELECT function_id FROM rt)),
+    cd AS (SELECT DISTINCT r.function_id, r.dominator AS block_id, e.src AS controls FROM e2 e JOIN prefl r ON r.function_id = e.function_id AND r.block_id = e.dst
+      WHERE NOT EXISTS (SELECT 1 FROM pdom d WHERE d.function_id = e.function_id AND d.dominator = r.dominator AND d.block_id = e.src AND d.dominator <> d.block_id))"""
+
+
+@query(f"WITH RECURSIVE {G2}, {PDOM2}, {_CD2} SELECT function_id, block_id::BIGINT AS block_id, controls::BIGINT AS controls FROM cd")
+def control_dependences(spark, d):
+    return _longs(O.control_dependences(O.with_post_dominators(_g2_fold(spark, d))))
+
+
+@query(f"""WITH RECURSIVE {G2}, {PDOM2}, {_CD2}, up(function_id, block_id, x) AS (SELECT * FROM cd UNION SELECT u.function_id, u.block_id, c.controls FROM up u JOIN cd c ON c.function_id = u.function_id AND c.block_id = u.x)
+    SELECT u.function_id, u.block_id::BIGINT AS block_id, any_value(k.direct)::BIGINT AS n_direct, count(*)::BIGINT AS n_all
+    FROM up u JOIN (SELECT function_id, block_id, count(*) AS direct FROM cd GROUP BY ALL) k ON k.function_id = u.function_id AND k.block_id = u.block_id GROUP BY u.function_id, u.block_id""")
+def control_slices(spark, d):
+    return _longs(O.control_slices(O.with_post_dominators(_g2_fold(spark, d))))
+
+
 @query(f"WITH RECURSIVE {G2}, {FRONT2} SELECT function_id, node::BIGINT AS node, frontier::BIGINT AS frontier FROM df")
 def dominance_frontiers(spark, d):
     return _longs(O.frontiers(O.with_dominators(_g2_fold(spark, d))))
@@ -443,6 +460,19 @@ def loop_headers(spark, d):
     return _longs(O.natural_loops(O.with_headers(_g2_fold(spark, d))).groupBy("function_id", "header").agg(F.count("*").alias("loops")))
 
 
+@query(f"""WITH RECURSIVE {G2}, {LOOP2}, one AS (SELECT DISTINCT function_id, header, block_id FROM body SEMI JOIN r2 USING (function_id, block_id)), hs AS (SELECT DISTINCT function_id, header FROM one),
+    sz AS (SELECT function_id, header, count(*) AS blocks FROM one GROUP BY ALL),
+    around AS (SELECT h.function_id, h.header, o.header AS out, sz.blocks AS k FROM hs h JOIN one o ON o.function_id = h.function_id AND o.block_id = h.header AND o.header <> h.header
+      JOIN sz ON sz.function_id = o.function_id AND sz.header = o.header),
+    fw AS (SELECT e.* FROM e2 e JOIN r2 r ON r.function_id = e.function_id AND r.block_id = e.src WHERE NOT EXISTS (SELECT 1 FROM lp WHERE lp.function_id = e.function_id AND lp.header = e.dst AND lp.tail = e.src)),
+    cy(function_id, a, b) AS (SELECT function_id, src, dst FROM fw UNION SELECT c.function_id, a, f.dst FROM cy c JOIN fw f ON f.function_id = c.function_id AND f.src = c.b)
+    SELECT h.function_id, h.header::BIGINT AS header, min_by(a.out, a.k)::BIGINT AS parent, count(a.out)::BIGINT AS nesting_level, any_value(sz.blocks)::BIGINT AS blocks,
+      h.function_id IN (SELECT function_id FROM cy WHERE a = b) AS irreducible
+    FROM hs h JOIN sz ON sz.function_id = h.function_id AND sz.header = h.header LEFT JOIN around a ON a.function_id = h.function_id AND a.header = h.header GROUP BY h.function_id, h.header""")
+def loop_forest(spark, d):
+    return _longs(O.loop_forest(O.with_headers(_g2_fold(spark, d))))
+
+
 @query(f"WITH RECURSIVE {G2}, {LOOP2} SELECT a.function_id, a.header::BIGINT AS outer_header, a.tail::BIGINT AS outer_tail, b.header::BIGINT AS inner_header, b.tail::BIGINT AS inner_tail FROM lp a JOIN lp b ON b.function_id = a.function_id AND (a.tail < b.tail OR a.tail = b.tail AND a.header < b.header) JOIN body y ON y.function_id = a.function_id AND y.header = a.header AND y.tail = a.tail AND y.block_id = b.header")
 def nested_loops(spark, d):
     return _longs(O.nested_loops(O.natural_loops(O.with_headers(_g2_fold(spark, d)))))

@@ -94,3 +94,43 @@ def test_walks_of_a_function_span_rows(spark, monkeypatch):
     edges = diamonds(0, 5)
     headed = flow.with_headers(flow.fold(*graph(spark, edges, {15}, 16)))
     assert flow.enumerate_paths(headed).count() == 32
+
+
+def test_loop_forest_by_bodies():
+    r = random.Random(3)
+    for _ in range(2000):
+        n = r.randint(1, 9)
+        succ, pred = adjacency(n, [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 18))])
+        t = K.dominator_tree(n, 0, succ, pred)
+        over = lambda a, b: t["enter"][b] and 0 <= t["enter"][b] - t["enter"][a] < t["size"][a]
+        back = [{"tail": a, "header": b} for a in range(n) for b in succ[a] if t["depth"][a] >= 0 and over(b, a)]
+        bodies = {}
+        for e in back:
+            own, todo = bodies.setdefault(e["header"], {e["header"]}), [e["tail"]]
+            while todo:
+                if (x := todo.pop()) not in own:
+                    own.add(x)
+                    todo += [p for p in pred[x] if t["depth"][p] >= 0]
+        f = K.loop_forest(n, succ, pred, t["depth"], back)
+        for h, own in bodies.items():
+            around = [g for g in bodies if g != h and h in bodies[g]]
+            assert f["outer"][h] == min(around, key=lambda g: len(bodies[g]), default=-1)
+            assert f["level"][h] == len(around) and f["size"][h] == len(own)
+        for b in range(n):
+            assert f["inner"][b] == min((h for h in bodies if b in bodies[h]), key=lambda h: len(bodies[h]), default=-1)
+        rest = {(a, b) for a in range(n) if t["depth"][a] >= 0 for b in succ[a]} - {(e["tail"], e["header"]) for e in back}
+        live = {x for x in range(n) if t["depth"][x] >= 0}
+        while gone := {x for x in live if not any(b == x and a in live for a, b in rest)}:
+            live -= gone
+        assert f["irreducible"] == bool(live)
+
+
+def test_forest_of_many_loops():
+    """500 loops in each other: each block is met once, not once for each loop around it."""
+    n = 1001
+    edges = [(k, k + 1) for k in range(n - 1)] + [(n - 1 - k, k) for k in range(500)]
+    succ, pred = adjacency(n, edges)
+    t = K.dominator_tree(n, 0, succ, pred)
+    began = time.time()
+    f = K.loop_forest(n, succ, pred, t["depth"], [{"tail": n - 1 - k, "header": k} for k in range(500)])
+    assert time.time() - began < 1 and f["level"][:500] == list(range(500)) and f["size"][499] == 3 and f["size"][0] == n and not f["irreducible"]
