@@ -135,6 +135,79 @@ def strong_components(calls: DataFrame) -> DataFrame:
     return named.join(named.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component")
 
 
+#: Hubs of the first round of labels, by how much later rounds have more, and how many are taken from a sort at most.
+HUBS, MORE_HUBS, FEW_HUBS = 16, 16, 65_536
+
+
+def reachability_labels(calls: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An index of what reaches what: ``component, hub`` of hubs that a component reaches, and of hubs that reach it.
+
+    ``a`` reaches ``b`` if their components are the same, or some hub is among those that a's reaches and those that reach
+    b's. Every component is a hub for itself; rounds of ever more of them, those with most calls first, spread from each hub
+    both ways, and stop where an earlier hub tells the same. So labels are few where many ways lead through few symbols.
+    """
+    arcs = cut(condensation(calls, components), "condensed")
+    ends = arcs.select(F.col("src").alias("node")).unionAll(arcs.select("dst")).groupBy("node").agg(F.count("*").alias("n"))
+    nodes = cut(ends, "hubs")
+    left, size = nodes.count(), HUBS
+    none = arcs.sparkSession.createDataFrame([], "node long, hub long")
+    out, into = none, none
+    # calls first, a hash where they are equal
+    place = F.col("n") + F.pmod(F.xxhash64("node"), F.lit(2**20)) / 2.0**20
+    rest = nodes.select("node", place.alias("place"))
+    while left > 0:
+        hubs = rest
+        if left > size:
+            if size <= FEW_HUBS:
+                least = rest.orderBy(F.desc("place")).limit(size).agg(F.min("place")).first()[0]
+            else:
+                least = rest.agg(F.percentile_approx("place", 1 - size / left, 10000)).first()[0]
+            hubs, rest = rest.where(F.col("place") >= least), rest.where(F.col("place") < least)
+            left = rest.count()
+        else:
+            left = 0
+        hubs = cut(hubs.select(F.col("node").alias("hub")), "round")
+        # first towards what a hub reaches (labels "into" it), then against the calls
+        new_into = _spread(arcs, hubs, out, into)
+        new_out = _spread(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), hubs, into, out)
+        into, out = cut(into.unionByName(new_into), "into"), cut(out.unionByName(new_out), "out")
+        size *= MORE_HUBS
+    return out.select(F.col("node").alias("component"), "hub"), into.select(F.col("node").alias("component"), "hub")
+
+
+def _spread(arcs: DataFrame, hubs: DataFrame, near: DataFrame, far: DataFrame) -> DataFrame:
+    """``node, hub``: what each hub reaches along ``arcs``, not beyond nodes for which ``near`` and ``far`` (labels of earlier
+    rounds, of the hub and of the node) have a hub in common."""
+    state = hubs.select(F.col("hub").alias("node"), "hub", F.lit(True).alias("new"))
+    own = near.join(hubs.select(F.col("hub").alias("node")), "node", "left_semi").select(F.col("node").alias("hub"), F.col("hub").alias("via"))
+    told = cut(own.join(far.select("node", F.col("hub").alias("via")), "via").select("node", "hub").distinct(), "told")
+    while True:
+        for _ in range(HOPS):
+            sent = state.where("new").join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "hub").distinct().join(told, ["node", "hub"], "left_anti")
+            both = state.select("node", "hub", F.lit(True).alias("known")).unionByName(sent.withColumn("known", F.lit(False)))
+            state = both.groupBy("node", "hub").agg((~F.bool_or("known")).alias("new"))
+        state = cut(state, "spread")
+        if state.where("new").isEmpty():
+            return state.select("node", "hub")
+
+
+def reaches(pairs: DataFrame, components: DataFrame, labels: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The ``pairs`` (``a, b``) of which a reaches b, itself included, answered by ``reachability_labels`` alone."""
+    rows = pairs.select("a", "b").distinct().join(components.toDF("a", "ca"), "a").join(components.toDF("b", "cb"), "b")
+    from_a, to_b = labels[0].toDF("ca", "hub"), labels[1].toDF("cb", "hub")
+    met = rows.where("ca != cb").join(from_a, "ca").join(to_b, ["cb", "hub"], "left_semi").select("a", "b")
+    return rows.where("ca = cb").select("a", "b").unionByName(met.distinct())
+
+
+def reached_among(symbols: DataFrame, components: DataFrame, labels: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``a, b`` of all of the ``symbols`` (``id``) that reach each other, found by their hubs, without trying all pairs."""
+    own = symbols.select("id").distinct().join(components, "id")
+    a, b = own.toDF("a", "component"), own.toDF("b", "component")
+    same = a.join(b, "component").select("a", "b")
+    met = a.join(labels[0], "component").select("a", "hub").join(b.join(labels[1], "component").select("b", "hub"), "hub").select("a", "b")
+    return same.unionByName(met).distinct()
+
+
 def call_cycles(calls: DataFrame, components: DataFrame) -> DataFrame:
     """``component, cycle_type, size, member``: mutual recursion and self-calls, a row for each symbol of a cycle."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")

@@ -108,3 +108,29 @@ def test_beginnings_that_lead_back_are_not_followed(spark):
     one = lambda i: spark.createDataFrame([(i,)], "start long")
     assert [list(x.path) for x in C.call_paths(frame(spark, edges), one(0), 50, one(101), 5).collect()] == [[0, 1, 100, 101]]
     assert C.call_paths(frame(spark, edges), one(0), 50, one(77), 5).collect() == []
+
+
+def test_reachability_by_labels(spark, monkeypatch):
+    monkeypatch.setattr(C, "HUBS", 3)
+    monkeypatch.setattr(C, "MORE_HUBS", 3)
+    r = random.Random(8)
+    edges = sorted({(r.randrange(40), r.randrange(40)) for _ in range(55)})
+    calls, ids = frame(spark, edges), sorted({x for e in edges for x in e})
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += [d for s, d in edges if s == x]
+        return seen
+
+    components = C.cut(C.strong_components(calls), "components")
+    labels = C.reachability_labels(calls, components)
+    want = {(a, b) for a in ids for b in reach(a)}
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids] + [(1000, 1)], "a long, b long")
+    assert {(x.a, x.b) for x in C.reaches(pairs, components, labels).collect()} == want
+    some = {i for i in ids if i % 3 == 0}
+    got = C.reached_among(spark.createDataFrame([(i,) for i in some], "id long"), components, labels).collect()
+    assert sorted((x.a, x.b) for x in got) == sorted((a, b) for a, b in want if a in some and b in some)
+    assert labels[0].count() + labels[1].count() < 2 * len(want)
