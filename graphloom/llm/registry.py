@@ -27,6 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": oracles.CHAT,
     "op7_secret_scan": oracles.SECRETS,
     "op10_substring_dedup": oracles.SUBSTRINGS,
-    "op11_importance_resampling": importance.query,
     "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
