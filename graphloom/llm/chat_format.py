@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graphloom.llm.common import cut
+
 OPEN, CLOSE = "<turn>", "</turn>\n"
 #: Tokens of a window; turns and tokens of its history at most; tokens that a turn's frame takes.
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, FRAME_TOKENS = 512, 2, 128, 4
-#: Turn numbers of one part of a conversation. Parts are laid out apart from each other, so that none is one task's alone.
+#: Turns of one part of a conversation. Parts are laid out apart from each other, so that none is one task's alone.
 PART_TURNS = 1024
+#: Characters of a text by which turns of the same number and role are dealt.
+HEAD_CHARS = 64
 
 
 def escape(c: Column) -> Column:
@@ -41,25 +45,17 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     turn, passes the budget; it stays whole, without history. ``loss_spans`` are [start, end) in code points of
     ``formatted``: the escaped texts of new assistant turns only, each in one window.
 
-    A conversation is laid out part by part: at each multiple of PART_TURNS of the turn's number a new window begins, with
-    the system turn and without history. So one conversation, however long, is no task's alone.
+    A conversation is laid out part by part: after each PART_TURNS turns, counted in their order whatever their numbers
+    are, a new window begins, with the system turn and without history. So one conversation, however long, is no task's alone.
 
     Null role and text are empty; turns sort by turn (null first), role, text; repeated rows are turns of their own; rows
     with a null conv_id are one conversation; an empty table gives none.
     """
-    number = F.greatest(F.lit(-(2**30)), F.least(F.lit(2**30), F.floor(F.col("turn") / PART_TURNS)))
-    base = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("part", F.when(F.col("turn").isNull(), -(2**30) - 1).otherwise(number).cast("long"))
-    # the system turn comes first in every part of its conversation, marked as a head that takes no place
-    firsts = base.groupBy("conv_id").agg(F.min(F.struct("part", "turn", "role")).alias("f")).where("f.role = 'system'").select(F.col("conv_id").alias("c"), F.col("f.part").alias("p"), F.col("f.turn").alias("t"))
-    systems = base.where("role = 'system'").join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & F.col("turn").eqNullSafe(F.col("t")))
-    systems = systems.groupBy("c", "p").agg(F.min("text").alias("text"))
-    parts = base.select("conv_id", "part").distinct()
-    heads = parts.join(systems, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", F.lit(None).cast(base.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"), "text", "part", (F.col("part") == F.col("p")).alias("home"))
-    rows = base.withColumn("home", F.lit(None).cast("boolean")).unionByName(heads).withColumn("head", F.col("home").isNotNull()).withColumn("tok", turn_tokens(F.col("text")))
+    rows = _in_parts(conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    rows = rows.withColumn("tok", turn_tokens(F.col("text")))
     w = W.partitionBy("conv_id", "part").orderBy(F.desc("head"), "turn", "role", "text")
-    rows = rows.select("conv_id", "part", "turn", "role", "text", "head", "tok", F.row_number().over(w).alias("place"), F.first("head").over(w).alias("has_system"), F.coalesce(F.first("home").over(w), F.lit(False)).alias("home"), F.first("text").over(w).alias("text1"), F.first("tok").over(w).alias("tok1"))
-    rows = rows.withColumn("seq", F.col("place") - F.col("has_system").cast("int"))
+    rows = rows.select("conv_id", "part", "turn", "role", "text", "head", "tok", F.row_number().over(w).alias("place"), F.first("head").over(w).alias("headed"), (F.first("role").over(w) == "system").alias("opens"), F.first("text").over(w).alias("text1"), F.first("tok").over(w).alias("tok1"))
+    rows = rows.withColumn("seq", F.col("place") - F.col("headed").cast("int")).withColumn("home", (F.col("part") == 0) & F.col("opens")).withColumn("has_system", F.col("headed") | F.col("home"))
     system = F.col("home") & (F.col("seq") == 1)
     # its tokens are taken off the room of every window, and so count nowhere in the sums that place the others
     rows = rows.withColumn("room", F.lit(budget) - F.when(F.col("has_system"), F.col("tok1")).otherwise(0)).withColumn("own", F.when(F.col("head") | system, 0).otherwise(F.col("tok")))
@@ -106,6 +102,33 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     )
 
 
+def _in_parts(base: DataFrame) -> DataFrame:
+    """The same turns with ``part``, and for each later part of a conversation its system turn once more, as a ``head``.
+
+    Only conversations of over PART_TURNS turns have later parts. Their turns are dealt by ranges of their order, so that a
+    turn's position is its place in a range plus what the ranges before it hold of its conversation.
+    """
+    long = base.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > PART_TURNS).select(F.col("conv_id").alias("c"))
+    long = cut(long, "long")
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    head = F.lit(False).alias("head")
+    if long.isEmpty():
+        return base.select("*", F.lit(0).cast("long").alias("part"), head)
+    order = ["conv_id", "turn", "role", F.left("text", F.lit(HEAD_CHARS))]
+    ranged = cut(base.join(long, same, "left_semi").repartitionByRange(*order).withColumn("p", F.spark_partition_id()), "turns")
+    held = ranged.groupBy("conv_id", "p").agg(F.count("*").alias("n"))
+    before = held.select(F.col("conv_id").alias("c"), F.col("p").alias("q"), F.sum("n").over(W.partitionBy("conv_id").orderBy("p").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    before = F.broadcast(before.where("before > 0"))  # of one conversation at most in each range
+    place = F.row_number().over(W.partitionBy("conv_id", "p").orderBy("turn", "role", "text")) - 1
+    placed = ranged.withColumn("place", place).join(before, same & (F.col("p") == F.col("q")), "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+    placed = cut(placed.select("conv_id", "turn", "role", "text", F.floor(F.col("place") / PART_TURNS).cast("long").alias("part"), (F.col("place") == 0).alias("first")), "placed")
+    systems = placed.where("first and role = 'system'").select(F.col("conv_id").alias("c"), "text")
+    heads = placed.select("conv_id", "part").where("part > 0").distinct().join(systems, same)
+    heads = heads.select("conv_id", F.lit(None).cast(base.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"), "text", "part", F.lit(True).alias("head"))
+    short = base.join(long, same, "left_anti").select("*", F.lit(0).cast("long").alias("part"), head)
+    return short.unionByName(placed.select("conv_id", "turn", "role", "text", "part", head)).unionByName(heads)
+
+
 def read_back(formatted: Column, n_repeated: Column) -> Column:
     """The new turns of a window's text as structs (role, text)."""
     parts = F.split(formatted, CLOSE)

@@ -37,7 +37,9 @@ def digests(text: Column) -> Column:
     """
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{RUN}}}\s*|\s+"), F.lit(0))
     last = lambda w: F.contains(w, F.lit("\n")) | (F.pmod(F.xxhash64(w), F.lit(CUT)) == 0)
-    pieces = F.split(F.array_join(F.transform(words, lambda w: F.when(last(w), F.concat(w, F.lit(_MARK))).otherwise(w)), ""), _MARK)
+    # a text that has the mark itself gets one with its own digest in it, which it can't contain
+    mark = F.when(F.contains(text, F.lit(_MARK)), F.concat(F.lit(_MARK), F.sha2(text, 256))).otherwise(F.lit(_MARK))
+    pieces = F.split(F.array_join(F.transform(words, lambda w: F.when(last(w), F.concat(w, mark)).otherwise(w)), ""), mark)
     return F.array_distinct(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 

@@ -41,10 +41,10 @@ SELECT x.doc_id, {', '.join(f"count(*) FILTER (rank = {k})::BIGINT AS n_{r.kind}
 #: By the layout that ``chat_format.windows`` states, without its text: what each window holds, and how long that is.
 CHAT = rf"""WITH base AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-  t AS (SELECT *, coalesce(floor(turn / {PART_TURNS}), -2^30 - 1)::BIGINT AS part, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\x20\x09-\x0D\p{{L}}\p{{N}}]')) + {FRAME_TOKENS} AS tok,
+  t AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\x20\x09-\x0D\p{{L}}\p{{N}}]')) + {FRAME_TOKENS} AS tok,
     {len(OPEN) + len(CLOSE) + 1} + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS size FROM base),
   o AS (SELECT *, row_number() OVER w AS place, first(role) OVER w = 'system' AS sys, first(tok) OVER w AS tok1, first(size) OVER w AS size1 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  r AS (SELECT *, sys AND place = 1 AS head, {BUDGET} - CASE WHEN sys THEN tok1 ELSE 0 END AS room, CASE WHEN sys AND place = 1 THEN 0 ELSE tok END AS own FROM o),
+  r AS (SELECT *, (place - 1) // {PART_TURNS} AS part, sys AND place = 1 AS head, {BUDGET} - CASE WHEN sys THEN tok1 ELSE 0 END AS room, CASE WHEN sys AND place = 1 THEN 0 ELSE tok END AS own FROM o),
   q AS (SELECT *, row_number() OVER w AS seq, coalesce(sum(own) OVER (PARTITION BY conv_id, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM r WINDOW w AS (PARTITION BY conv_id, part ORDER BY place)),
   c AS (SELECT *, floor(pre / stride)::BIGINT AS cell FROM (SELECT *, greatest(1, floor(room / 2))::BIGINT AS stride FROM q)),
   v AS (SELECT *, 2 * cell + CASE WHEN sum(own) OVER (PARTITION BY conv_id, part, cell) > room AND pre + own > (cell + 1) * stride THEN 1 ELSE 0 END AS win FROM c),

@@ -87,7 +87,9 @@ def test_parts_are_laid_out_apart(spark, monkeypatch, tmp_path):
     own = [w for w in got if w.conv_id == 1]
     assert all(w.formatted.startswith("<turn>system\n") for w in own) and not any(w.conv_id == 2 and "system" in w.formatted for w in got)
     opens = [w for k, w in enumerate(own) if k == 0 or w.window >> 32 != own[k - 1].window >> 32]
-    assert len(opens) == 12 and [w.n_repeated for w in opens] == [0] + [1] * 11
+    assert sum(w.formatted.count(m.OPEN) - w.n_repeated for w in own) == sum(c == 1 for c, *_ in data)
+    parts = -(-sum(c == 1 for c, *_ in data) // 7)
+    assert len(opens) == parts and [w.n_repeated for w in opens] == [0] + [1] * (parts - 1)
     assert all(w.n_tokens <= m.BUDGET for w in own)
     spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
     said = r"\### Assistant: </turn> ok"
@@ -95,5 +97,19 @@ def test_parts_are_laid_out_apart(spark, monkeypatch, tmp_path):
     assert {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in m.query(spark, str(tmp_path)).collect()} == want
 
 
+def test_parts_follow_positions_whatever_the_numbers(spark, monkeypatch):
+    """Turn numbers far apart, null or all the same give the windows that dense numbers give."""
+    monkeypatch.setattr(m, "PART_TURNS", 16)
+    for size in (14, 50):
+        numbers = {1: lambda t: t, 2: lambda t: 2000 * t, 3: lambda t: 5, 4: lambda t: None, None: lambda t: t - 10**12}
+        data = [(c, f(t), "system" if t == 0 else "user", f"{'A' if t == 0 else 'w'}{t:03} " * 30) for c, f in numbers.items() for t in range(size)]
+        data = [(c, n, "system" if c not in (1, 2, None) else r, x) for c, n, r, x in data]
+        got = {}
+        for w in m.windows(spark.createDataFrame(data, SCHEMA)).orderBy("window").collect():
+            got.setdefault(w.conv_id, []).append((w.formatted.replace("system", "user"), w.n_repeated, w.n_tokens))
+        assert len(got) == 5 and all(v == got[1] for v in got.values())
+        assert sum(n for _, n, _ in got[1]) > len(got[1])
+
+
 def test_empty(spark):
     assert m.windows(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -83,6 +83,11 @@ def likeness(spark, pairs):
     return [x.out for x in m.compare(df, "a", "b", "ca", "cb", "out").orderBy("k").collect()]
 
 
+def test_control_characters_count(spark):
+    pairs = [("x\n\x01y", "x\ny"), ("x\x01\nq\n\x01y\x01", "x\x01\nq\n\x01y\x01"), ("a\nb\x01\x01", "a\nb\x01"), ("a\n\x01", "a\n\x02"), ("a\nb\n\x01", "a\nb\n")]
+    assert np.allclose(likeness(spark, pairs), [like(a, b) for a, b in pairs])
+
+
 def test_an_insertion_costs_one_piece(spark):
     r = np.random.default_rng(5)
     line = " ".join("".join(r.choice(list("abcdefgh"), int(r.integers(2, 9)))) for _ in range(2000))
