@@ -39,7 +39,8 @@ def digests(text: Column) -> Column:
     last = lambda w: F.contains(w, F.lit("\n")) | (F.pmod(F.xxhash64(w), F.lit(CUT)) == 0)
     # a text that has the mark itself gets one with its own digest in it, which it can't contain
     mark = F.when(F.contains(text, F.lit(_MARK)), F.concat(F.lit(_MARK), F.sha2(text, 256))).otherwise(F.lit(_MARK))
-    pieces = F.split(F.array_join(F.transform(words, lambda w: F.when(last(w), F.concat(w, mark)).otherwise(w)), ""), mark)
+    cut_by = lambda k: F.split(F.array_join(F.transform(words, lambda w: F.when(last(w), F.concat(w, k)).otherwise(w)), ""), k)
+    pieces = F.transform(F.array(mark), cut_by)[0]  # as a variable it is made once, not for every word
     return F.array_distinct(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
