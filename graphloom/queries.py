@@ -16,6 +16,7 @@ from graphloom.operators import flow as O
 from graphloom.plans.limits import DEFAULT, QUICK
 from graphloom.plans.shared import cut, shared_path
 from graphloom.sources import flows as S
+from graphloom.sources import trees as T
 from graphloom.sources.path_store import PathStore
 
 #: The older snapshot keeps lines shipped before this day.
@@ -949,3 +950,56 @@ def hotspots_without_calls(spark, d):
     calls, flow = S.part_calls(spark, d), _g1_fold(spark, d)
     inter = C.hotspots(calls, C.symbols_of(calls).select("id", F.col("id").alias("component")), C.call_paths(calls, calls.agg(F.lit(-1).cast("long").alias("start")), ENTRY_DEPTH))
     return _longs(C.hotspots_or(inter, O.hotspots(O.enumerate_paths(flow, QUICK, dead_ends=False), flow)))
+
+
+# --- statement trees --------------------------------------------------------------------------------------------
+
+#: Statements in the order they are written (o), where control goes from each, blocks that begin at heads, the end's block.
+TREES = f"""tv AS (SELECT user_id * 100000 + rn // {T.TREE_EVENTS} AS f, rn % {T.TREE_EVENTS} AS p, event_type AS e, event_id,
+      count(*) OVER (PARTITION BY user_id, rn // {T.TREE_EVENTS}) AS n
+     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events)),
+    tn AS (SELECT f, p, n, 2 * p + 2 < n AS full, CASE WHEN p >= 2 THEN p // 2 - 1 END AS parent,
+      CASE WHEN e = 'click' THEN 'if' WHEN e = 'signup' THEN 'loop' WHEN e = 'purchase' THEN CASE WHEN 2 * p + 2 < n THEN 'loop' ELSE 'return' END
+        WHEN e = 'error' AND 2 * p + 2 >= n THEN CASE WHEN event_id % 2 = 1 THEN 'continue' ELSE 'break' END ELSE 'plain' END AS k FROM tv),
+    tr(f, p, n, k, after, loop, past, key) AS (
+      SELECT f, p, n, k, CASE WHEN p = 0 AND n > 1 THEN 1::BIGINT END, NULL::BIGINT, NULL::BIGINT, lpad(p::VARCHAR, 2, '0') FROM tn WHERE parent IS NULL
+      UNION ALL SELECT x.f, x.p, x.n, x.k,
+        CASE WHEN t.k = 'if' THEN t.after WHEN x.p % 2 = 0 AND x.p + 1 < x.n THEN x.p + 1 WHEN t.k = 'loop' THEN t.p ELSE t.after END,
+        CASE WHEN t.k = 'loop' THEN t.p ELSE t.loop END, CASE WHEN t.k = 'loop' THEN t.after ELSE t.past END, t.key || lpad(x.p::VARCHAR, 2, '0')
+      FROM tr t JOIN tn x ON x.f = t.f AND x.parent = t.p),
+    ts AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY key) - 1 AS o, lead(p) OVER (PARTITION BY f ORDER BY key) AS following FROM tr),
+    tx AS (SELECT f, p, k, following, CASE WHEN k != 'plain' THEN 'b' ELSE 'p' END AS way,
+        unnest(CASE k WHEN 'if' THEN [{{'to': CASE WHEN 2 * p + 2 < n THEN 2 * p + 2 ELSE after END, 't': 'TrueBranch'}}, {{'to': CASE WHEN 2 * p + 3 < n THEN 2 * p + 3 ELSE after END, 't': 'FalseBranch'}}]
+          WHEN 'loop' THEN [CASE WHEN 2 * p + 2 < n THEN {{'to': 2 * p + 2, 't': 'TrueBranch'}} ELSE {{'to': p, 't': 'LoopBack'}} END, {{'to': after, 't': 'LoopExit'}}]
+          WHEN 'break' THEN CASE WHEN loop IS NULL THEN [] ELSE [{{'to': past, 't': 'LoopExit'}}] END
+          WHEN 'continue' THEN CASE WHEN loop IS NULL THEN [] ELSE [{{'to': loop, 't': 'LoopBack'}}] END
+          WHEN 'return' THEN []
+          ELSE [CASE WHEN 2 * p + 2 < n THEN {{'to': 2 * p + 2, 't': 'Fallthrough'}} ELSE {{'to': after, 't': CASE WHEN after = loop THEN 'LoopBack' ELSE 'Fallthrough' END}} END] END, recursive := true) FROM ts),
+    th AS (SELECT f, p FROM ts WHERE o = 0 OR k = 'loop' UNION SELECT f, following FROM ts WHERE k != 'plain' UNION SELECT f, "to" FROM tx WHERE way = 'b' OR "to" IS DISTINCT FROM following),
+    tb AS (SELECT ts.f, ts.p, ts.o, ts.k, (th.p IS NOT NULL) AS head, sum((th.p IS NOT NULL)::INT) OVER (PARTITION BY ts.f ORDER BY ts.o) - 1 AS b,
+      coalesce(lead(th.p IS NOT NULL) OVER (PARTITION BY ts.f ORDER BY ts.o), true) AS last FROM ts LEFT JOIN th ON th.f = ts.f AND th.p = ts.p),
+    tz AS (SELECT f, max(b) + 1 AS b FROM tb WHERE f IN (SELECT f FROM tx WHERE way = 'b' AND "to" IS NULL) GROUP BY f),
+    te AS (SELECT tx.f, a.b AS src, coalesce(c.b, tz.b) AS dst, tx.t FROM tx JOIN tb a ON a.f = tx.f AND a.p = tx.p AND a.last
+      LEFT JOIN tb c ON c.f = tx.f AND c.p = tx."to" LEFT JOIN tz ON tz.f = tx.f AND tx."to" IS NULL WHERE coalesce(c.b, tz.b) IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {TREES} SELECT f AS function_id, src::INT AS src, dst::INT AS dst, t AS edge_type FROM te""")
+def tree_edges(spark, d):
+    """Edges of the flow graphs of statement trees."""
+    return T.flows_of_trees(T.event_trees(spark, d))[1]
+
+
+@query(f"""WITH RECURSIVE {TREES}, n AS (SELECT f, b, count(*) AS n FROM tb GROUP BY 1, 2 UNION ALL SELECT f, b, 0 FROM tz), x AS (SELECT f, src, count(*) AS out FROM te GROUP BY 1, 2)
+    SELECT n.f AS function_id, n.b::INT AS block_id, CASE WHEN b = 0 THEN 'Entry' WHEN out IS NULL THEN 'Exit' ELSE 'Normal' END AS kind,
+      CASE WHEN out > 1 THEN 'SwitchInt' WHEN out = 1 THEN 'Goto' ELSE 'Return' END AS tag, n::INT AS statements FROM n LEFT JOIN x ON x.f = n.f AND x.src = n.b""")
+def tree_blocks(spark, d):
+    """Blocks of the flow graphs of statement trees, with how many statements each has."""
+    blocks = T.flows_of_trees(T.event_trees(spark, d))[0]
+    return blocks.select("function_id", "block_id", "kind", "tag", F.size("statements").alias("statements"))
+
+
+@query(f"""WITH RECURSIVE {TREES}, r(f, b) AS (SELECT DISTINCT f, 0::HUGEINT FROM tb UNION SELECT te.f, te.dst FROM te JOIN r ON r.f = te.f AND r.b = te.src)
+    SELECT f AS function_id, b::INT AS block_id FROM (SELECT f, b FROM tb UNION SELECT f, b FROM tz) WHERE (f, b) NOT IN (SELECT f, b FROM r)""")
+def tree_dead_blocks(spark, d):
+    """Blocks of statement trees that can't run: what stands after a return, a break or a continue."""
+    return O.unreachable(O.fold(*T.flows_of_trees(T.event_trees(spark, d)))).select("function_id", F.col("block_id").cast("int").alias("block_id"))
