@@ -286,3 +286,62 @@ def all_walks(df: DataFrame, limits: Limits, dead_ends: bool, keep: list[str]) -
 def with_forest(headed: DataFrame) -> DataFrame:
     """``headed`` (with ``dom`` and ``back``) and ``forest``."""
     return with_column(headed.withColumn("depth", F.col("dom.depth")), "forest", FOREST, _FOREST, ["n", "succ", "pred", "depth", "back"], loop_forest)
+
+
+def components(succ: dict) -> Iterator[list]:
+    """Strong components of a graph given by what each node leads to, by one depth-first search."""
+    number: dict = {}
+    low: dict = {}
+    open_, waiting = [], set()
+    for root in succ:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        waiting.add(root)
+        stack = [(root, iter(succ[root]))]
+        while stack:
+            node, rest = stack[-1]
+            for x in rest:
+                if x not in number:
+                    number[x] = low[x] = len(number)
+                    open_.append(x)
+                    waiting.add(x)
+                    stack.append((x, iter(succ.get(x, ()))))
+                    break
+                if x in waiting:
+                    low[node] = min(low[node], number[x])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    found = [open_.pop()]
+                    while found[-1] != node:
+                        found.append(open_.pop())
+                    waiting.difference_update(found)
+                    yield found
+
+
+def strong_components(arcs: DataFrame) -> DataFrame:
+    """``id, member`` for the ends of ``arcs`` (``src, dst``): the least member of the component, in whatever order they come.
+
+    One task holds all arcs; the caller has counted them.
+    """
+    kind = arcs.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        succ: dict = {}
+        arrow = pa.int64()
+        for b in batches:
+            arrow = b.column(0).type
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                succ.setdefault(x, []).append(y)
+        for x in [y for to in succ.values() for y in to]:
+            succ.setdefault(x, [])
+        rows = [(x, least) for found in components(succ) for least in [min(found)] for x in found]
+        for at in range(0, len(rows), CHUNK):
+            ids, members = zip(*rows[at : at + CHUNK])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(members, arrow)], ["id", "member"])
+
+    return arcs.select("src", "dst").coalesce(1).mapInArrow(run, f"id {kind}, member {kind}")

@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import kernels as K
 from graphloom.plans.shared import cut
 
 #: Steps of a fixpoint that one job takes before its result is written.
 HOPS = 3
+#: Calls whose strong components one task finds at once; more are settled in rounds of joins.
+FEW_CALLS = 500_000
 
 
 def reversed_calls(calls: DataFrame) -> DataFrame:
@@ -77,12 +80,13 @@ def _contracted(arcs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Arcs without the ends and the insides of chains, and for each round what it took out: ``id, before, after``.
 
     A round drops symbols that nothing calls or that call nothing, and of those with one caller and one callee all whose
-    hash is less than such neighbours' have: their two arcs become one. So chains, however long, take few rounds.
+    hash is less than such neighbours' have: their two arcs become one. So chains, however long, take few rounds. It ends
+    where FEW_CALLS are left, or where a round takes out little.
     """
     taken: list[DataFrame] = []
     arcs = cut(arcs, "arcs")
     n = arcs.count()
-    while n:
+    while n > FEW_CALLS:
         ends = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
         degree = arcs.select(F.inline(ends)).groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
         s, d = degree.toDF("src", "so", "si"), degree.toDF("dst", "do", "di")
@@ -105,7 +109,8 @@ def _contracted(arcs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def strong_components(calls: DataFrame) -> DataFrame:
     """``id, component`` (smallest member) for every symbol of a call.
 
-    Chains are contracted first. Of what is left each round finds for every symbol the least label that reaches it and the
+    Calls are counted first, and as soon as no more than FEW_CALLS are left, one task settles them. Until then chains are
+    contracted, and of what is left each round finds for every symbol the least label that reaches it and the
     least that it reaches (labels are hashes, so that no order of ids makes rounds many). Where both are the same, that
     symbol's component is found; calls between symbols of unlike pairs of labels lie in no cycle and are left out of the
     next round, in which every class of equal pairs finds at least the component of its least label. A contracted symbol is
@@ -115,7 +120,10 @@ def strong_components(calls: DataFrame) -> DataFrame:
     rest, taken = _contracted(calls.where("caller != callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct())
     label = lambda c: F.xxhash64(c)
     done: list[DataFrame] = [ids.where("false").select("id", label("id").alias("label"))]
-    while not rest.isEmpty():
+    while left := rest.count():
+        if left <= FEW_CALLS:
+            done.append(K.strong_components(rest).select("id", label("member").alias("label")))
+            break
         ways = F.array(F.struct("src", "dst", F.lit(0).alias("way")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("way")))
         arcs = cut(rest.select(F.inline(ways)), "arcs")
         start = arcs.select(F.col("src").alias("id")).distinct().select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), label("id").alias("label"))

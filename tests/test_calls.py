@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from graphloom.operators import calls as C
 
 
@@ -7,7 +9,9 @@ def frame(spark, edges):
     return spark.createDataFrame(edges, "caller long, callee long")
 
 
-def test_components_and_cycles(spark):
+@pytest.mark.parametrize("few", [0, 2, 500_000])
+def test_components_and_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW_CALLS", few)
     g = frame(spark, [(1, 2), (2, 1), (2, 3), (3, 3), (3, 4), (5, 4)])
     comp = C.strong_components(g)
     assert {(r.id, r.component) for r in comp.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
@@ -18,7 +22,9 @@ def test_components_and_cycles(spark):
     assert {tuple(r.path) for r in C.call_paths(g, start).collect()} == {(1, 2, 3, 4)}
 
 
-def test_random_components(spark):
+@pytest.mark.parametrize("few", [0, 20, 500_000])
+def test_random_components(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW_CALLS", few)
     r = random.Random(1)
     edges = sorted({(r.randrange(25), r.randrange(25)) for _ in range(45)})
 
