@@ -1,44 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components (``graphloom.operators.components``)."""
 
-from __future__ import annotations
+from graphloom.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from graphloom.llm.common import cut
-
-
-def _large(e: DataFrame) -> DataFrame:
-    both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-
-
-def _small(e: DataFrame) -> DataFrame:
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b")))
-
-
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``(a, b)`` long edges -> ``(node, component)`` for every node that has an edge to another node.
-
-    ``component`` is the smallest node reachable. Rounds grow with the logarithm of the longest chain; each round's
-    edges (never more than the links) are written to the shared folder. Hubs only meet in joins that AQE can split.
-    Self-loops and nulls are dropped; an empty table gives an empty table.
-    """
-    e = edges.where("a is not null and b is not null and a != b")
-    e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e, "edges")
-    was = _state(e)
-    while was[0]:
-        e = cut(_small(_large(e).distinct()).distinct(), "edges")
-        now = _state(e)
-        if now == was:
-            break
-        was = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+__all__ = ["components"]

@@ -140,3 +140,19 @@ def test_reachability_by_labels(spark, monkeypatch):
     got = C.reached_among(spark.createDataFrame([(i,) for i in some], "id long"), components, labels).collect()
     assert sorted((x.a, x.b) for x in got) == sorted((a, b) for a, b in want if a in some and b in some)
     assert labels[0].count() + labels[1].count() < 2 * len(want)
+
+
+def test_small_weak_components_take_no_rounds(spark, monkeypatch):
+    """Chains of 60 symbols: labels of a chain need no round for each symbol, in one task or in several."""
+    edges = [(100 * c + k, 100 * c + k + 1) for c in range(3) for k in range(60)] + [(0, 50), (160, 160)]
+    calls, written, cut = frame(spark, edges), [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, name="step": written.append(name) or cut(df, name))
+    for few in (500_000, 70):
+        monkeypatch.setattr(C, "FEW_CALLS", few)
+        monkeypatch.setattr(C, "DEAL", 70)
+        components = cut(C.strong_components(calls), "components")
+        written.clear()
+        labels = C.reachability_labels(calls, components)
+        assert len(written) < 10
+        got = C.reached_among(spark.createDataFrame([(0,), (30,), (60,), (110,), (130,), (150,)], "id long"), components, labels).collect()
+        assert sorted((x.a, x.b) for x in got) == sorted((a, b) for g in ((0, 30, 60), (110, 130, 150)) for a in g for b in g if a <= b)
