@@ -156,3 +156,14 @@ def test_small_weak_components_take_no_rounds(spark, monkeypatch):
         assert len(written) < 10
         got = C.reached_among(spark.createDataFrame([(0,), (30,), (60,), (110,), (130,), (150,)], "id long"), components, labels).collect()
         assert sorted((x.a, x.b) for x in got) == sorted((a, b) for g in ((0, 30, 60), (110, 130, 150)) for a in g for b in g if a <= b)
+
+
+@pytest.mark.parametrize("name", ["blast_zone", "blast_zone_of_paths"])
+def test_blast_zones_fold_only_what_is_asked_for(spark, monkeypatch, name):
+    from graphloom import queries as Q
+
+    folded, fold = [], Q.O.fold_stored
+    monkeypatch.setattr(Q.O, "fold_stored", lambda blocks: folded.append(blocks) or fold(blocks))
+    Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    ids = {r.function_id for b in folded for r in b.select("function_id").distinct().collect()}
+    assert len(ids) == 1 if name == "blast_zone" else ids and all(i % 100 == 0 for i in ids)
