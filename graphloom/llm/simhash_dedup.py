@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,12 @@ from graphloom.plans.shared import only
 FANOUT, GROUP_LIMIT, CHUNK = 8, 4096, 8192
 #: After so many splits a group has at most 14 free bits, so at most 2**14 distinct fingerprints.
 LEVELS = 4
-#: Near copies of a corpus: words of a shingle; least similarity, as a fraction; bands and minima of each; shingles of the
-#: texts that one task compares with as many others.
-NEAR_WIDTH, NEAR_NUM, NEAR_DEN, BANDS, ROWS, BLOCK_VALUES = 5, 4, 5, 32, 5, 1 << 20
+#: Near copies of a corpus: words of a shingle; least similarity, as a fraction; shingles of the texts that one task compares
+#: with as many others.
+NEAR_WIDTH, NEAR_NUM, NEAR_DEN, BLOCK_VALUES = 5, 4, 5, 1 << 20
+#: Their fingerprints: differing bits at most, texts in a group on average, and the chance that a pair of least similarity is
+#: near in none of the fingerprints.
+NEAR_RADIUS, NEAR_GROUP, NEAR_MISS = 11, 256, 1e-6
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -91,8 +95,8 @@ class GrayTree:
         self.own = [m & ~np.repeat(up, FANOUT)[: len(m)] for m, up in zip(self.masks, self.masks[1:], strict=False)] + [self.masks[-1]]
         self.n = n
 
-    def pairs(self, radius: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, j), i < j, at ``radius`` or fewer differing bits, block of queries by block."""
+    def pairs(self, radius: int, block: int = 1024, same: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j), i < j, at ``radius`` or fewer differing bits, none of them in ``same``, block of queries by block."""
         values, top = self.pats[0], len(self.pats) - 1
         for lo in range(0, self.n, block):
             q = np.arange(lo, min(lo + block, self.n))
@@ -105,8 +109,11 @@ class GrayTree:
                     q, seen = np.repeat(q, FANOUT), np.repeat(seen, FANOUT)
                     inside = node < len(self.pats[level])
                     node, q, seen = node[inside], q[inside], seen[inside]
-                seen = seen + np.bitwise_count((values[q] ^ self.pats[level][node]) & self.own[level][node])
+                differ = (values[q] ^ self.pats[level][node]) & self.own[level][node]
+                seen = seen + np.bitwise_count(differ)
                 keep = (seen <= radius) & ((node + 1) * self.spans[level] > q + 1)
+                if same:
+                    keep &= differ & np.uint64(same) == 0
                 node, q, seen = node[keep], q[keep], seen[keep]
             yield q, node
 
@@ -241,19 +248,50 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * NEAR_DEN >= NEAR_NUM * (len(a) + len(b) - both)
 
 
-_SALTS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
+def near_plan(n: int) -> tuple[int, int]:
+    """For ``n`` texts: by how many leading bits a fingerprint's groups are formed, and how many fingerprints each text has.
 
-
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """For each band a key of its ROWS minima over the shingles; two sets share it with chance similarity ** ROWS."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    Two sets of similarity s have a cosine of 2s / (1 + s), and a bit of their fingerprints differs with a chance of the angle
+    over pi. A fingerprint finds them if the leading bits agree and at most NEAR_RADIUS others differ.
+    """
+    bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / NEAR_GROUP))))
+    p = math.acos(2 * NEAR_NUM / (NEAR_NUM + NEAR_DEN)) / math.pi
+    found = (1 - p) ** bits * sum(math.comb(64 - bits, k) * p**k * (1 - p) ** (64 - bits - k) for k in range(NEAR_RADIUS + 1))
+    return bits, math.ceil(math.log(NEAR_MISS) / math.log1p(-found))
+
+
+_SALTS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, (2, 4096), dtype=np.uint64)
+
+
+def _bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows have each bit of their words, in the order of the bits: full adders on whole words."""
+    out, level, shift = np.zeros(rows.shape[1] * 64, np.int64), rows, 0
+    while len(level):
+        carries = []
+        while (third := len(level) // 3) or len(level) == 2:
+            if third:
+                a, b, c = level[:third], level[third : 2 * third], level[2 * third : 3 * third]
+                either = a ^ b
+                carries.append((a & b) | (c & either))
+                level = np.concatenate([either ^ c, level[3 * third :]])
+            else:
+                carries.append(level[:1] & level[1:])
+                level = level[:1] ^ level[1:]
+        out += np.unpackbits(level[0].astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << shift
+        level, shift = np.concatenate(carries) if carries else level[:0], shift + 1
+    return out
+
+
+def near_prints(shingles: np.ndarray, tables: int) -> np.ndarray:
+    """SimHash fingerprints of 64 bits, one for each of as many hashes of the shingles; a bit as in ``simhash``."""
+    ones = np.zeros(64 * tables, np.int64)
     for at in range(0, len(shingles), 1024):
-        part = (shingles[at : at + 1024, None] ^ _SALTS[0]) * (_SALTS[1] | np.uint64(1))
-        np.minimum(low, part.min(axis=0), out=low)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        key = mix(key, low[k::ROWS])
-    return key.view(np.int64).tolist()
+        h = (shingles[at : at + 1024, None] ^ _SALTS[0, :tables]) * (_SALTS[1, :tables] | np.uint64(1))
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        ones += _bit_counts(h)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8")
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -278,11 +316,74 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Reco
             yield b.slice(at, rows)
 
 
-def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_batches(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches):
+            sets = [shingle_set(t) for t in utf8(b)]
+            prints = pa.array([near_prints(s, tables).tobytes() if len(s) else b"" for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), prints], ["doc_id", "node", "n", "prints"])
+
+    return run
+
+
+def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each fingerprint of a text, and which of them it is."""
     for b in _few(batches):
-        sets = [shingle_set(t) for t in utf8(b)]
-        keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "node", "n", "keys"])
+        some = [(node, np.frombuffer(x, "<i8")) for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x]
+        if some:
+            v = np.stack([x for _, x in some])
+            place = np.tile(np.arange(v.shape[1], dtype=np.int32), len(v))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(v.ravel()), pa.array(np.repeat([node for node, _ in some], v.shape[1]))], ["place", "v", "node"])
+
+
+def _class_batches(bits: int):
+    """Rows sorted by ``place`` and Gray rank -> ``key, node`` of those that a search of their group links to others.
+
+    A group is what shares ``place`` and the leading ``bits``. One of over GROUP_LIMIT texts is not searched: all of it is one
+    class. So no link is lost, and no task holds such a group or compares its pairs.
+    """
+    same = ((1 << bits) - 1) << (64 - bits)
+
+    def keyed(root: np.ndarray, place: int) -> np.ndarray:
+        return mix(root.view(np.uint64), np.full(len(root), place, np.uint64)).view(np.int64)
+
+    def classes(v: list[np.ndarray], node: list[np.ndarray], place: int) -> pa.RecordBatch:
+        v_, node_ = np.concatenate(v), np.concatenate(node)
+        label = np.arange(len(v_))
+        for i, j in GrayTree(v_).pairs(NEAR_RADIUS, same=same):
+            label = join_labels(label, i, j)
+        at = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        return pa.RecordBatch.from_arrays([pa.array(keyed(node_[label[at]], place)), pa.array(node_[at])], ["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, held = ([], []), 0  # whole groups
+        group, size, last, hot = ([], []), 0, None, None
+        for b in batches:
+            place, v, node = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            head = v >> np.uint64(64 - bits)
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]) | (head[1:] != head[:-1])) + 1).tolist(), len(v)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if (own := (int(place[lo]), int(head[lo]))) != last:
+                    ready[0].extend(group[0]), ready[1].extend(group[1])
+                    held += size
+                    group, size, hot = ([], []), 0, None
+                    if held and (own[0] != last[0] or held >= CHUNK):  # no tree has rows of two places
+                        yield classes(*ready, last[0])
+                        ready, held = ([], []), 0
+                    last = own
+                group[0].append(v[lo:hi]), group[1].append(node[lo:hi])
+                size += hi - lo
+                if size > GROUP_LIMIT or hot is not None:
+                    nodes = np.concatenate(group[1])
+                    hot = int(nodes[0]) if hot is None else hot
+                    yield pa.RecordBatch.from_arrays([pa.array(keyed(np.full(len(nodes), hot), own[0])), pa.array(nodes)], ["key", "node"])
+                    group, size = ([], []), 0
+        if held + size:
+            yield classes(ready[0] + group[0], ready[1] + group[1], last[0])
+
+    return run
 
 
 def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,14 +461,16 @@ def _rest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(held)
 
 
-def _hubs(nodes: DataFrame) -> DataFrame:
-    """``node, hub``: for each key that nodes share the one of them that shares most keys with most nodes.
+def _hubs(rows: DataFrame, bits: int) -> DataFrame:
+    """``node, hub``: for each class of a fingerprint's index the one of its nodes that shares most classes with most nodes.
 
-    Two nodes that share a key have its hub in common.
+    Two nodes in a class have its hub in common.
     """
-    dealt = nodes.select(F.explode("keys").alias("key"), "node")
-    many = cut(dealt.withColumn("c", F.count("*").over(W.partitionBy("key"))).where("c > 1"), "keys")
-    weight = many.groupBy("node").agg(F.sum("c").alias("weight"))
+    dealt = rows.select("node", "prints").mapInArrow(_print_batches, "place int, v long, node long")
+    dealt = dealt.repartition("place", F.shiftrightunsigned("v", 64 - bits)).sortWithinPartitions("place", _gray("v"))
+    many = cut(dealt.mapInArrow(_class_batches(bits), "key long, node long").distinct(), "keys")
+    c = many.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    weight = many.join(c, "key").groupBy("node").agg(F.sum("c").alias("weight"))
     hub = many.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
     return cut(many.join(hub, "key").where("node != hub").select("node", "hub").distinct(), "hubs")
 
@@ -397,16 +500,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` (smallest doc_id linked to it), one row per input row with a doc_id.
 
     Two texts are linked if their sets of NEAR_WIDTH-word shingles are alike (``alike``, on the sets' hashes of 48 bits). Texts
-    to compare share one of BANDS keys of ROWS minima: a pair at 0.8 shares none with a chance of 3 in a million, more
-    alike ones more seldom still. Equal sets, as those of null and blank texts, collapse to one node. Each node is
-    compared with the hubs of its keys; only those that are in another class than a hub then meet all others of that
+    to compare are near in one of their SimHash fingerprints, found by the Gray-order index of each (``near_plan``: a
+    pair at 0.8 is near in none with a chance of NEAR_MISS, more
+    alike ones more seldom still). Equal sets, as those of null and blank texts, collapse to one node. Each node is
+    compared with the hubs of its classes; only those that are in another class than a hub then meet all others of that
     hub, block by block. So no group sends its pairs, and of a large group of near copies few are compared with all.
     """
     view = doc_view(docs).where("doc_id is not null")
-    rows = cut(view.mapInArrow(_near_batches, "doc_id long, node long, n long, keys array<long>"), "near")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = cut(nodes, "nodes")
-    hubs = _hubs(nodes)
+    bits, tables = near_plan(view.count())
+    rows = cut(view.mapInArrow(_near_batches(tables), "doc_id long, node long, n long, prints binary"), "near")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes")
+    hubs = _hubs(rows, bits)
     asked = hubs.select("node").union(hubs.select("hub")).distinct()
     packed = view.mapInArrow(_packed_batches, "doc_id long, text binary")
     texts = packed.join(nodes.join(asked, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")

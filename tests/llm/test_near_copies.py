@@ -85,3 +85,28 @@ def test_unlike_texts_stay_whatever_their_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (1, b), (3, c), (4, "")], key=str)
     only_null = [(None, a), (None, b), (None, a)]
     assert sorted(r.text for r in m.keep_one(spark.createDataFrame(only_null, "doc_id long, text string")).collect()) == [a, b]
+
+
+def test_copies_are_found_by_simhash_fingerprints(spark, monkeypatch):
+    """Fingerprints bit by bit; where the Gray-order index finds nothing, no near copy is found, and a full group loses none."""
+    sets = m.shingle_set(" ".join(f"w{k}" for k in range(2500)).encode())
+    h = (sets[:, None] ^ m._SALTS[0, :3]) * (m._SALTS[1, :3] | np.uint64(1))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    want = [sum(1 << b for b in range(64) if 2 * int((h[:, t] >> np.uint64(b) & np.uint64(1)).sum()) > len(sets)) for t in range(3)]
+    assert m.near_prints(sets, 3).tolist() == want
+    w = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join([*w[: 9 * k], "other", *w[9 * k + 1 :]])) for k in range(12)] + [(50 + k, f"text {k} of no relation at {k} all {k}") for k in range(9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(m, "GROUP_LIMIT", 2)
+    assert m.keep_one(d).count() == 10
+    monkeypatch.undo()
+    monkeypatch.setattr(m.GrayTree, "pairs", lambda *_, **__: iter([]))
+    got = list(m._class_batches(4)(iter([])))
+    assert got == [] and m.near_plan(235_000)[0] == 10 and m.near_plan(15_000_000)[1] > m.near_plan(235_000)[1]
+    v = np.sort(np.arange(3, dtype=np.int64) << 40)
+    batch = m.pa.RecordBatch.from_arrays([m.pa.array([0, 0, 0], m.pa.int32()), m.pa.array(v), m.pa.array([7, 8, 9])], ["place", "v", "node"])
+    assert [b.num_rows for b in m._class_batches(4)(iter([batch]))] == [0]
+    monkeypatch.undo()
+    assert [b.num_rows for b in m._class_batches(4)(iter([batch]))] == [3]
