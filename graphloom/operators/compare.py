@@ -69,25 +69,32 @@ def cached_paths(elements: DataFrame) -> DataFrame:
     return rows.select(KEY, "path_id", "path_kind", F.col("blocks")[0].alias("entry"), F.element_at("blocks", -1).alias("exit"), "blocks")
 
 
-def icfg(blocks: DataFrame, edges: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the supergraph of all functions within ``depth`` calls of the entries (``function_id``).
-
-    Every function gets an entry (-1) and an exit (-2) node. Each call block leads to every callee inside the depth, and
-    those callees' exits back to the block after it.
-    """
+def called_within(calls: DataFrame, entries: DataFrame, depth: int = 3) -> DataFrame:
+    """``function_id`` of all functions within ``depth`` calls of the entries, written."""
     found = entries.select(KEY).distinct()
     for _ in range(depth):
         step = calls.join(found.withColumnRenamed(KEY, "caller"), "caller").select(F.col("callee").alias(KEY))
         found = found.union(step).distinct()
-    found = cut(found, "found")
-    own = blocks.join(found, KEY, "left_semi")
+    return cut(found, "found")
+
+
+def icfg(blocks: DataFrame, edges: DataFrame, calls: DataFrame, entries: DataFrame, depth: int = 3, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the supergraph of all functions within ``depth`` calls of the entries (``function_id``).
+
+    Every function gets an entry (-1) and an exit (-2) node. Each call block leads to every callee inside the depth, and
+    those callees' exits back to the block after it. Where ``found`` (``called_within``) is given, blocks and edges are those of
+    these functions alone.
+    """
+    if whole := found is None:
+        found = called_within(calls, entries, depth)
+    own = blocks.join(found, KEY, "left_semi") if whole else blocks
     marks = own.select(KEY).distinct().select(KEY, F.inline(F.array(F.struct(F.lit(-1).alias("block_id"), F.lit("Entry").alias("node_type")), F.struct(F.lit(-2).alias("block_id"), F.lit("Exit").alias("node_type")))))
     nodes = own.select(KEY, "block_id", F.when(F.col("tag") == "Call", "CallSite").otherwise("Block").alias("node_type")).unionByName(marks)
 
     def edge(df, a, b, c, d, kind):
         return df.select(F.expr(a).alias("src_function"), F.expr(b).cast("int").alias("src_block"), F.expr(c).alias("dst_function"), F.expr(d).cast("int").alias("dst_block"), F.lit(kind).alias("edge_kind"))
 
-    intra = edges.join(found, KEY, "left_semi")
+    intra = edges.join(found, KEY, "left_semi") if whole else edges
     pairs = calls.join(found.withColumnRenamed(KEY, "caller"), "caller", "left_semi").join(found.withColumnRenamed(KEY, "callee"), "callee", "left_semi")
     sites = own.where("tag = 'Call'").select(F.col(KEY).alias("caller"), "block_id").join(pairs, "caller")
     callees = own.select(F.col(KEY).alias("callee")).distinct()

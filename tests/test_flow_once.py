@@ -1,5 +1,6 @@
 """Functions folded once: what walks take along gives the same rows as a join with the functions."""
 
+from graphloom.operators import compare as D
 from graphloom.operators import flow as O
 from graphloom.plans.limits import QUICK
 from graphloom.sources import flows as S
@@ -22,3 +23,14 @@ def test_walks_take_along_what_is_asked_of_paths(spark, monkeypatch):
     whole = O.enumerate_paths(O.without_loops(O.fold_arrays(arrays)), also=O.FEASIBLE_BY)
     assert rows(O.feasible_paths(whole, None)) == rows(O.feasible_paths(paths, flow))
     assert rows(O.hotspots_of_flow(light, QUICK)) == rows(O.hotspots(O.enumerate_paths(flow, QUICK, dead_ends=False), flow))
+
+
+def test_supergraph_of_given_functions(spark):
+    calls = spark.createDataFrame([(k, k + 3) for k in range(0, 60, 3)], "caller long, callee long")
+    entries = spark.createDataFrame([(0,), (30,)], "function_id long")
+    found = D.called_within(calls, entries)
+    own = S.order_blocks(spark, DIR, functions=found)
+    assert {r.function_id for r in own.collect()} <= {0, 3, 6, 9, 30, 33, 36, 39}
+    want = D.icfg(*S.order_flows(spark, DIR), calls, entries)
+    got = D.icfg(own, S.derive_edges(own), calls, entries, found=found)
+    assert [rows(x) for x in got] == [rows(x) for x in want]
