@@ -19,6 +19,8 @@ from graphloom.plans.shared import only
 
 #: Fan-out of the index; fingerprints a group may hold before it is split; rows that share one tree.
 FANOUT, GROUP_LIMIT, CHUNK = 8, 4096, 8192
+#: Steps of a search that are taken at once: where all of a group are near each other, all of its pairs are searched.
+SEARCH_ROWS = 1 << 17
 #: After so many splits a group has at most 14 free bits, so at most 2**14 distinct fingerprints.
 LEVELS = 4
 #: Near copies of a corpus: words of a shingle; least similarity, as a fraction; shingles of the texts that one task compares
@@ -96,26 +98,33 @@ class GrayTree:
         self.n = n
 
     def pairs(self, radius: int, block: int = 1024, same: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, j), i < j, at ``radius`` or fewer differing bits, none of them in ``same``, block of queries by block."""
+        """(i, j), i < j, at ``radius`` or fewer differing bits, none of them in ``same``, from few to SEARCH_ROWS at a time.
+
+        Of queries that go on in more than SEARCH_ROWS nodes of a level, one half waits for the other.
+        """
         values, top = self.pats[0], len(self.pats) - 1
         for lo in range(0, self.n, block):
             q = np.arange(lo, min(lo + block, self.n))
-            node = np.tile(np.arange(len(self.pats[top])), len(q))
-            q = np.repeat(q, len(self.pats[top]))
-            seen = np.zeros(len(q), np.uint8)
-            for level in range(top, -1, -1):
-                if level < top:
-                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                    q, seen = np.repeat(q, FANOUT), np.repeat(seen, FANOUT)
-                    inside = node < len(self.pats[level])
-                    node, q, seen = node[inside], q[inside], seen[inside]
+            waiting = [(top, np.repeat(q, len(self.pats[top])), np.tile(np.arange(len(self.pats[top])), len(q)), np.zeros(len(q) * len(self.pats[top]), np.uint8))]
+            while waiting:
+                level, q, node, seen = waiting.pop()
+                if len(q) > SEARCH_ROWS:
+                    half = len(q) // 2
+                    waiting += [(level, q[half:], node[half:], seen[half:]), (level, q[:half], node[:half], seen[:half])]
+                    continue
                 differ = (values[q] ^ self.pats[level][node]) & self.own[level][node]
                 seen = seen + np.bitwise_count(differ)
                 keep = (seen <= radius) & ((node + 1) * self.spans[level] > q + 1)
                 if same:
                     keep &= differ & np.uint64(same) == 0
                 node, q, seen = node[keep], q[keep], seen[keep]
-            yield q, node
+                if not level:
+                    yield q, node
+                elif len(q):
+                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                    q, seen = np.repeat(q, FANOUT), np.repeat(seen, FANOUT)
+                    inside = node < len(self.pats[level - 1])
+                    waiting.append((level - 1, q[inside], node[inside], seen[inside]))
 
 
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
