@@ -70,3 +70,44 @@ def test_query(spark):
     docs = [(x["doc_id"], x["text"]) for x in pq.read_table(at + "documents.parquet", columns=["doc_id", "text"]).to_pylist()]
     bench = pq.read_table(at + "benchmark.parquet", columns=["text"])["text"].to_pylist()
     same(m.query(spark, at).collect(), brute(docs, bench))
+
+
+def test_dealt_ngrams_are_whole_and_small():
+    r = np.random.default_rng(5)
+    vocabulary = [b"w%d" % x for x in r.integers(0, 10**6, 3000)]
+    texts = [b" ".join(vocabulary[min(2999, int(x))] for x in r.pareto(0.8, 2000) * 10) for _ in range(30)]
+    want = Counter(f for t in texts for f in features(t.decode())[1])
+    got, size, shards = Counter(), 0, 8
+    for turn in range(m.ROUNDS):
+        g = m.Grams(texts, [0] * len(texts), (shards, turn))
+        order, first = g.by_shard(shards)
+        counts, seen = np.bincount(g.gram, minlength=g.at[-1]), np.zeros(len(g.words), bool)
+        for k in range(turn, shards, m.ROUNDS):
+            picked = order[first[k] : first[k + 1]]
+            blob = g.packed(picked, counts[picked], seen)
+            assert not seen.any()
+            size += len(blob)
+            u = m.Unpacked(blob)
+            w = u.words.to_pylist()
+            pairs = [(a, w[b]) for a, b in zip(u.heads[0].tolist(), u.tails[0].tolist())]
+            strings = [w[x] for x in u.single] + [w[a] + b" " + b for a, b in pairs]
+            strings += [w[pairs[h][0]] + b" " + pairs[h][1] + b" " + w[c] for h, c in zip(u.heads[1].tolist(), u.tails[1].tolist())]
+            assert not got.keys() & set(strings)
+            got.update(dict(zip(strings, u.counts.tolist(), strict=True)))
+    assert got == want
+    assert size < 4 * len(want)  # bytes; compressed strings take over six
+
+
+def test_a_strings_hash_comes_from_its_words():
+    a, b = [b"", b"x", b"some words", b"\xff" * 5], [b" y", b" a longer one", b" " + b"z" * 300, b" \xc3\xa9"]
+    left = m._followed(np.array([zlib.crc32(x) for x in a], np.uint32), np.array([len(x) for x in b]))
+    assert (left ^ np.array([zlib.crc32(x) for x in b], np.uint32)).tolist() == [zlib.crc32(x + y) for x, y in zip(a, b)]
+
+
+def test_exchanges_go_as_soon_as_a_table_is_written(spark, monkeypatch):
+    seen, write = [], m.cut_and_free
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr("graphloom.plans.shared.cut", lambda d, name: seen.append((name, spark.conf.get(key))))
+    before = spark.conf.get(key, None)
+    write(spark.range(3), "x")
+    assert seen == [("x", "true")] and spark.conf.get(key, None) == before
