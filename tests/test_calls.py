@@ -167,3 +167,31 @@ def test_blast_zones_fold_only_what_is_asked_for(spark, monkeypatch, name):
     Q.QUERIES[name](spark, "/root/testdata/sf0.001")
     ids = {r.function_id for b in folded for r in b.select("function_id").distinct().collect()}
     assert len(ids) == 1 if name == "blast_zone" else ids and all(i % 100 == 0 for i in ids)
+
+
+def test_what_several_seeds_reach_is_found_once(spark, monkeypatch):
+    calls = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(9, 3), (7, 90), (90, 7), (50, 51)], "caller long, callee long")
+    monkeypatch.setattr(C, "FEW_HOPS", 3)
+    assert sorted(r.id for r in C.reached(calls, spark.createDataFrame([(5,), (8,)], "start long")).collect()) == [*range(3, 10), 90]
+    near = {r.node: r.depth for r in C.closure(calls, spark.createDataFrame([(5,)], "start long")).collect()}
+    assert near == {5: 0, 6: 1, 7: 2, 8: 3, 90: 3, 9: 4, 3: 5, 4: 6}
+
+
+def test_ancestors_need_no_other_components(spark):
+    # 1 and 2 call each other, 3 is called by them and calls 4 and 5, which calls 3
+    calls = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (3, 5), (5, 3), (6, 6), (6, 1), (7, 8), (4, 4)], "caller long, callee long")
+    of = lambda x: sorted(r.id for r in C.component_ancestors(calls, spark.createDataFrame([(x,)], "start long")).collect())
+    assert of(3) == [1, 2, 6] and of(4) == [1, 2, 3, 5, 6] and of(6) == []
+
+
+def test_first_paths_are_found_from_few_entries(spark, monkeypatch):
+    monkeypatch.setattr(C, "STARTS", 1)
+    monkeypatch.setattr(C, "MORE_STARTS", 8)
+    # entries below 20 lead nowhere; the others have two ways each
+    edges = [(k, 1000 + k) for k in range(20)] + [(1000 + k, k) for k in range(20)] + [(k, x) for k in range(20, 60) for x in (2000, 2001)]
+    calls = spark.createDataFrame(edges, "caller long, callee long")
+    entry, end = spark.createDataFrame([(k,) for k in range(60)], "start long"), spark.createDataFrame([(2000,), (2001,)], "start long")
+    tried, real = [], C._paths_among
+    monkeypatch.setattr(C, "_paths_among", lambda steps, starts, *a: tried.append(starts.count()) or real(steps, starts, *a))
+    got = [r.path for r in C.call_paths(calls, entry, 4, end, 3).collect()]
+    assert sorted(got) == [[20, 2000], [20, 2001], [21, 2000]] and tried == [3, 24]
