@@ -142,6 +142,89 @@ def test_reachability_by_labels(spark, monkeypatch):
     assert labels[0].count() + labels[1].count() < 2 * len(want)
 
 
+def test_no_table_of_all_hubs_and_nodes_that_meet(spark, monkeypatch):
+    """40 symbols call one, which calls 40: later hubs are many, and each meets all on the other side by the first one."""
+    edges = [(k, 1000) for k in range(40)] + [(1000, 2000 + k) for k in range(40)]
+    rows, cut = [], C.cut
+    monkeypatch.setattr(C, "FEW_CALLS", 10)
+    monkeypatch.setattr(C, "HUBS", 1)
+    calls = frame(spark, edges)
+    components = cut(C.strong_components(calls), "components")
+
+    def counted(df, name="step"):
+        out = cut(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "cut", counted)
+    labels = C.reachability_labels(calls, components)
+    assert max(rows) < 300
+    got = C.reached_among(spark.createDataFrame([(0,), (1,), (1000,), (2000,)], "id long"), components, labels).collect()
+    assert sorted((x.a, x.b) for x in got) == [(0, 0), (0, 1000), (0, 2000), (1, 1), (1, 1000), (1, 2000), (1000, 1000), (1000, 2000), (2000, 2000)]
+
+
+@pytest.mark.parametrize("deal, few", [(1, 500_000), (12, 5)])
+def test_reachable_among_some(spark, monkeypatch, deal, few):
+    monkeypatch.setattr(C, "DEAL", deal)
+    monkeypatch.setattr(C, "FEW_CALLS", few)
+    r = random.Random(deal + few)
+    edges = sorted({(r.randrange(60), r.randrange(60)) for _ in range(70)})
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += [d for s, d in edges if s == x]
+        return seen
+
+    some = {i for i in range(70) if i % 9 == 0}
+    asked = spark.createDataFrame([(i,) for i in [*some, 0]], "id long")
+    got = [(x.a, x.b) for x in C.reachable_among(frame(spark, [*edges, (None, 1), (2, None)]), asked).collect()]
+    assert sorted(got) == sorted((a, b) for a in some for b in reach(a) & some)
+
+
+def test_calls_between_some_symbols_are_few(spark, monkeypatch):
+    """A chain of 300, a tree below it and one above: three symbols are asked for, and a call on a loop between two of them."""
+    monkeypatch.setattr(C, "DEAL", 3)
+    chain = [(k, k + 1) for k in range(300)]
+    trees = [(150, 1001)] + [(1000 + k, 1000 + 2 * k + j) for k in range(1, 64) for j in (0, 1)] + [(2000 + 2 * k + j, 2000 + k) for k in range(1, 64) for j in (0, 1)] + [(2001, 150)]
+    written, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, name="step": written.append(name) or cut(df, name))
+    asked = spark.createDataFrame([(100,), (200,), (1100,)], "id long")
+    got = C.between(frame(spark, [*chain, *trees, (200, 5000), (5000, 100)]), asked)
+    assert len(written) < 80 and got.count() <= 4
+    assert sorted((x.a, x.b) for x in C.reachable_among(got, asked).collect()) == [(a, b) for a in (100, 200, 1100) for b in (100, 200, 1100) if a != 1100 or a == b]
+
+
+def test_reachable_pairs_of_one_large_graph_take_few_tables(spark, monkeypatch):
+    """One graph of more calls than a task gets: what isn't asked for is taken out before labels are made."""
+    from graphloom import queries as Q
+
+    r = random.Random(5)
+    edges = sorted({(r.randrange(1, 2000), r.randrange(1, 2000)) for _ in range(2200)})
+    monkeypatch.setattr(C, "FEW_CALLS", 200)
+    monkeypatch.setattr(C, "DEAL", 100)
+    monkeypatch.setattr(Q, "_part_calls", lambda s, d: frame(s, edges))
+    written, cut = [], C.cut
+    for module in (C, Q):
+        monkeypatch.setattr(module, "cut", lambda df, name="step": written.append(name) or cut(df, name))
+    succ = {}
+    for a, b in edges:
+        succ.setdefault(a, []).append(b)
+    want, ids = [], {x for e in edges for x in e if x % 100 == 0}
+    for a in ids:
+        seen, todo = set(), [a]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += succ.get(x, [])
+        want += [(a, b) for b in seen & ids]
+    got = Q.QUERIES["reachable_pairs"](spark, "")
+    assert len(written) < 60
+    assert sorted((x.a, x.b) for x in got.collect()) == sorted(want)
+
+
 def test_small_weak_components_take_no_rounds(spark, monkeypatch):
     """Chains of 60 symbols: labels of a chain need no round for each symbol, in one task or in several."""
     edges = [(100 * c + k, 100 * c + k + 1) for c in range(3) for k in range(60)] + [(0, 50), (160, 160)]
